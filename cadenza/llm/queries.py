@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, wavelet
+from . import packing, pii, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +21,13 @@ def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(_documents(spark, sf_dir))
 
 
+def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_retrieval_packing": op1_retrieval_packing,
+    "op6_pii_spans": op6_pii_spans,
     "op5_wavelet_tokens": op5_wavelet_tokens,
 }
 
