@@ -185,7 +185,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, i
             base += len(ids)
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(S.partitions(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.repartitionByRange(S.partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, "deal int, base long, n_tokens long, file binary").write.option("compression", "none").parquet(path)
 
 
