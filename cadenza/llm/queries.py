@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, packing, pii, wavelet
+from . import ctw, packing, pii, repeats, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +34,15 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(_documents(spark, sf_dir), _fold(7) == 2)
 
 
+def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op6_pii_spans": op6_pii_spans,
     "op10_context_tree": op10_context_tree,
+    "op9_difference_cover": op9_difference_cover,
     "op5_wavelet_tokens": op5_wavelet_tokens,
 }
 
