@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, packing, pii, repeats, wavelet
+from . import ctw, packing, pii, repeats, toxicity, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,20 @@ def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(_documents(spark, sf_dir))
 
 
+def op4_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _fold(4) != 2)
+    found = toxicity.score(docs, model, with_spans=True)
+    spans = F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), spans.alias("toxic_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op6_pii_spans": op6_pii_spans,
     "op10_context_tree": op10_context_tree,
     "op9_difference_cover": op9_difference_cover,
+    "op4_toxic_spans": op4_toxic_spans,
     "op5_wavelet_tokens": op5_wavelet_tokens,
 }
 
