@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, packing, pii, repeats, toxicity, wavelet
+from . import ctw, jaccard, packing, pii, repeats, toxicity, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +46,17 @@ def op4_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), spans.alias("toxic_spans"))
 
 
+def op2_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op6_pii_spans": op6_pii_spans,
     "op10_context_tree": op10_context_tree,
     "op9_difference_cover": op9_difference_cover,
     "op4_toxic_spans": op4_toxic_spans,
+    "op2_prefix_jaccard": op2_prefix_jaccard,
     "op5_wavelet_tokens": op5_wavelet_tokens,
 }
 

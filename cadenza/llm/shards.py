@@ -9,7 +9,9 @@ part, however many documents hold it, and no task sees an unbounded group.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +71,25 @@ def checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the shared folder of the session."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts lineage with a table in the shared folder of the session, which goes when the driver ends."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_drop_written)
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop_written() -> None:
+    for spark, path in _written:
+        try:
+            file = spark._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+        except Exception:  # the session has ended already
+            return
