@@ -198,6 +198,7 @@ def _run(docs: DataFrame, finish, schema: str, id_col: str, text_col: str) -> Da
     rows = docs.withColumnsRenamed({id_col: "doc_id", text_col: "text"}).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     rows = S.with_part(rows, S.parts_for(docs), "doc_id", "text")
     held = rows.select("part", "doc_id", "text")
+    rows = held if len(rows.columns) == 3 else rows  # so that all steps read one shuffle of the texts
 
     def ask(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         anchors, twice = _anchors(group, shards)
