@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, jaccard, packing, pii, repeats, toxicity, wavelet
+from . import ctw, decontaminate, jaccard, packing, pii, repeats, toxicity, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op2_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_documents(spark, sf_dir))
 
 
+def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op6_pii_spans": op6_pii_spans,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_difference_cover": op9_difference_cover,
     "op4_toxic_spans": op4_toxic_spans,
     "op2_prefix_jaccard": op2_prefix_jaccard,
+    "op3_simhash_decontamination": op3_simhash_decontamination,
     "op5_wavelet_tokens": op5_wavelet_tokens,
 }
 
