@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, jaccard, packing, pii, repeats, toxicity, wavelet
+from . import ctw, decontaminate, jaccard, media, packing, pii, repeats, toxicity, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.load(media.store(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "media"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op6_pii_spans": op6_pii_spans,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxic_spans": op4_toxic_spans,
     "op2_prefix_jaccard": op2_prefix_jaccard,
     "op3_simhash_decontamination": op3_simhash_decontamination,
+    "op8_progressive_jpeg": op8_progressive_jpeg,
     "op5_wavelet_tokens": op5_wavelet_tokens,
 }
 
