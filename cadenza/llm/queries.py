@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, jaccard, media, packing, pii, repeats, toxicity, wavelet
+from . import ctw, decontaminate, jaccard, media, packing, perplexity, pii, repeats, toxicity, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.load(media.store(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "media"))
 
 
+def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return perplexity.classify(_documents(spark, sf_dir), labels.where("quality = 1"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op6_pii_spans": op6_pii_spans,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_prefix_jaccard": op2_prefix_jaccard,
     "op3_simhash_decontamination": op3_simhash_decontamination,
     "op8_progressive_jpeg": op8_progressive_jpeg,
+    "op7_kneser_ney_quality": op7_kneser_ney_quality,
     "op5_wavelet_tokens": op5_wavelet_tokens,
 }
 
