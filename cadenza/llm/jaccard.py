@@ -6,10 +6,14 @@ linked sets share one of the first n - ceil(0.85 n) + 1 shingles of either.  Eac
 order here goes by the number of sets that hold a shingle, and breaks ties by a
 hash of its own; a pair is a candidate if it shares a prefix shingle under every
 order, and is then verified on the whole sets.  Rare shingles come first, so a
-passage that many texts share joins no texts that hold enough of their own.
+passage that many texts share joins no texts that hold enough of their own.  Sets
+also carry the parities of their shingles in 512 buckets: two sets differ in as
+many shingles at least as they have different parities, which rules out pairs of
+large groups before anything is joined.
 
 Equal sets are one node from the start.  Among the rest, each prefix shingle's
-sets are first compared with one of them, in a few rounds; a shingle whose sets
+sets are first compared with one of them, in a few rounds, at first with the one
+of fewest shingles of its own; a shingle whose sets
 are by then of one component needs no more.  All pairs of different components
 that share prefix shingles are then compared, so no link between components is
 lost, while a large group of near copies costs a few comparisons for each.
@@ -42,6 +46,11 @@ PERCENT = 85
 ORDERS = 3
 #: Rounds in which sets are compared with one of each prefix shingle's sets.
 LEADER_ROUNDS = 2
+#: Words of 64 parities of a set.
+PARITIES = 8
+
+ORDER_COLUMNS = [f"order{k}" for k in range(ORDERS)]
+WORDS = [f"w{k}" for k in range(PARITIES)]
 
 
 def shingle_sets(texts: pa.ChunkedArray, shingle: int = SHINGLE):
@@ -147,7 +156,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         right = right.take(pc.sort_indices(right["shard"]))
         known = np.concatenate([np.zeros(0, U64), *((U64(s.as_py()) << U64(32)) | np.frombuffer(x.as_py(), np.uint32) for s, x in zip(right["shard"], right["keys"], strict=True))])
         held = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x.as_py(), np.uint16) for x in right["more"])])
-        cols: dict[str, list] = {c: [] for c in ("ord", "token", "name", "n", "own", "body")}
+        cols: dict[str, list] = {c: [] for c in ("name", "n", "own", *ORDER_COLUMNS, "parity", "body")}
         for names, keys, at in _chosen(left, wanted):
             near = np.minimum(np.searchsorted(known, S.narrow(keys, shards)), max(0, len(known) - 1))
             df = np.where(known[near] == S.narrow(keys, shards), held[near], 1) if len(known) else np.ones(len(keys), np.int64)
@@ -156,47 +165,47 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 own, need = int((d == 1).sum()), (PERCENT * n + 99) // 100
                 if n - own < need:
                     continue  # too few shingles that any other set holds
-                for o in range(ORDERS):
+                for o, column in enumerate(ORDER_COLUMNS):
                     best = np.lexsort((T.mix(k ^ U64(o + 1)), d))[: n - need + 1]
-                    tokens = k[best][d[best] > 1].view(np.int64)
-                    m = len(tokens)
-                    for c, v in (("ord", [o] * m), ("token", tokens.tolist()), ("name", [name] * m), ("n", [n] * m), ("own", [own] * m), ("body", [None] * m)):
-                        cols[c] += v
+                    cols[column].append(k[best][d[best] > 1].view(np.int64))
+                parity = np.bincount((T.mix(k ^ U64(0x1F83D9ABFB41BD6B)) % U64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
                 shared = np.sort(k[d > 1] >> U64(16)).astype("<u8")
                 body = shared.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                for c, v in (("ord", -1), ("token", 0), ("name", name), ("n", n), ("own", own), ("body", body)):
+                for c, v in (("name", name), ("n", n), ("own", own), ("parity", np.packbits(parity.astype(np.uint8)).view(np.int64)), ("body", body)):
                     cols[c].append(v)
-        kinds = {"ord": pa.int32(), "token": pa.int64(), "name": pa.int64(), "n": pa.int32(), "own": pa.int32(), "body": pa.binary()}
-        return pa.table({c: pa.array(v, kinds[c]) for c, v in cols.items()})
+        out = {c: pa.array(cols[c], t) for c, t in (("name", pa.int64()), ("n", pa.int32()), ("own", pa.int32()))}
+        out |= {c: pa.array(cols[c], pa.list_(pa.int64())) for c in ORDER_COLUMNS}
+        words = np.array(cols["parity"], np.int64).reshape(-1, PARITIES)
+        out |= {f"w{i}": pa.array(np.ascontiguousarray(words[:, i])) for i in range(PARITIES)}
+        return pa.table(out | {"body": pa.array(cols["body"], pa.binary())})
 
     asked = rows.groupBy("part").cogroup(handlers.groupBy("part")).applyInArrow(ask, packed)
     counted = asked.groupBy("shard").applyInArrow(count, packed)
-    emitted = S.kept(rows.groupBy("part").cogroup(counted.unionByName(handlers).groupBy("part")).applyInArrow(emit, "ord int, token long, name long, n int, own int, body binary"))
-    sets = emitted.where("ord = -1").select("name", "n", "body")
-    prefixes = emitted.where("ord >= 0").drop("body")
+    schema = "name long, n int, own int, " + "".join(f"{c} array<long>, " for c in ORDER_COLUMNS) + "".join(f"{w} long, " for w in WORDS) + "body binary"
+    emitted = S.kept(rows.groupBy("part").cogroup(counted.unionByName(handlers).groupBy("part")).applyInArrow(emit, schema))
+    prefixes = emitted.select("name", "n", "own", *WORDS, F.explode(ORDER_COLUMNS[0]).alias("token"))
 
     links, roots = None, None
     for k in range(LEADER_ROUNDS):
-        near = prefixes.where("ord = 0")
-        near = near.withColumn("root", F.col("name")) if roots is None else near.join(roots.withColumnsRenamed({"node": "name"}), "name", "left").withColumn("root", F.coalesce("root", "name"))
-        lead = near.groupBy("token").agg(F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("h"), "name", "n", "own", "root")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        near = _rooted(prefixes, roots)
+        rank = F.struct((F.col("own") / F.col("n") if k == 0 else F.lit(0.0)).alias("share"), F.xxhash64("name", F.lit(k)).alias("h"), "name", "n", "own", "root", *WORDS)
+        lead = near.groupBy("token").agg(F.min(rank).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         lead = lead.where("lo <> hi").select("token", "lead")
         pairs = near.join(lead, "token").where(F.col("root") != F.col("lead.root"))
-        pairs = _possible(pairs, F.col("n"), F.col("own"), F.col("lead.n"), F.col("lead.own"))
+        pairs = pairs.where(_possible(lambda c: F.col(c), lambda c: F.col(f"lead.{c}")))
         pairs = pairs.select(F.least("name", "lead.name").alias("a"), F.greatest("name", "lead.name").alias("b")).distinct()
-        found = S.kept(_verified(pairs, sets))
+        found = S.kept(_verified(pairs, emitted))
         links = found if links is None else links.unionByName(found)
         roots = components(links)
 
-    near = prefixes.join(roots.withColumnsRenamed({"node": "name"}), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    open_ = near.groupBy("ord", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("ord", "token")
-    near = S.kept(near.join(open_, ["ord", "token"]))
-    left, right = (near.select("ord", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "own", "root"))) for s in "ab")
-    pairs = left.join(right, ["ord", "token"]).where("name_a < name_b and root_a <> root_b")
-    pairs = _possible(pairs, F.col("n_a"), F.col("own_a"), F.col("n_b"), F.col("own_b"))
-    pairs = pairs.groupBy(F.col("name_a").alias("a"), F.col("name_b").alias("b")).agg(F.bit_or(F.expr("shiftleft(1, ord)")).alias("orders"))
-    pairs = pairs.where(F.col("orders") == (1 << ORDERS) - 1).select("a", "b")
-    found = S.kept(_verified(pairs, sets))
+    near = _rooted(prefixes, roots)
+    open_ = near.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    near = S.kept(near.join(open_, "token"))
+    left, right = (near.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "own", "root", *WORDS))) for s in "ab")
+    apart = (F.col("name_a") < F.col("name_b")) & (F.col("root_a") != F.col("root_b"))
+    pairs = left.join(right, "token").where(apart & _possible(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b")))
+    pairs = pairs.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
+    found = S.kept(_verified(pairs, emitted))
     if found.take(1):
         roots = components(links.unionByName(found))
 
@@ -207,15 +216,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("low") == 2**63 - 1, F.col("doc_id")).otherwise(F.coalesce("low", "doc_id")).alias("component_id"))
 
 
-def _possible(pairs: DataFrame, na: Column, owna: Column, nb: Column, ownb: Column) -> DataFrame:
-    """Pairs whose sizes, less what each set alone holds, allow a link."""
-    most = F.least(na - owna, nb - ownb).cast("long")
-    return pairs.where(_linked(most, na.cast("long"), nb.cast("long")))
+def _rooted(prefixes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return prefixes.withColumn("root", F.col("name"))
+    return prefixes.join(roots.withColumnsRenamed({"node": "name"}), "name", "left").withColumn("root", F.coalesce("root", "name"))
+
+
+def _possible(a, b) -> Column:
+    """Whether sizes, what each set alone holds, and parities allow a link; a and b give the columns of either set."""
+    na, nb = a("n").cast("long"), b("n").cast("long")
+    most = F.least(na - a("own"), nb - b("own"))
+    differ = sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in WORDS[1:]), F.bit_count(a(WORDS[0]).bitwiseXOR(b(WORDS[0]))))
+    return _linked(most, na, nb) & ((100 + PERCENT) * differ <= (100 - PERCENT) * (na + nb))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a, b = (sets.select(F.col("name").alias(s), F.col("n").alias(f"n_{s}"), F.col("body").alias(f"body_{s}")) for s in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "body_a", "body_b")
+    """Of the pairs, those that share a prefix shingle under all orders and link on their whole sets."""
+    others = ORDER_COLUMNS[1:]
+    a, b = (sets.select(F.col("name").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "body", *others))) for s in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    for c in others:
+        both = both.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
+    both = both.select("a", "b", "n_a", "n_b", "body_a", "body_b")
 
     def check(batches):
         for batch in batches:
