@@ -1 +1 @@
-"""Signal analytics on Spark."""
+"""Column functions: sample, window, transform, hearing and code-length expressions."""

@@ -1 +1 @@
-"""Signal analytics on Spark."""
+"""Operators on signals: comparison, search, sections, budgets, spectra."""

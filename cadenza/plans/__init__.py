@@ -1,5 +1,8 @@
-"""Registered queries of the engine."""
+"""Registered queries of the engine, one module for each stage of analysis."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from . import hearing, planning, quality, rate, spectra, telemetry
+from .registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "pcm_quality"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "hearing", "planning", "quality", "rate", "spectra", "telemetry"]

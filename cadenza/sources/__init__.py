@@ -1 +1 @@
-"""Signal analytics on Spark."""
+"""Sources and sinks: adaptors of tables, WAV and FLAC files, containers."""
