@@ -1,8 +1,8 @@
 """Registered queries of the engine, one module for each stage of analysis."""
 
-from . import hearing, planning, quality, rate, spectra, telemetry
+from . import containers, hearing, planning, quality, rate, spectra, streams, telemetry
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "pcm_quality"
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "hearing", "planning", "quality", "rate", "spectra", "telemetry"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "containers", "hearing", "planning", "quality", "rate", "spectra", "streams", "telemetry"]

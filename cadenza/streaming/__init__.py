@@ -1 +1 @@
-"""Signal analytics on Spark."""
+"""Incremental decoding with Structured Streaming."""
