@@ -64,6 +64,7 @@ class MpegHeader:
     padding: bool
     mode: int  # 0 stereo, 1 joint stereo, 2 dual, 3 mono
     mode_extension: int
+    notes: int = 0  # copyright, original and emphasis
 
     @property
     def channels(self) -> int:
@@ -82,7 +83,7 @@ class MpegHeader:
     def to_bytes(self) -> bytes:
         kbps = BITRATES[self.version == 3, self.layer].index(self.kbps)
         rate = MPEG_RATES[self.version].index(self.rate)
-        return bytes([0xFF, 0xE0 | self.version << 3 | (4 - self.layer) << 1 | (not self.crc), kbps << 4 | rate << 2 | self.padding << 1, self.mode << 6 | self.mode_extension << 4])
+        return bytes([0xFF, 0xE0 | self.version << 3 | (4 - self.layer) << 1 | (not self.crc), kbps << 4 | rate << 2 | self.padding << 1, self.mode << 6 | self.mode_extension << 4 | self.notes])
 
 
 def mpeg_header(raw: bytes) -> MpegHeader:
@@ -94,7 +95,7 @@ def mpeg_header(raw: bytes) -> MpegHeader:
     kbps, rate = raw[2] >> 4, raw[2] >> 2 & 3
     if version == 1 or layer == 4 or kbps in (0, 15) or rate == 3:
         raise invalid("MPEG header")
-    return MpegHeader(version, layer, not raw[1] & 1, BITRATES[version == 3, layer][kbps], MPEG_RATES[version][rate], bool(raw[2] >> 1 & 1), raw[3] >> 6, raw[3] >> 4 & 3)
+    return MpegHeader(version, layer, not raw[1] & 1, BITRATES[version == 3, layer][kbps], MPEG_RATES[version][rate], bool(raw[2] >> 1 & 1), raw[3] >> 6, raw[3] >> 4 & 3, raw[3] & 15)
 
 
 def mpeg_frames(raw: bytes) -> list[tuple[int, MpegHeader]]:
