@@ -76,4 +76,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_wavelet_tokens": op5_wavelet_tokens,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+#: What SQL can express and run on whole tables.  The other queries are tested against brute-force versions.
+ORACLE_SQL: dict[str, str] = {
+    "op2_prefix_jaccard": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 4) UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON b.k = a.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id)::BIGINT AS component_id FROM documents d LEFT JOIN n USING (doc_id)""",
+    "op9_difference_cover": rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+v AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)), m AS (SELECT k, min(doc_id) AS low FROM v GROUP BY k),
+g AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS p FROM v JOIN m USING (k) WHERE low < doc_id),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w), q AS (SELECT p.doc_id, count(g.p) AS gone, string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY p.p) AS kept FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.p = p.p GROUP BY p.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN q USING (doc_id)""",
+}
