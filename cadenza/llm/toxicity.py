@@ -39,6 +39,8 @@ SAMPLE_BYTES = 48 << 20
 FEATURES = 100_000
 PREFIXES = (3, 4, 5, 6)
 STEPS = 30
+#: Bytes of text scored at a time.
+SLICE_BYTES = 4 << 20
 #: Share of a feature's documents that are toxic from which its words count as toxic.
 PURE = 0.85
 THRESHOLD = 0.3
@@ -79,7 +81,7 @@ class Model:
         return out
 
 
-def _blocks(lengths: np.ndarray, cells: int = 1 << 20):
+def _blocks(lengths: np.ndarray, cells: int = 1 << 18):
     """Rows of like length, so that a padded block holds little padding."""
     order = np.argsort(lengths, kind="stable")
     order = order[lengths[order] > 0]
@@ -244,14 +246,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", with_spans: boo
 
     def tag(batches):
         for batch in batches:
-            texts = batch.column(columns.index(text_col))
-            index, words, at = T.encoded(texts, lower=True)
-            p = marginals(model.emissions(words)[index], at, model.transitions)
-            x = summary(p, at)
-            scores = 1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30))) if model.curve.any() else np.full(len(x), model.prior)
-            out = [*batch.columns, pa.array(scores, pa.float64())]
+            texts, scores, spans = batch.column(columns.index(text_col)), [np.zeros(0)], [pa.array([], SPANS)]
+            for i, j in T.slices(T.buffers(texts)[1], SLICE_BYTES):
+                part = texts.slice(i, j - i)
+                index, words, at = T.encoded(part, lower=True)
+                p = marginals(model.emissions(words)[index], at, model.transitions)
+                x = summary(p, at)
+                scores.append(1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30))) if model.curve.any() else np.full(len(x), model.prior))
+                if with_spans:
+                    spans.append(_spans(part, p))
+            out = [*batch.columns, pa.array(np.concatenate(scores))]
             if with_spans:
-                out.append(_spans(texts, p))
+                out.append(pa.concat_arrays(spans))
             yield pa.RecordBatch.from_arrays(out, names=[*columns, "score", "toxic_spans"][: len(out)])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["score double"]
