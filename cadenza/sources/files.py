@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -22,15 +22,22 @@ PCM_SCHEMA = "format string, sample_rate int, channels int, samples array<float>
 _PCM = pa.struct([("format", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("samples", pa.list_(pa.float32())), ("error_code", pa.string()), ("error_detail", pa.string())])
 
 
+def _decoder(kind: str):
+    from . import lossy
+
+    known = {"wav": wav.decode, "flac": flac.decode, "mp3": lossy.decode_silent_mp3, "aac": lossy.decode_silent_aac}
+    if kind not in known:
+        raise AudioError("UnsupportedFeature", f"decoding of {kind}")
+    return known[kind]
+
+
 def decode_bytes(raw: bytes | None, kind: str | None) -> dict:
-    """A row of PCM_SCHEMA.  Lossy formats have no decoder here and say so."""
+    """A row of PCM_SCHEMA.  Of the lossy formats only silent streams decode; others say so."""
     row = dict.fromkeys((f.name for f in _PCM), None) | {"format": kind}
     try:
         if raw is None or kind is None:
             raise AudioError("UnsupportedFormat")
-        if kind not in ("wav", "flac"):
-            raise AudioError("UnsupportedFeature", f"decoding of {kind}")
-        pcm = (wav if kind == "wav" else flac).decode(raw)
+        pcm = _decoder(kind)(raw)
         return row | {"sample_rate": pcm.sample_rate, "channels": pcm.channels, "samples": pcm.samples}
     except AudioError as e:
         return row | {"error_code": e.code, "error_detail": e.detail}
@@ -74,13 +81,6 @@ def encode_streams(df: DataFrame, kind: str, bits: int, rate: str = "sample_rate
     return df.mapInArrow(run, ", ".join([*fields, f"`{out}` binary", "error_code string"]))
 
 
-def rejection(kind: str, silent: Column) -> Column:
-    """Why production mode would refuse to code a stream, or null."""
-    if kind in ("wav", "flac"):
-        return F.lit(None).cast("string")
-    return F.when(~silent, f"{kind} has no production encoder here")
-
-
 class AudioSource(DataSource):
     """``spark.read.format("audio").load(folder)``: a row for each file of a local or mounted folder, decoded.
 

@@ -138,3 +138,31 @@ def test_audio_source(spark, tmp_path):
     rows = {r["path"].rsplit("/")[-1]: r for r in spark.read.format("audio").load(str(tmp_path)).collect()}
     assert rows["a.wav"]["sample_rate"] == 44100 and len(rows["a.wav"]["samples"]) == 10
     assert rows["b.bin"]["error_code"] == "UnsupportedFormat"
+
+
+def test_silent_goldens():
+    from cadenza.sources import lossy
+
+    silence = Pcm(44100, 1, np.zeros(2048))
+    mp3 = lossy.encode("MP3", silence)
+    assert (len(mp3), K.fnv1a64(mp3)) == (834, 0x748FB13E884F2E07)
+    assert lossy.decode_silent_mp3(mp3).frames == 2304
+    aac = lossy.encode("aac", Pcm(44100, 1, np.zeros(1000)))
+    assert (len(aac), K.fnv1a64(aac)) == (11, 0xC01800B6F2197B06)
+    assert lossy.decode_silent_aac(aac).frames == lossy.decode_silent_aac(lossy.encode("m4a", silence)).frames // 2 == 1024
+    assert sniff_bytes(lossy.encode("m4a", silence)) == "aac"
+    for kind in ("mp3", "aac", "opus"):
+        with pytest.raises(AudioError, match="UnsupportedFeature"):
+            lossy.encode(kind, tone())
+    with pytest.raises(AudioError, match="UnsupportedFormat"):
+        lossy.encode("wma", tone())
+    assert flac.stream_info(lossy.encode("flac", tone()))[0].depth == 24
+
+
+@pytest.mark.parametrize("rate", [16000, 22050, 32000, 48000])
+@pytest.mark.parametrize("channels", [1, 2])
+def test_silent_mp3_of_all_rates(rate, channels):
+    from cadenza.sources import lossy
+
+    raw = lossy.encode("mp3", Pcm(rate, channels, np.zeros(3000 * channels)))
+    assert {(h.rate, h.channels) for _, h in C.mpeg_frames(raw)} == {(rate, channels)}
