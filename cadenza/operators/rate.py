@@ -28,26 +28,32 @@ def padded(frame: Column, remainder: int, rate: int) -> Column:
     return F.floor((frame + 1) * remainder / rate) - F.floor(frame * remainder / rate)
 
 
-def reservoir(frames: DataFrame, key: str, order: str, payload: str, capacity: int, most: int = 511) -> DataFrame:
+def reservoir(frames: DataFrame, key: str, order: str, payload: str, capacity: int, most: int = 511, target_bits: str | None = None) -> DataFrame:
     """The bit reservoir of each stream: what every frame may use, begins at and leaves.
 
+    With targets, a frame may use clamp((target + 7) div 8, 1, capacity + begin) bytes;
+    a payload over that falls back to the whole budget, and ``targeted`` is false.
+
     begin = min(reservoir, most); budget = capacity + begin; used = min(payload, budget);
     the next reservoir is begin + capacity - used.  Within a stream frames follow one
     another, so one stream's frames meet in one row, and streams run side by side.
     """
-    sorted_frames = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col(payload).alias("p"))))
+    sorted_frames = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col(payload).alias("p"), (F.col(target_bits) if target_bits else F.lit(None)).cast("long").alias("t"))))
 
     def step(state: Column, f: Column) -> Column:
         begin = F.least(state["left"], F.lit(most).cast("long"))
-        budget = begin + F.lit(capacity).cast("long")
+        whole = begin + F.lit(capacity).cast("long")
+        aim = F.greatest(F.least(F.floor((f["t"] + 7) / 8), whole), F.lit(1).cast("long"))
+        targeted = F.coalesce(f["p"] <= aim, F.lit(False))
+        budget = F.when(targeted, aim).otherwise(whole)
         used = F.least(f["p"], budget)
-        row = F.struct(f["i"].alias("i"), begin.alias("main_data_begin"), budget.alias("budget"), used.alias("used"), (budget - used).alias("reservoir_after"), (f["p"] > budget).alias("over"))
-        return F.struct((budget - used).alias("left"), F.concat(state["rows"], F.array(row)).alias("rows"))
+        row = F.struct(f["i"].alias("i"), begin.alias("main_data_begin"), budget.alias("budget"), used.alias("used"), (whole - used).alias("reservoir_after"), (f["p"] > budget).alias("over"), targeted.alias("targeted"))
+        return F.struct((whole - used).alias("left"), F.concat(state["rows"], F.array(row)).alias("rows"))
 
-    kind = "array<struct<i:bigint,main_data_begin:bigint,budget:bigint,used:bigint,reservoir_after:bigint,over:boolean>>"
+    kind = "array<struct<i:bigint,main_data_begin:bigint,budget:bigint,used:bigint,reservoir_after:bigint,over:boolean,targeted:boolean>>"
     start = F.struct(F.lit(0).cast("long").alias("left"), F.array().cast(kind).alias("rows"))
     folded = frames.groupBy(key).agg(F.aggregate(sorted_frames, start, step)["rows"].alias("rows"))
-    return folded.select(key, F.explode("rows").alias("r")).select(key, F.col("r.i").alias(order), "r.main_data_begin", "r.budget", "r.used", "r.reservoir_after", "r.over")
+    return folded.select(key, F.explode("rows").alias("r")).select(key, F.col("r.i").alias(order), "r.main_data_begin", "r.budget", "r.used", "r.reservoir_after", "r.over", "r.targeted")
 
 
 def allocate(parts: DataFrame, keys: list[str], order: str, weight: str, total: int, floor: int) -> DataFrame:
@@ -81,3 +87,17 @@ def within_budget(candidates: DataFrame, keys: list[str], step: str, length: str
     fits = F.col(length) <= budget
     rank = F.struct((~fits).alias("over"), F.when(fits, F.col(step)).otherwise(F.col(length).cast("double")).alias("a"), F.when(fits, -F.col(length)).otherwise(F.lit(0)).alias("b"), F.col(step).alias("step"), F.col(length).alias("length"))
     return candidates.groupBy(*keys).agg(F.min(rank).alias("_m")).select(*keys, F.col("_m.step").alias(step), F.col("_m.length").alias(length), (~F.col("_m.over")).alias("fits"))
+
+
+def most_active(candidates: DataFrame, keys: list[str], active: str, step: str) -> DataFrame:
+    """The candidate of most active scale factors; of equal ones the finest step."""
+    return candidates.groupBy(*keys).agg(F.max(F.struct(F.col(active), (-F.col(step)).alias("_s"))).alias("_m")).select(*keys, f"_m.{active}", (-F.col("_m._s")).alias(step))
+
+
+def least_distorted(candidates: DataFrame, keys: list[str], distortion: str, complexity: str, choice: str, tie: float = 1e-9) -> DataFrame:
+    """The candidate of least distortion; of those within ``tie`` of it, the simplest, then the first."""
+    from pyspark.sql import Window
+
+    low = F.min(distortion).over(Window.partitionBy(*keys))
+    near = candidates.where(F.col(distortion).isNotNull()).withColumn("_low", low).where(F.col(distortion) <= F.col("_low") + tie)
+    return near.groupBy(*keys).agg(F.min(F.struct(complexity, choice)).alias("_m")).select(*keys, f"_m.{choice}", f"_m.{complexity}")

@@ -43,7 +43,39 @@ UNION ALL SELECT fr.stream_id, fr.frame, least(fr.payload, 200 + least(st.reserv
 SELECT stream_id, frame, main_data_begin::BIGINT AS main_data_begin, budget::BIGINT AS budget, used::BIGINT AS used, reservoir_after::BIGINT AS reservoir_after, over FROM st""")
 def bit_reservoir(spark, sf_dir):
     """Frames of 200 bytes that lend what they don't use."""
-    return R.reservoir(frame_facts(spark, sf_dir).select("stream_id", "frame", "payload"), "stream_id", "frame", "payload", 200)
+    return R.reservoir(frame_facts(spark, sf_dir).select("stream_id", "frame", "payload"), "stream_id", "frame", "payload", 200).drop("targeted")
+
+
+_AIM = "greatest(least(((fr.tax * 20000)::BIGINT + 7) // 8, 200 + least({0}, 511)), 1)"
+_WHOLE = "(200 + least({0}, 511))"
+
+
+def _targeted(left: str) -> str:
+    aim, whole = _AIM.format(left), _WHOLE.format(left)
+    return f"least({left}, 511)::BIGINT AS main_data_begin, CASE WHEN fr.payload <= {aim} THEN {aim} ELSE {whole} END AS budget, least(fr.payload, {whole}) AS used, {whole} - least(fr.payload, {whole}) AS reservoir_after, fr.payload <= {aim} AS targeted"
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, st AS (SELECT stream_id, frame, {_targeted('0')} FROM fr WHERE frame = 0
+UNION ALL SELECT fr.stream_id, fr.frame, {_targeted('st.reservoir_after')} FROM st JOIN fr ON fr.stream_id = st.stream_id AND fr.frame = st.frame + 1)
+SELECT stream_id, frame, main_data_begin, budget::BIGINT AS budget, used::BIGINT AS used, reservoir_after::BIGINT AS reservoir_after, targeted FROM st""")
+def targeted_reservoir(spark, sf_dir):
+    """The same with a target of bits for each frame, from its weight."""
+    frames = frame_facts(spark, sf_dir).select("stream_id", "frame", "payload", F.round(F.col("tax") * 20000).cast("long").alias("target"))
+    return R.reservoir(frames, "stream_id", "frame", "payload", 200, target_bits="target").drop("over")
+
+
+@query(f"WITH {FRAMES} SELECT stream_id, max(quantity::BIGINT) AS active, arg_max(discount, (quantity::BIGINT, -discount)) AS step FROM fr GROUP BY stream_id")
+def most_active_step(spark, sf_dir):
+    """The candidate of most active scale factors (the quantity here), and the finest step of equal ones."""
+    c = frame_facts(spark, sf_dir).select("stream_id", F.col("quantity").cast("long").alias("active"), F.col("discount").alias("step"))
+    return R.most_active(c, ["stream_id"], "active", "step")
+
+
+@query(f"WITH {FRAMES}, m AS (SELECT *, min(discount) OVER (PARTITION BY stream_id) AS low FROM fr) SELECT stream_id, arg_min(frame, (payload, frame))::BIGINT AS frame, min(payload)::BIGINT AS payload FROM m WHERE discount <= low + 1e-9 GROUP BY stream_id")
+def quality_guard(spark, sf_dir):
+    """The least distorted candidate (by discount), the simplest (by payload) of equal ones."""
+    c = frame_facts(spark, sf_dir).select("stream_id", "frame", "payload", "discount")
+    return R.least_distorted(c, ["stream_id"], "discount", "payload", "frame")
 
 
 @query(f"""WITH {FRAMES}, a AS (SELECT *, count(*) OVER g AS n, sum(tax) OVER g AS mass FROM fr WINDOW g AS (PARTITION BY stream_id)),

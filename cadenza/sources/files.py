@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from . import flac, wav
 from .containers import demux_m4a, sniff
@@ -97,6 +97,9 @@ class AudioSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return AudioReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return AudioWriter(self.options, schema.names)
+
 
 class AudioReader(DataSourceReader):
     def __init__(self, options):
@@ -117,6 +120,33 @@ class AudioReader(DataSourceReader):
         yield (partition.value, row["format"], row["sample_rate"], row["channels"], None if row["samples"] is None else [float(x) for x in row["samples"]], row["error_code"], row["error_detail"])
 
 
+class AudioWriter(DataSourceWriter):
+    """Writes rows of name, sample_rate, channels and samples as files of the folder; option ``kind`` says of which format.
+
+    A file is written under another name and then renamed, so a task that is run again leaves whole files.
+    """
+
+    def __init__(self, options, names: list[str]):
+        self.path, self.kind, self.names = options.get("path"), options.get("kind", "wav"), names
+        if not self.path or not {"name", "sample_rate", "channels", "samples"} <= set(names):
+            raise AudioError("InvalidInput", "a path, and columns name, sample_rate, channels and samples, are needed")
+
+    def write(self, rows) -> WriterCommitMessage:
+        import os
+
+        from .lossy import encode
+
+        os.makedirs(self.path, exist_ok=True)
+        for row in rows:
+            r = dict(zip(self.names, row, strict=True))
+            whole = encode(self.kind, Pcm(r["sample_rate"], r["channels"], np.array(r["samples"], np.float32)))
+            final = os.path.join(self.path, f"{os.path.basename(str(r['name']))}.{self.kind}")
+            with open(f"{final}.{os.getpid()}.part", "wb") as f:
+                f.write(whole)
+            os.replace(f.name, final)
+        return WriterCommitMessage()
+
+
 def sniff_bytes(raw: bytes) -> str | None:
     """``containers.sniff`` for bytes at hand."""
     from .containers import BRANDS, OGG_HEAD

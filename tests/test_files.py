@@ -138,6 +138,10 @@ def test_audio_source(spark, tmp_path):
     rows = {r["path"].rsplit("/")[-1]: r for r in spark.read.format("audio").load(str(tmp_path)).collect()}
     assert rows["a.wav"]["sample_rate"] == 44100 and len(rows["a.wav"]["samples"]) == 10
     assert rows["b.bin"]["error_code"] == "UnsupportedFormat"
+    streams = spark.createDataFrame([("x", 8000, 2, [0.0, 0.5, -0.5, 1.0]), ("y", 8000, 1, [0.25])], "name string, sample_rate int, channels int, samples array<float>")
+    streams.write.format("audio").option("kind", "wav").mode("append").save(str(tmp_path / "out"))
+    back = {r["path"].rsplit("/")[-1]: r for r in spark.read.format("audio").load(str(tmp_path / "out")).collect()}
+    assert back["x.wav"]["samples"] == [0.0, 0.5, -0.5, 1.0] and back["x.wav"]["channels"] == 2 and set(back) == {"x.wav", "y.wav"}
 
 
 def test_silent_goldens():
