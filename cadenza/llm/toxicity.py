@@ -39,6 +39,8 @@ SAMPLE_BYTES = 48 << 20
 FEATURES = 100_000
 PREFIXES = (3, 4, 5, 6)
 STEPS = 30
+#: Words of a chain in the fit, at most.
+CHAIN = 256
 #: Bytes of text scored at a time.
 SLICE_BYTES = 4 << 20
 #: Share of a feature's documents that are toxic from which its words count as toxic.
@@ -183,7 +185,10 @@ def fit(texts: list[str | None], toxic: list[int], prior: float) -> Model:
     n = int(chosen.sum())
     weights, bias, transitions = np.zeros(n), -4.0, np.zeros((2, 2))
     seen, seen_bias, seen_moves = np.full(n, 1e-3), 1e-3, np.full((2, 2), 1e-3)
-    same = doc[1:] == doc[:-1]
+    # For the fit a long text is a row of shorter chains, so that a step takes few vector operations.
+    chains = np.union1d(at, np.concatenate([np.arange(a, b, CHAIN) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]))
+    chain = np.repeat(np.arange(len(chains) - 1), np.diff(chains))
+    same = chain[1:] == chain[:-1]
     pair = (label[:-1] * 2 + label[1:])[same].astype(np.int64)
     held = np.bincount(pair, minlength=4).reshape(2, 2).astype(float)
     of = [(np.flatnonzero(chosen[place[k]]), slot[place[k][chosen[place[k]]]]) for k in range(kinds)]
@@ -193,7 +198,7 @@ def fit(texts: list[str | None], toxic: list[int], prior: float) -> Model:
         for have, where in of:
             emission[have] += weights[where]
         expected = np.zeros((2, 2))
-        p = marginals(emission[index], at, transitions, expected)
+        p = marginals(emission[index], chains, transitions, expected)
         rest = np.bincount(index, label - p, len(words)) * scale
         slope = -1e-4 * weights
         for have, where in of:
