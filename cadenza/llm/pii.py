@@ -87,32 +87,42 @@ def _found(text: Column, pattern: str, gate: str, valid) -> Column:
     return F.when(text.rlike(gate), F.aggregate(pairs, start, step)["out"]).otherwise(F.array().cast(SPAN))
 
 
+def _free(start: str, columns: list[str]) -> str:
+    """A beginning that no column has."""
+    while any(c.lower().startswith(start) for c in columns):
+        start += "_"
+    return start
+
+
 def detect(df: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
     """Adds the array ``out`` of (kind, start, end, score), by kind as listed, then start; ends are exclusive."""
-    df = df.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = df.withColumns({f"_{kind}": _found(F.col("_text"), pattern, gate, valid) for kind, (pattern, gate, valid, *_) in KINDS.items()})
+    own = _free("_pii", df.columns)  # what the columns in use here begin with
+    whole = f"{own}text"
+    df = df.withColumn(whole, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    df = df.withColumns({own + kind: _found(F.col(whole), pattern, gate, valid) for kind, (pattern, gate, valid, *_) in KINDS.items()})
 
     def scored(kind: str) -> Column:
         words, plain, near = KINDS[kind][3:]
 
         def one(x: Column) -> Column:
             lead = F.least(x["start"], F.lit(CONTEXT))
-            around = F.concat(F.substr("_text", x["start"] - lead + 1, lead), F.lit(" "), F.substr("_text", x["end"] + 1, F.lit(CONTEXT)))
+            around = F.concat(F.substr(whole, x["start"] - lead + 1, lead), F.lit(" "), F.substr(whole, x["end"] + 1, F.lit(CONTEXT)))
             score = F.when(F.lower(around).rlike(rf"(?<![a-z])(?:{words})"), near).otherwise(plain)
             return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
 
-        return F.transform(F.col(f"_{kind}"), one)
+        return F.transform(F.col(own + kind), one)
 
     df = df.withColumn(out, F.concat(*(scored(kind) for kind in KINDS)))
-    return df.drop("_text", *(f"_{kind}" for kind in KINDS))
+    return df.drop(whole, *(own + kind for kind in KINDS))
 
 
 def redact(df: DataFrame, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
     """Replaces each span of at least that score by its kind in brackets; overlapping spans go as one, under the first one's kind."""
     columns = df.columns
-    df = detect(df, text_col, "_spans")
+    spans = _free("_found", columns)
+    df = detect(df, text_col, spans)
     text = F.col(text_col)
-    chosen = F.array_sort(F.transform(F.filter("_spans", lambda s: s["score"] >= min_score), lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    chosen = F.array_sort(F.transform(F.filter(spans, lambda s: s["score"] >= min_score), lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
     def step(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]
@@ -122,7 +132,7 @@ def redact(df: DataFrame, text_col: str = "text", min_score: float = 0.0) -> Dat
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     whole = F.aggregate(chosen, start, step, lambda state: F.concat(state["out"], F.substr(text, state["at"] + 1)))
-    return df.withColumn(text_col, F.when(F.size("_spans") > 0, whole).otherwise(text)).select(*columns)
+    return df.withColumn(text_col, F.when(F.size(spans) > 0, whole).otherwise(text)).select(*columns)
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

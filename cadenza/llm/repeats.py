@@ -244,5 +244,9 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         group = group.drop_columns(["part"])
         return group.set_column(group.schema.get_field_index("text"), "text", texts)
 
-    fields = ", ".join(f"`{'doc_id' if f.name == id_col else 'text' if f.name == text_col else f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return _run(docs, finish, fields, id_col, text_col).withColumnsRenamed({"doc_id": id_col, "text": text_col})
+    # Other columns go under names of their own, so that none clashes with those in use here.
+    others = {c: f"_c{k}" for k, c in enumerate(c for c in docs.columns if c not in (id_col, text_col))}
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in others.items()))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+    back = {n: c for c, n in others.items()} | {"doc_id": id_col, "text": text_col}
+    return _run(plain, finish, fields, "doc_id", "text").withColumnsRenamed(back).select(*(f"`{c}`" for c in docs.columns))

@@ -246,7 +246,8 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probab
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """Adds ``score`` and, if asked for, ``toxic_spans`` in code points, ends exclusive."""
+    """Adds (or replaces) ``score`` and, if asked for, ``toxic_spans`` in code points, ends exclusive."""
+    docs = docs.drop("score", *["toxic_spans"] * with_spans)
     columns = docs.columns
 
     def tag(batches):

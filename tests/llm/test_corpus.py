@@ -492,8 +492,8 @@ def test_repeats(docs, rows):
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert sorted(map(str, ((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found))) == sorted(str((i, n, k, digest(t))) for i, n, k, t in want)
     assert sum(k for *_, k, _ in want) > 200
-    left = repeats.remove(docs.select("doc_id", "text", "name"))
-    assert left.columns == ["doc_id", "text", "name"]
+    left = repeats.remove(docs.select("part", "doc_id", "name", "text"))
+    assert left.columns == ["part", "doc_id", "name", "text"] and {(r["part"], r["name"]) for r in left.collect()} == {(1, "x")}
     assert sorted(str((r["doc_id"], r["text"])) for r in left.collect()) == sorted(str((i, t)) for i, _, _, t in want)
 
 
@@ -585,6 +585,19 @@ def test_empty_tables(spark, empty):
     assert [df.count() for df in made] == [0] * len(made)
 
 
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "one two three", "x", "y")], "doc_id long, text string, a string, b string")
+    clash = docs.select("doc_id", "text", F.col("a").alias("score"), F.col("b").alias("media"), F.lit(1).alias("height"), F.lit(2).alias("_spans"), F.lit(3).alias("keep"))
+    model = toxicity.fit([], [], 0.0)
+    assert toxicity.score(clash, model).first()["score"] == 0.0
+    assert media.load(media.store(clash)).first()["n_bytes"] == 13
+    assert media.tensors(media.store(clash)).first()["height"] == 8
+    assert tuple(pii.redact(clash).first()) == tuple(clash.first()) and pii.digest(clash).count() == 1
+    assert jaccard.one_of_each(clash).columns == clash.columns
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
