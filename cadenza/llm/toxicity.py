@@ -22,6 +22,7 @@ other columns pass through.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -230,9 +231,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = texts.join(F.broadcast(sample), "_id").select("_id", "_text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     size = F.sum(F.octet_length(F.coalesce("_text", F.lit("")))).over(_by_hash())
-    rows = sorted(rows.withColumn("_sum", size).where(F.col("_sum") <= SAMPLE_BYTES).drop("_sum").collect(), key=lambda r: (r["_id"], r["_text"] or ""))
+    rows = rows.withColumn("_sum", size).where(F.col("_sum") <= SAMPLE_BYTES).drop("_sum")
     total = sum(counts.values())
-    return fit([r["_text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / total if total else 0.0)
+    prior = counts.get(1, 0) / total if total else 0.0
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_id", "ascending"), ("_text", "ascending")])
+        model = fit(group["_text"].to_pylist(), group["toxic"].to_pylist(), prior)
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # The sample is bounded, and one task fits it.
+    found = rows.groupBy(F.lit(0).alias("_all")).applyInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], [], prior)
 
 
 def _by_hash():
