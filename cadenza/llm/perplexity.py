@@ -1,15 +1,18 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney word model.
 
-The model is learned from trusted text: documents with quality label 1, at most
-``SAMPLE`` of them, chosen by hash, of at most ``SAMPLE_BYTES``.  Its counts are made by Spark: trigrams are
-counted, then bigrams and words by the number of their left neighbours, and the
-three tables are joined with the sums of their contexts, all sharded by hash of
-the context (Chen and Goodman, 1998).  Every document is then scored whole, and
-kept if its perplexity is at most the ``QUANTILE`` of the trusted documents of
-its language that the model was not learned from.
-
-The sample and the length of its texts bound the model, so it is to the tasks that score; joining every n-gram of every document with the count
-shards instead would shuffle several times the text.
+The model is learned from all trusted texts, whole: documents with quality label
+1, but for those held back for the thresholds.  Trigrams are counted, then
+bigrams and words by the number of their left neighbours (Chen and Goodman,
+1998).  Every document is then scored whole, and kept if its perplexity is at
+most the ``QUANTILE`` of the trusted documents of its language that the model was
+not learned from.
+
+How it runs: batches of trusted texts send their distinct trigrams, packed, to
+shards by context; these send bigrams on to shards by first word, and those words
+to shards of their own.  Counts and context sums lie at key shards.  Documents
+are dealt to parts, a part asks the key shards about its distinct words, bigrams
+and trigrams, and the answers are the part's own piece of the model.  The driver
+sees sums by shard and order only.
 
 Edge cases: null and empty texts have the end mark alone; a null language is one
 of its own; a language without trusted documents takes the quantile of all; with
@@ -24,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +35,6 @@ from . import shards as S
 from . import text as T
 
 U64 = np.uint64
-#: Trusted documents that the model is learned from, at most, and the bytes of their texts, at most (longer ones don't train).
-SAMPLE = 1_500
-SAMPLE_BYTES = 24 << 10
 QUANTILE = 0.98
 START, END = U64(0x1111111111111111), U64(0x2222222222222222)
 
@@ -54,105 +55,225 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return T.mix(a * U64(0x9E3779B97F4A7C15) + T.mix(b ^ U64(0x5851F42D4C957F2D)))
 
 
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """Of n-grams counted once, twice, and more often."""
+    if not (n1 and n2):
+        return [0.5, 0.5, 0.5]
+    y = n1 / (n1 + 2 * n2)
+    return [min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / max(1, n3)))]
+
+
+class Sums:
+    """Of all words, bigrams and trigrams: those counted 1 to 4 times, all, and the sum of their counts."""
+
+    def __init__(self, sums: np.ndarray):
+        self.discounts = np.array([[0.0, *_discounts(*row[:4].tolist())] for row in sums])
+        n1, n2, _, _, self.vocabulary, self.total = sums[0].tolist()
+        self.root = float(self.discounts[0, 1:] @ [n1, n2, self.vocabulary - n1 - n2] / self.total) if self.total else 1.0
+
+
 @dataclass
 class Model:
-    """Sorted keys and values: discounted probabilities by n-gram, and what contexts leave to the shorter ones."""
+    """Sorted n-grams with their counts, and contexts with the sums of theirs: all, or those that a part asks about."""
 
     grams: list[tuple[np.ndarray, np.ndarray]]  # words, bigrams, trigrams
-    rests: list[tuple[np.ndarray, np.ndarray]]  # one word, two words
-    root: float
-    vocabulary: int
+    contexts: list[tuple[np.ndarray, np.ndarray]]  # one word, two words: total, n-grams counted once, twice, more often
+    sums: Sums
 
     @staticmethod
-    def _get(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float) -> np.ndarray:
+    def get(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
         names, values = table
         if not len(names):
-            return np.full(len(keys), default)
+            return np.zeros((len(keys), *values.shape[1:]), np.int64)
         at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-        return np.where(names[at] == keys, values[at], default)
+        seen = names[at] == keys
+        return values[at] * (seen[:, None] if values.ndim > 1 else seen)
+
+    def _mix(self, order: int, keys: np.ndarray, context: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        count, sums = self.get(self.grams[order], keys), self.get(self.contexts[order - 1], context)
+        discounts, total = self.sums.discounts[order], np.maximum(1, sums[:, 0])
+        rest = np.where(sums[:, 0] > 0, sums[:, 1:] @ discounts[1:] / total, 1.0)
+        return (count - discounts[np.minimum(count, 3)]) / total + rest * shorter
 
     def log10(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        p = self._get(self.grams[0], w, 0.0) + self.root / (self.vocabulary + 1)
+        count, sums = self.get(self.grams[0], w), self.sums
+        p = (count - sums.discounts[0][np.minimum(count, 3)]) / max(1, sums.total) + sums.root / (sums.vocabulary + 1)
         vw, uv = _pair(v, w), _pair(u, v)
-        p = self._get(self.grams[1], vw, 0.0) + self._get(self.rests[0], v, 1.0) * p
-        p = self._get(self.grams[2], _pair(u, vw), 0.0) + self._get(self.rests[1], uv, 1.0) * p
-        return np.log10(p)
+        return np.log10(self._mix(2, _pair(u, vw), uv, self._mix(1, vw, v, p)))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """Of n-grams counted once, twice, and more often."""
-    of = {int(r["c"]): int(r["n"]) for r in counts.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
-    n1, n2, n3, n4 = (of.get(k, 0) for k in (1, 2, 3, 4))
-    if not (n1 and n2):
-        return [0.5, 0.5, 0.5]
-    y = n1 / (n1 + 2 * n2)
-    return [min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / max(1, n3)))]
+#: Kinds of rows: counts by order, sums of contexts by their length, n-grams on their way to be counted, and sums by order.
+GRAM, CONTEXT, ROUTE, SUMS = 0, 10, 20, 30
+ROWS = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
+ROWS_SQL = "shard int, kind int, keys binary, vals binary"
 
 
-def train(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learns from the texts of the ids in ``trusted``, at most SAMPLE of them."""
-    sample = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id").select("text")
-    texts = texts.where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
+def _rows(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
+    return S.table(ROWS, **dict(zip(ROWS.names, map(list, zip(*rows, strict=True)) if rows else ([],) * 4, strict=True)))
 
-    def grams(batches):
-        for batch in batches:
-            for _, _, words, at in T.hashed(batch.column(0)):
-                u, v, w, _ = _positions(words, at)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v, w)], names=["u", "v", "w"])
-
-    three = S.kept(texts.mapInArrow(grams, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count("*").alias("c")))
-    two = S.kept(three.groupBy("v", "w").agg(F.count("*").alias("c")))
-    one = S.kept(two.groupBy("w").agg(F.count("*").alias("c")))
-    vocabulary = one.count()
-    tables, rests = [], []
-    root = 1.0
-    for counts, context in ((one, []), (two, ["v"]), (three, ["u", "v"])):
-        d1, d2, d3 = _discounts(counts)
-        discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        total, rest = F.sum("c").alias("total"), (F.sum(discount) / F.sum("c")).alias("rest")
-        if context:
-            rests.append(counts.groupBy(*context).agg(total, rest))
-            joined = counts.join(rests[-1], context)
-        else:
-            sums = counts.agg(total, rest).first()
-            root = float(sums["rest"] or 1.0)
-            joined = counts.withColumn("total", F.lit(sums["total"]))
-        tables.append(joined.withColumn("p", (F.col("c") - discount) / F.col("total")))
-
-    def keyed(df: DataFrame, columns: list[str], value: str) -> tuple[np.ndarray, np.ndarray]:
-        table = df.select(*columns, value).toArrow()
-        words = [table[c].to_numpy().astype(np.int64).view(U64) for c in columns]
-        key = words[-1]
-        for x in words[-2::-1]:
-            key = _pair(x, key)
-        order = np.argsort(key)
-        return key[order], table[value].to_numpy().astype(np.float64)[order]
-
-    found = [keyed(t, c, "p") for t, c in zip(tables, (["w"], ["v", "w"], ["u", "v", "w"]), strict=True)]
-    left = [keyed(t, c, "rest") for t, c in zip(rests, (["v"], ["u", "v"]), strict=True)]
-    return Model(found, left, root, vocabulary)
-
-
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Replaces the text by its number of tokens, log10 probability and perplexity."""
-    names = docs.columns
-    others = [c for c in names if c != text_col]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-
-    def run(batches):
-        m = shared.value
+
+def _keyed(kind: int, keys: np.ndarray, values: np.ndarray, shards: int) -> list[tuple[int, int, bytes, bytes]]:
+    """Sorted keys and their values, for the key shards."""
+    at = S.by_shard(keys, shards)
+    return [(int(k), kind, S.blob(keys[at[k] : at[k + 1]]), S.blob(values[at[k] : at[k + 1]])) for k in np.flatnonzero(np.diff(at))]
+
+
+def _routed(kind: int, by: np.ndarray, words: list[np.ndarray], counts: np.ndarray, shards: int) -> list[tuple[int, int, bytes, bytes]]:
+    """N-grams with counts, for the shards of ``by``, as indices into the words of each row."""
+    order = np.argsort(by, kind="stable")
+    at, out = S.by_shard(by[order], shards), []
+    for k in np.flatnonzero(np.diff(at)):
+        own = order[at[k] : at[k + 1]]
+        names, index = np.unique(np.concatenate([w[own] for w in words]), return_inverse=True)
+        out.append((int(k), kind, S.blob(names), S.blob(index.astype(np.uint32)) + S.blob(counts[own].astype(np.int64))))
+    return out
+
+
+def _gathered(group: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    words, counts = [[] for _ in range(order)], []
+    for names, packed in zip(group["keys"], group["vals"], strict=True):
+        names, packed = np.frombuffer(names.as_py(), U64), packed.as_py()
+        n = len(packed) // (4 * order + 8)
+        index = np.frombuffer(packed, np.uint32, n * order).reshape(order, n)
+        for k in range(order):
+            words[k].append(names[index[k]])
+        counts.append(np.frombuffer(packed, np.int64, n, 4 * order * n))
+    return [np.concatenate(w) for w in words], np.concatenate(counts)
+
+
+def _counted(key: np.ndarray, words: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct keys in order, their words, and the sums of their counts."""
+    key, first, at = np.unique(key, return_index=True, return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, at, counts)
+    return key, [w[first] for w in words], total
+
+
+def _key(words: list[np.ndarray]) -> np.ndarray:
+    key = words[-1]
+    for w in words[-2::-1]:
+        key = _pair(w, key)
+    return key
+
+
+def _count(shards: int, order: int):
+    """Counts the n-grams that are routed to a shard; it holds all of their contexts, and routes what they end in."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        words, counts = _gathered(group, order)
+        keys, words, counts = _counted(_key(words), words, counts)
+        sums = np.array([*((counts == k).sum() for k in (1, 2, 3, 4)), len(counts), counts.sum()], np.int64)
+        rows = [(key[0].as_py(), SUMS + order, b"", S.blob(sums)), *_keyed(GRAM + order, keys, counts, shards)]
+        if order > 1:
+            names, at = np.unique(_key(words[:-1]), return_inverse=True)
+            values = np.zeros((len(names), 4), np.int64)
+            np.add.at(values[:, 0], at, counts)
+            np.add.at(values, (at, np.minimum(counts, 3)), 1)
+            rows += _keyed(CONTEXT + order - 1, names, values, shards)
+            _, ends, left = _counted(_key(words[1:]), words[1:], np.ones(len(keys), np.int64))
+            rows += _routed(ROUTE + order - 1, _key(ends[:-1] or ends), ends, left, shards)
+        return _rows(rows)
+
+    return run
+
+
+def count(docs: DataFrame, trusted: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Sums]:
+    """Counts of the n-grams and contexts of all texts of the ids in ``trusted``, by key shard, and their sums."""
+    ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(ids, "_id", "left_semi").select("text")
+
+    def trigrams(batches):
         for batch in batches:
-            total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for i, j, words, at in T.hashed(batch.column(names.index(text_col))):
-                u, v, w, bounds = _positions(words, at)
-                total[i:j] = np.add.reduceat(m.log10(u, v, w), bounds[:-1])
-                count[i:j] = np.diff(bounds)
-            out = [*(batch.column(names.index(c)) for c in others), pa.array(count), pa.array(total), pa.array(10 ** np.minimum(-total / np.maximum(count, 1), 300))]
-            yield pa.RecordBatch.from_arrays(out, names=[*others, "n_tokens", "log10_prob", "perplexity"])
+            parts = [_positions(words, at)[:3] for _, _, words, at in T.hashed(batch.column(0))]
+            if parts:
+                words = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                _, words, counts = _counted(_key(words), words, np.ones(len(words[0]), np.int64))
+                yield from _rows(_routed(ROUTE + 3, _key(words[:-1]), words, counts, shards)).to_batches()
+
+    made = texts.mapInArrow(trigrams, ROWS_SQL)
+    tables = []
+    for order in (3, 2, 1):
+        made = S.kept(made.where(F.col("kind") == ROUTE + order).groupBy("shard").applyInArrow(_count(shards, order), ROWS_SQL))
+        tables.append(made)
+    counts = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    sums = np.zeros((3, 6), np.int64)
+    for r in counts.where(F.col("kind") > SUMS).select("kind", "vals").toLocalIterator():  # one row for each shard and order
+        sums[r["kind"] - SUMS - 1] += np.frombuffer(r["vals"], np.int64)
+    return counts.where(F.col("kind") < ROUTE), Sums(sums)
+
+
+def _tables(kinds: list[int], keys: list[bytes], values: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    out = {}
+    for kind in (GRAM + 1, GRAM + 2, GRAM + 3, CONTEXT + 1, CONTEXT + 2):
+        mine = [r for r, k in enumerate(kinds) if k == kind]
+        names = np.frombuffer(b"".join(keys[r] for r in mine), U64)
+        found = np.frombuffer(b"".join(values[r] for r in mine), np.int64)
+        order = np.argsort(names)
+        out[kind] = names[order], (found.reshape(-1, 4) if kind > CONTEXT else found)[order]
+    return out
+
+
+def train(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The whole model at the driver, for small tables; ``score`` looks counts up at their shards instead."""
+    counts, sums = count(docs, trusted, S.partitions(docs.sparkSession), id_col, text_col)
+    rows = counts.collect()
+    t = _tables(*([r[c] for r in rows] for c in ("kind", "keys", "vals")))
+    return Model([t[GRAM + k] for k in (1, 2, 3)], [t[CONTEXT + k] for k in (1, 2)], sums)
+
+
+def _asked(texts: pa.ChunkedArray) -> list[np.ndarray]:
+    """Distinct words, bigrams and trigrams of the texts; contexts are among the first two."""
+    found: list[list[np.ndarray]] = [[np.array([START])], [_pair(np.array([START]), np.array([START]))], []]
+    for _, _, words, at in T.hashed(texts):
+        u, v, w, _ = _positions(words, at)
+        vw = _pair(v, w)
+        for own, x in zip(found, (w, vw, _pair(u, vw)), strict=True):
+            own.append(np.unique(x))
+    return [np.unique(np.concatenate(x)) for x in found]
+
+
+ASKED = pa.schema([("part", pa.int32()), ("shard", pa.int32()), *((f"x{k}", pa.binary()) for k in (1, 2, 3))])
+ANSWERED = pa.schema([("part", pa.int32()), ("shard", pa.int32()), *((f"x{k}", pa.binary()) for k in (1, 2, 3)), *((f"c{k}", pa.binary()) for k in (1, 2))])
+
+
+def _sql(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'binary' if pa.types.is_binary(f.type) else 'int'}" for f in schema)
+
+
+def score(docs: DataFrame, counts: DataFrame, sums: Sums, shards: int) -> DataFrame:
+    """doc_id, lang, n_tokens, log10_prob and perplexity of docs with doc_id, lang and text."""
+    rows = S.with_part(docs.select("doc_id", "lang", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), S.parts_for(docs), "doc_id", "text")
+
+    def ask(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        keys = _asked(group["text"])
+        at = [S.by_shard(x, shards) for x in keys]
+        blobs = {f"x{n + 1}": [S.blob(x[b[k] : b[k + 1]]) for k in range(shards)] for n, (x, b) in enumerate(zip(keys, at, strict=True))}
+        return S.table(ASKED, part=[key[0].as_py()] * shards, shard=list(range(shards)), **blobs)
+
+    asked = rows.groupBy("part").applyInArrow(ask, _sql(ASKED))
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        t = _tables(*(right[c].to_pylist() for c in ("kind", "keys", "vals")))
+        look = lambda kind, x: [S.blob(Model.get(t[kind], np.frombuffer(b.as_py(), U64))) for b in left[x]]
+        found = {f"x{k}": look(GRAM + k, f"x{k}") for k in (1, 2, 3)} | {f"c{k}": look(CONTEXT + k, f"x{k}") for k in (1, 2)}
+        return S.table(ANSWERED, part=left["part"].combine_chunks(), shard=left["shard"].combine_chunks(), **found)
+
+    answered = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(answer, _sql(ANSWERED))
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = _asked(left["text"])
+        right = right.take(pc.sort_indices(right["shard"]))
+        t = {c: np.frombuffer(b"".join(right[c].to_pylist()), np.int64) for c in ANSWERED.names[2:]}
+        m = Model([(keys[k], t[f"x{k + 1}"]) for k in range(3)], [(keys[k], t[f"c{k + 1}"].reshape(-1, 4)) for k in range(2)], sums)
+        total, count = np.zeros(left.num_rows), np.zeros(left.num_rows, np.int64)
+        for i, j, words, at in T.hashed(left["text"]):
+            u, v, w, bounds = _positions(words, at)
+            total[i:j] = np.add.reduceat(m.log10(u, v, w), bounds[:-1])
+            count[i:j] = np.diff(bounds)
+        return pa.table({"doc_id": left["doc_id"], "lang": left["lang"], "n_tokens": pa.array(count), "log10_prob": pa.array(total), "perplexity": pa.array(10 ** np.minimum(-total / np.maximum(count, 1), 300))})
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]
-    return docs.mapInArrow(run, ", ".join([*fields, "n_tokens long, log10_prob double, perplexity double"]))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(finish, f"doc_id {kind}, lang string, n_tokens long, log10_prob double, perplexity double")
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, learn: Column | None = None) -> DataFrame:
@@ -162,8 +283,9 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, le
     """
     learn = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0 if learn is None else learn
     trusted = trusted.select("doc_id").where("doc_id is not null").distinct()
-    model = train(docs, trusted.where(learn))
-    scores = S.kept(score(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text"), model))
+    shards = max(S.partitions(docs.sparkSession), S.parts_for(docs) // 2)
+    counts, sums = count(docs, trusted.where(learn), shards)
+    scores = S.kept(score(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text"), counts, sums, shards))
     held = scores.join(trusted.where(~learn), "doc_id")
     marks = held.groupBy("lang").agg(F.percentile("perplexity", quantile).alias("threshold"))
     overall = held.agg(F.percentile("perplexity", quantile).alias("overall")).first()["overall"]

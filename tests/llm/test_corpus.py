@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import components, ctw, decontaminate, jaccard, jpeg, media, packing, perplexity, pii, repeats, tokens, toxicity, wavelet
 from cadenza.llm import text as T
@@ -395,6 +396,41 @@ def test_quality_classifier(spark):
     assert all(r["keep"] for r in untrained.collect())
 
 
+def test_quality_model_learns_from_all_trusted_texts(spark):
+    rnd = random.Random(8)
+    prose = lambda k: " ".join(f"w{int(rnd.random() ** 2 * 60)}" for _ in range(k))
+    rows = [(i, prose(rnd.randint(0, 6)), "en") for i in range(1_700)] + [(1_700, prose(9_000), "en"), (1_701, "w1 w2 unseen", "en"), (1_702, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(1_701)], "doc_id long")
+    found = {r["doc_id"]: r for r in perplexity.classify(docs, trusted, learn=F.col("doc_id") % 20 != 1).collect()}
+    padded = {i: ["<s>", "<s>", *(t or "").split(), "</s>"] for i, t, _ in rows}
+    three = collections.Counter(tuple(w[k - 2 : k + 1]) for i, w in padded.items() if i <= 1_700 and i % 20 != 1 for k in range(2, len(w)))
+    two = collections.Counter(g[1:] for g in three)
+    counts = [collections.Counter(g[1:] for g in two), two, three]
+    of, cuts = [], []
+    for table in counts:
+        n = collections.Counter(table.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0
+        d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / max(1, n[3])] if y else [0.5] * 3
+        cuts.append([0, *(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))])
+        of.append(collections.defaultdict(list))
+        for g, c in table.items():
+            of[-1][g[:-1]].append(c)
+
+    def probability(g, order):
+        own, d = of[order].get(g[:-1]), cuts[order]
+        shorter = probability(g[1:], order - 1) if order else 1 / (len(counts[0]) + 1)
+        if not own:
+            return shorter
+        c = counts[order][g]
+        return (c - d[min(c, 3)]) / sum(own) + sum(d[min(x, 3)] for x in own) / sum(own) * shorter
+
+    for i in (*range(0, 1_700, 50), 1_700, 1_701, 1_702):
+        w = padded[i]
+        assert found[i]["n_tokens"] == len(w) - 2
+        assert found[i]["log10_prob"] == pytest.approx(sum(math.log10(probability(tuple(w[k - 2 : k + 1]), 2)) for k in range(2, len(w)))), i
+
+
 # --- 8 -------------------------------------------------------------------------
 
 
