@@ -1,8 +1,9 @@
 """Context-tree weighting language model of tokens, learned from all training documents.
 
 A token is coded as its bytes and an end mark; the context of a byte is the
-bytes of its token before it, back to the mark at the token's start, at most
-``DEPTH`` of them.  Each byte is eight binary decisions, each with a context tree
+``DEPTH`` bytes before it, either in the running text of its document, end marks
+and previous tokens included, or in its token alone, back to the mark at the
+token's start.  Each byte is eight binary decisions, each with a context tree
 of its own.  Every node of a tree, at every depth, has a Krichevsky-Trofimov
 estimate, and the node's weighted probability is half that estimate plus half
 the product of its children's (Willems, Shtarkov and Tjalkens, 1995; the
@@ -14,7 +15,9 @@ distinct tokens only.  Word shards ask context groups, by the two nearest bytes,
 about their distinct contexts; a group holds all of a subtree from depth two on.
 Depths one and zero have at most 255 * 257 nodes and are summed by Spark and
 handed to all.  Answers return the same way: log-probabilities of contexts to
-words, and counts and log-probabilities of words to documents.
+words, and counts and log-probabilities of words to documents.  With the contexts
+of running texts, parts ask the context groups themselves, and the word shards
+give counts only.
 
 Edge cases: null and empty texts hold the end token alone; a null doc_id counts
 as training; repeated rows each count; with no training row all estimates are
@@ -36,6 +39,8 @@ U64 = np.uint64
 DEPTH = 7
 #: Marks the start of a token in contexts and its end among symbols; no token holds it.
 MARK = 0x20
+#: Context groups of running texts, at least: they hold many more contexts than words do.
+GROUPS = 256
 LOG_HALF = np.log(0.5)
 
 
@@ -68,13 +73,43 @@ def contexts(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inside[ends - 1] = False
     stream[inside] = data
     at = np.concatenate([[0], ends])
+    return _keys(stream, at), at
+
+
+def _keys(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The symbols with what comes before them, back to the offsets ``at``."""
     place = np.arange(len(stream)) - np.repeat(at[:-1], np.diff(at))
     key = stream.copy()
     for d in range(1, DEPTH + 1):
         before = np.full(len(stream), MARK, U64)
         before[d:] = np.where(place[d:] >= d, stream[:-d], U64(MARK))
         key |= before << U64(8 * d)
-    return key, at
+    return key
+
+
+def running(texts: pa.ChunkedArray):
+    """(i, j, keys, j - i + 1 offsets) for runs of whole texts: each text is its tokens with their end marks, and the end token."""
+    data, offsets = T.buffers(texts)
+    for i, j in T.slices(offsets):
+        part = T.LOWER[data[offsets[i] : offsets[j]]]
+        starts, ends, at = T.spans(part, offsets[i : j + 1] - offsets[i])
+        marks = np.cumsum(np.insert(ends - starts, at[1:], 0) + 1)
+        stream = np.full(marks[-1], MARK, U64)
+        inside = np.ones(len(stream), bool)
+        inside[marks - 1] = False
+        stream[inside] = part[~T.WHITE[part]]
+        bounds = np.concatenate([[0], marks])[at + np.arange(len(at))]
+        yield i, j, _keys(stream, bounds), bounds
+
+
+def running_counts(texts: pa.ChunkedArray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all texts, and how often the learned ones hold them."""
+    found = []
+    for i, j, keys, at in running(texts):
+        names, place = np.unique(keys, return_inverse=True)
+        found.append((names, np.bincount(place, np.repeat(learned[i:j], np.diff(at)), len(names))))
+    keys, place = np.unique(np.concatenate([n for n, _ in found]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
 
 
 def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
@@ -122,7 +157,7 @@ class Subtree:
         name, _, _, below = self.levels[2]
         upper, at = np.unique(name & U64(0xFFFF), return_inverse=True)
         sums = [np.bincount(at, x, len(upper)) for x in (self.zeros, self.ones, below)]
-        return pa.table({"node": pa.array(upper.astype(np.int64)), "zeros": pa.array(sums[0]), "ones": pa.array(sums[1]), "below": pa.array(sums[2])})
+        return pa.table({"node": pa.array(upper.astype(np.int64)), "zeros": pa.array(sums[0], pa.float64()), "ones": pa.array(sums[1], pa.float64()), "below": pa.array(sums[2], pa.float64())})
 
     def log10(self, keys: np.ndarray, root: np.ndarray) -> np.ndarray:
         """Log10 of the probability of each symbol in its context."""
@@ -196,13 +231,15 @@ def _distinct(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
     return coded.dictionary, total, index, sizes
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", running_text: bool = False) -> DataFrame:
     """Adds to each document the scores of the count-based unigram and of the context-tree model.
 
     Rows for which ``held_out`` holds are scored, and nothing is learned from them.
+    ``running_text`` says that contexts go back over previous tokens.
     """
     spark = docs.sparkSession
     shards = groups = S.partitions(spark)
+    groups = max(groups, GROUPS) if running_text else groups
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     rows = S.with_part(rows, S.parts_for(docs), "doc_id", "text")
 
@@ -222,9 +259,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     def ask_contexts(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         words, total, _, _ = _distinct(group)
+        if running_text:
+            return by_group(key[0].as_py(), np.zeros(0, U64), np.zeros(0, np.int64), total)
         keys, at = contexts(words)
         keys, place = np.unique(keys, return_inverse=True)
-        counts = np.bincount(place, np.repeat(total, np.diff(at)), len(keys)).astype(np.int64)
+        return by_group(key[0].as_py(), keys, np.bincount(place, np.repeat(total, np.diff(at)), len(keys)).astype(np.int64), total)
+
+    def by_group(name: int, keys: np.ndarray, counts: np.ndarray, total: np.ndarray) -> pa.Table:
         of = group_of(keys, groups)
         order = np.argsort(of, kind="stable")
         bounds = np.searchsorted(of[order], np.arange(groups + 1))
@@ -232,7 +273,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         out = [(S.blob(keys[o]), S.blob(counts[o])) for o in (order[bounds[k] : bounds[k + 1]] for k in full)]
         stats = (S.blob(np.array([total.sum()], np.int64)), S.blob(np.array([(total > 0).sum()], np.int64)))
         n = len(full) + 1
-        return pa.table({"shard": pa.array([key[0].as_py()] * n, pa.int32()), "grp": pa.array([-1, *full.tolist()], pa.int32()), "keys": pa.array([stats[0], *(x[0] for x in out)], pa.binary()), "counts": pa.array([stats[1], *(x[1] for x in out)], pa.binary())})
+        return pa.table({"shard": pa.array([name] * n, pa.int32()), "grp": pa.array([-1, *full.tolist()], pa.int32()), "keys": pa.array([stats[0], *(x[0] for x in out)], pa.binary()), "counts": pa.array([stats[1], *(x[1] for x in out)], pa.binary())})
 
     wanted = S.kept(asked.groupBy("shard").applyInArrow(ask_contexts, "shard int, grp int, keys binary, counts binary"))
 
@@ -243,6 +284,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         train_distinct += int.from_bytes(r["counts"], "little")
     wanted = wanted.where("grp >= 0")
 
+    def ask_running(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        keys, counts = running_counts(group["text"], ~group["held_out"].to_numpy().astype(bool))
+        return by_group(key[0].as_py(), keys, counts, np.zeros(0, np.int64)).slice(1)
+
+    if running_text:  # parts take the place of word shards
+        wanted = S.kept(rows.groupBy("part").applyInArrow(ask_running, "shard int, grp int, keys binary, counts binary"))
+
     def gathered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         each = [np.frombuffer(x.as_py(), U64) for x in group["keys"]]
         keys, at = np.unique(np.concatenate(each), return_inverse=True)
@@ -277,18 +325,34 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         cut = [(S.blob(total[index[e - n : e]]), S.blob(score[index[e - n : e]])) for e, n in zip(ends, sizes, strict=True)]
         return pa.table({"part": left["part"], "shard": left["shard"], "counts": pa.array([c for c, _ in cut], pa.binary()), "scores": pa.array([s for _, s in cut], pa.binary())})
 
-    words = asked.groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(answer_words, "part int, shard int, counts binary, scores binary")
+    def count_words(group: pa.Table) -> pa.Table:
+        _, total, index, sizes = _distinct(group)
+        ends = np.cumsum(sizes)
+        return pa.table({"part": group["part"], "shard": group["shard"], "counts": pa.array([S.blob(total[index[e - n : e]]) for e, n in zip(ends, sizes, strict=True)], pa.binary()), "scores": pa.array([None] * group.num_rows, pa.binary())})
+
+    if running_text:
+        found = answered.select(F.col("shard").alias("part"), F.col("grp").alias("shard"), F.lit(None).cast("binary").alias("counts"), F.col("found").alias("scores"))
+        words = asked.groupBy("shard").applyInArrow(count_words, "part int, shard int, counts binary, scores binary").unionByName(found)
+    else:
+        words = asked.groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(answer_words, "part int, shard int, counts binary, scores binary")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         index, _, at = _tokens(left["text"])
         right = right.take(pc.sort_indices(right["shard"]))
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in right["counts"]])
-        scores = np.concatenate([np.frombuffer(x.as_py(), np.float64) for x in right["scores"]])
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in right["counts"].drop_null()])
+        scores = np.concatenate([np.frombuffer(x.as_py(), np.float64) for x in right["scores"].drop_null()])
         base = np.log10((counts + 1) / (train_tokens + train_distinct + 1))
-        sums = [np.add.reduceat(x[index], at[:-1]) for x in (base, scores, (counts > 0).astype(np.int64))]
+        sums = [np.add.reduceat(x[index], at[:-1]) for x in (base, (counts > 0).astype(np.int64))]
+        if running_text:
+            keys, _ = running_counts(left["text"], np.zeros(left.num_rows, bool))
+            of_key = np.empty(len(keys))
+            of_key[np.argsort(group_of(keys, groups), kind="stable")] = scores
+            score = np.concatenate([np.add.reduceat(of_key[np.searchsorted(keys, k)], b[:-1]) for _, _, k, b in running(left["text"])])
+        else:
+            score = np.add.reduceat(scores[index], at[:-1])
         letters = T.buffers(left["text"])[1]
         n = left.num_rows
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(np.diff(at)), "n_known": pa.array(sums[2]), "train_tokens": pa.array(np.full(n, train_tokens, np.int64)), "base_score": pa.array(sums[0]), "score": pa.array(sums[1]), "bits_per_byte": pa.array(-sums[1] / np.log10(2) / np.maximum(1, np.diff(letters)))})
+        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(np.diff(at)), "n_known": pa.array(sums[1]), "train_tokens": pa.array(np.full(n, train_tokens, np.int64)), "base_score": pa.array(sums[0]), "score": pa.array(score), "bits_per_byte": pa.array(-score / np.log10(2) / np.maximum(1, np.diff(letters)))})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

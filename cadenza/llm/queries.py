@@ -31,7 +31,7 @@ def _fold(n: int) -> Column:
 
 
 def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score(_documents(spark, sf_dir), _fold(7) == 2)
+    return ctw.score(_documents(spark, sf_dir), _fold(7) == 2, running_text=True)
 
 
 def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:

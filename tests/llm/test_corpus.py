@@ -602,6 +602,67 @@ def test_context_tree(docs, rows):
             assert by[i] == pytest.approx(brute_ctw(train, ws), rel=1e-6)
 
 
+def brute_running_ctw(train, test):
+    """The same over whole documents, whose contexts go back over previous tokens."""
+    counts, children = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+
+    def steps(tokens):
+        data = b"".join(t + b" " for t in tokens)
+        for k, symbol in enumerate(data):
+            past = (b" " * ctw.DEPTH + data[:k])[-ctw.DEPTH :][::-1]
+            for level in range(8):
+                yield past, (1 << level) | symbol >> (8 - level), symbol >> (7 - level) & 1
+
+    for past, node, bit in itertools.chain.from_iterable(map(steps, train)):
+        for d in range(ctw.DEPTH + 1):
+            counts[node, past[:d]][bit] += 1
+            children[node, past[: d - 1] if d else None].add(past[:d])
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    memo = {}
+
+    def weighted(node, c):
+        if (node, c) not in memo:
+            own = kt(*counts[node, c])
+            below = sum(weighted(node, x)[0] for x in children[node, c]) if len(c) < ctw.DEPTH else None
+            memo[node, c] = (own, 1.0) if below is None else (math.log(0.5) + np.logaddexp(own, below), 1 / (1 + math.exp(min(700, below - own))))
+        return memo[node, c]
+
+    total = 0.0
+    for past, node, bit in steps(test):
+        p = 0.5
+        for d in range(ctw.DEPTH, -1, -1):
+            if (node, past[:d]) in counts:
+                a, b = counts[node, past[:d]]
+                share = weighted(node, past[:d])[1]
+                p = share * (b + 0.5) / (a + b + 1) + (1 - share) * p
+        total += math.log10(p if bit else 1 - p)
+    return total
+
+
+def test_context_tree_of_running_texts(docs, rows):
+    found = ctw.score(docs, F.col("doc_id") % 5 == 2, running_text=True).collect()
+    token_lists = [(i, [w.encode() for w in WORD.findall(lower(t or ""))] + [b""]) for i, t in rows]
+    train = [ws for i, ws in token_lists if not (i is not None and i % 5 == 2)]
+    alone = {(r["doc_id"], r["base_score"]): r for r in ctw.score(docs, F.col("doc_id") % 5 == 2).collect()}
+    for r in found:
+        other = alone[r["doc_id"], r["base_score"]]
+        assert all(r[c] == other[c] for c in ("held_out", "n_tokens", "n_known", "train_tokens"))
+    by = {r["doc_id"]: r["score"] for r in found if r["doc_id"] is not None}
+    for i, ws in token_lists:
+        if i in (2, 7, 30, 37, 52):
+            assert by[i] == pytest.approx(brute_running_ctw(train, ws), rel=1e-6)
+
+
+def test_a_word_costs_less_after_the_one_it_follows(spark, tmp_path):
+    from cadenza.llm import queries
+
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, ("xa b", "xc d")[k % 2]) for k, i in enumerate(i for i in range(90) if zlib.crc32(str(i).encode()) % 7 != 2)] + list(zip(held, ("xa b", "xa d"), strict=True))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    by = {r["doc_id"]: r["score"] for r in queries.op10_context_tree(spark, str(tmp_path)).collect()}
+    assert by[held[0]] > by[held[1]] + 0.5
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 7.9, 8, 1000.5, 1e9])
     assert ctw.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-12)
