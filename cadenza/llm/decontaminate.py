@@ -4,8 +4,10 @@ Every item has a 64-bit SimHash of its words.  A document that shares a shingle
 of five words with an item is slid over in windows of as many words as the item
 has, and each window gets a SimHash.  Four blocks of 16 bits are indexed with all
 values within BLOCK_RADIUS bits, so every window within RADIUS bits of an item
-is found (of 11 differing bits, some block has at most two).  What is found is
-verified exactly: the weighted Jaccard similarity of the shingles of window and
+is found (of 11 differing bits, some block has at most two).  Similar windows may
+lie farther, so those about the shared shingles that the fingerprints leave out
+are candidates too, where the shared shingles alone allow the similarity.  What is
+found is verified exactly: the weighted Jaccard similarity of the shingles of window and
 item, with weights by how few items hold a shingle, must reach SIMILARITY.
 
 A window that shares no shingle with an item can't be similar to it, so leaving
@@ -126,6 +128,18 @@ class Items:
         both = float((weight * shared).sum())
         return both / (self.mass[item] + float((weight * count).sum()) - both)
 
+    def possible(self, words: np.ndarray, item: int, width: int) -> np.ndarray:
+        """Windows whose shingles that the item holds, counted as often as they occur, allow SIMILARITY."""
+        names = _shingles(words, self.width[item])
+        inner = width - self.width[item] + 1
+        if inner < 1 or len(names) < inner:
+            return np.zeros(0, np.int64)
+        own, _ = self.bag[item]
+        at = np.minimum(np.searchsorted(own, names), len(own) - 1)
+        shared = np.concatenate([[0.0], np.cumsum(np.where(own[at] == names, self.weigh(names), 0.0))])
+        # Similarity is at most what is shared over the item's mass.
+        return np.flatnonzero(shared[inner:] - shared[:-inner] >= SIMILARITY * self.mass[item] * (1 - 1e-9) - 1e-9)
+
     def search(self, words: np.ndarray, items: np.ndarray) -> list[tuple[int, int, int, float]]:
         """Of these items, those that the text holds: item, first word, words, similarity of the best window."""
         planes, best = _planes(words), {}
@@ -134,7 +148,9 @@ class Items:
             width = min(n, len(words))
             windows, found = self.near(simhashes(planes, width))
             mine = np.isin(found, items[size == n])
-            for w, i in zip(windows[mine].tolist(), found[mine].tolist(), strict=True):
+            near = set(zip(windows[mine].tolist(), found[mine].tolist(), strict=True))
+            near |= {(w, i) for i in items[size == n].tolist() for w in self.possible(words, i, width).tolist()}
+            for w, i in sorted(near):
                 s = self.similarity(words[w : w + width], i)
                 if s >= SIMILARITY and s > best.get(i, (0, 0, 0.0))[2]:
                     best[i] = (w, width, s)

@@ -256,6 +256,24 @@ def test_decontamination(spark):
     assert none.count() == 0 and none.columns == ["doc_id", "item_id", "start_word", "n_words", "similarity"]
 
 
+def test_decontamination_at_the_bound():
+    """Items with words replaced at both ends, similarity 0.8 to 0.85, against brute force over all windows."""
+    rnd = np.random.default_rng(4)
+    words = [rnd.integers(0, 1 << 62, n).astype(np.uint64) for n in (13, 24, 33, 42, 50) for _ in range(40)]
+    items, far, bound = decontaminate.Items(list(range(len(words))), words), 0, 0
+    for k, own in enumerate(words):
+        for changed in range(1, 7):
+            leak = own.copy()
+            leak[: changed // 2], leak[len(own) - changed + changed // 2 :] = (rnd.integers(0, 1 << 62, m).astype(np.uint64) for m in (changed // 2, changed - changed // 2))
+            text = np.concatenate([rnd.integers(0, 1 << 62, 30).astype(np.uint64), leak, rnd.integers(0, 1 << 62, 30).astype(np.uint64)])
+            best = max(items.similarity(text[w : w + len(own)], k) for w in range(len(text) - len(own) + 1))
+            found = {i: s for i, _, _, s in items.search(text, np.array([k]))}
+            assert found == ({k: best} if best >= decontaminate.SIMILARITY else {})
+            bound += 0.8 <= best <= 0.85
+            far += best >= 0.8 and np.bitwise_count(items.prints[k] ^ decontaminate.simhashes(decontaminate._planes(leak), len(own))[0]) > decontaminate.RADIUS
+    assert bound > 50 and far > 5
+
+
 def test_every_fingerprint_within_the_radius_is_found():
     rnd = np.random.default_rng(0)
     words = [rnd.integers(0, 1 << 62, 30).astype(np.uint64) for _ in range(20)]
