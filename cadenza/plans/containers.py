@@ -79,7 +79,9 @@ def adts_round_trip(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
 
     def trip(key, rows: pd.DataFrame) -> pd.DataFrame:
-        stream = b"".join(C.adts_frame(t.encode()[:2000], 48000, 2) for t in rows.sort_values("turn")["text"])
+        # A frame's length has 13 bits: longer turns take several frames.
+        pieces = (raw[k : k + 8184] for raw in (t.encode() for t in rows.sort_values("turn")["text"]) for k in range(0, max(1, len(raw)), 8184))
+        stream = b"".join(C.adts_frame(piece, 48000, 2) for piece in pieces)
         frames = C.adts_frames(C.demux_m4a(C.mux_m4a(stream)))
         return pd.DataFrame([(key[0], len(frames), max(f.length for f in frames), sum(len(f.payload) for f in frames))], columns=["conv_id", "frames", "longest", "payload"])
 

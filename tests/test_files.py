@@ -170,3 +170,12 @@ def test_silent_mp3_of_all_rates(rate, channels):
 
     raw = lossy.encode("mp3", Pcm(rate, channels, np.zeros(3000 * channels)))
     assert {(h.rate, h.channels) for _, h in C.mpeg_frames(raw)} == {(rate, channels)}
+
+
+def test_adts_frames_hold_whole_turns(spark, tmp_path):
+    from cadenza import plans
+
+    rows = [(1, 0, "é" * 1500), (1, 1, ""), (2, 0, "a" * 8184), (3, 0, "b" * 20000), (3, 1, None), (4, 0, "c" * 8185)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r["conv_id"]: (r["frames"], r["longest"], r["payload"]) for r in plans.QUERIES["adts_round_trip"](spark, str(tmp_path)).collect()}
+    assert found == {1: (2, 3007, 3000), 2: (1, 8191, 8184), 3: (4, 8191, 20000), 4: (2, 8191, 8185)}
