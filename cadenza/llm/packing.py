@@ -31,49 +31,73 @@ from . import tokens as K
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
-#: Terms of a seed that ask the index: its rarest, by weight.
-QUERY_TERMS = 16
 
 
 class Bm25Index:
-    """Inverted index of a shard: for each term, its documents and their weights."""
+    """Inverted index of a shard: for each term, its documents and their weights.
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray):
+    ``corpus`` gives sorted hashes of terms, how many documents of all shards hold
+    each, and the number and mean length of these; without it, the texts are all.
+    """
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, corpus: tuple[np.ndarray, np.ndarray, int, float] | None = None):
         index, distinct, at = T.encoded(texts, lower=True)
         n, terms = len(at) - 1, max(1, len(distinct))
         lengths = np.diff(at)
         pairs, tf = np.unique(np.repeat(np.arange(n), lengths) * terms + index, return_counts=True)
         self.doc, self.term = pairs // terms, pairs % terms
         df = np.bincount(self.term, minlength=terms)
-        self.df, idf = df, np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1e-9, lengths.mean() if n else 1))
+        self.df, held, number, mean = df, df, n, lengths.mean() if n else 1
+        if corpus is not None and len(distinct):
+            held, number, mean = corpus[1][np.searchsorted(corpus[0], _hashes(distinct))], corpus[2], corpus[3]
+        idf = np.log1p((number - held + 0.5) / (held + 0.5))
+        norm = K1 * (1 - B + B * lengths / max(1e-9, mean))
         weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])
         self.weight = weight
         self.doc_at = np.searchsorted(self.doc, np.arange(n + 1))
         order = np.argsort(self.term, kind="stable")
         self.post_doc, self.post_weight = self.doc[order], weight[order]
         self.term_at = np.concatenate([[0], np.cumsum(df)])
-        self.score = np.zeros(n)
+        self.n = n
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first."""
-        lo, hi = self.doc_at[seed], self.doc_at[seed + 1]
-        terms, weight = self.term[lo:hi], self.weight[lo:hi]
-        shared = self.df[terms] > 1
-        terms, weight = terms[shared], weight[shared]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
+        """Unused documents that share a term with the seed, best first."""
+        terms = self.term[self.doc_at[seed] : self.doc_at[seed + 1]]
+        terms = terms[self.df[terms] > 1]
         if not len(terms):
             return terms
         at = T.ragged(self.term_at[terms], self.df[terms])
-        docs = self.post_doc[at]
-        free = ~used[docs]
-        docs, weights = docs[free], self.post_weight[at[free]]
-        np.add.at(self.score, docs, weights)
-        found = np.unique(docs)
-        ranked = found[np.argsort(-self.score[found], kind="stable")]
-        self.score[docs] = 0
-        return ranked
+        score = np.bincount(self.post_doc[at], self.post_weight[at], self.n)
+        found = np.flatnonzero((score > 0) & ~used)
+        return found[np.argsort(-score[found], kind="stable")]
+
+
+def _hashes(terms: pa.Array) -> np.ndarray:
+    data, offsets = T.buffers(terms)
+    return T.word_hashes(data, offsets[:-1], offsets[1:])
+
+
+def _held(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes of all terms, how many texts hold each, and the length of all texts."""
+    index, distinct, at = T.encoded(texts, lower=True)
+    terms = max(1, len(distinct))
+    pairs = np.unique(np.repeat(np.arange(len(at) - 1), np.diff(at)) * terms + index)
+    hashes, place = np.unique(_hashes(distinct), return_inverse=True)
+    return hashes, np.bincount(place[pairs % terms], minlength=len(hashes)) if len(pairs) else np.zeros(0, np.int64), len(index)
+
+
+ASKED = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("held", pa.binary()), ("n", pa.int64()), ("length", pa.int64())])
+ASKED_SQL = "part int, shard int, keys binary, held binary, n long, length long"
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """For each part's terms at a shard, how many documents hold them; numbers and lengths of all documents."""
+    keys = [np.frombuffer(x.as_py(), np.uint64) for x in group["keys"]]
+    _, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group["held"]])).astype(np.int64)[place]
+    cut = np.split(total, np.cumsum([len(k) for k in keys])[:-1])
+    sums = (pc.sum(group[c]).as_py() for c in ("n", "length"))
+    return S.table(ASKED, part=group["part"].combine_chunks(), shard=group["shard"].combine_chunks(), keys=[b""] * len(cut), held=[S.blob(x) for x in cut], **{c: [x] * len(cut) for c, x in zip(("n", "length"), sums, strict=True)})
 
 
 def layout(index: Bm25Index, lengths: np.ndarray, window: int) -> np.ndarray:
@@ -128,13 +152,24 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, vocabulary: str |
     if window < 1 or window & (window - 1):
         raise ValueError("the window must be a power of two")
 
-    def pack_shard(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    shards = S.partitions(docs.sparkSession)
+
+    def ask(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        keys, held, length = _held(group["text"])
+        at = S.by_shard(keys, shards)
+        cut = lambda x: [S.blob(x[at[k] : at[k + 1]]) for k in range(shards)]
+        return S.table(ASKED, part=[key[0].as_py()] * shards, shard=list(range(shards)), keys=cut(keys), held=cut(held.astype(np.int64)), n=[group.num_rows] * shards, length=[length] * shards)
+
+    def pack_shard(key: tuple[pa.Scalar, ...], group: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.take(pc.sort_indices(answers["shard"]))
+        held = np.frombuffer(b"".join(answers["held"].to_pylist()), np.int64)
+        number, length = answers["n"][0].as_py(), answers["length"][0].as_py()
         group = group.take(pc.sort_indices(group, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
         texts = group["text"]
         ids, at = K.encoder(vocabulary).encode(texts)
         ids = np.insert(ids, at[1:], end_id)
         lengths = np.diff(at) + 1
-        order = layout(Bm25Index(texts), lengths, window)
+        order = layout(Bm25Index(texts, (_held(texts)[0], held, number, length / number)), lengths, window)
         first = np.concatenate([[0], np.cumsum(lengths[order])])
         stream = ids[T.ragged((np.cumsum(lengths) - lengths)[order], lengths[order])].astype("<u4")
         sequences = sequence_starts(len(stream), window)
@@ -159,4 +194,5 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, vocabulary: str |
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = S.with_part(rows, S.parts_for(docs), "doc_id", "text")
-    return rows.groupBy("part").applyInArrow(pack_shard, SCHEMA + ", ids array<int>" * with_ids)
+    answered = rows.groupBy("part").applyInArrow(ask, ASKED_SQL).groupBy("shard").applyInArrow(_summed, ASKED_SQL)
+    return rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(pack_shard, SCHEMA + ", ids array<int>" * with_ids)

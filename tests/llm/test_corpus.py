@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.llm import components, ctw, decontaminate, jaccard, jpeg, media, packing, perplexity, pii, repeats, tokens, toxicity, wavelet
+from cadenza.llm import shards as S
 from cadenza.llm import text as T
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -129,6 +130,23 @@ def test_packing_puts_like_documents_together(spark):
     assert sorted(order.tolist()) == list(range(64)) and same > 40
 
 
+def test_packing_weighs_terms_over_the_corpus_and_asks_with_all(spark):
+    """A neighbour that shares only a seed's lightest terms is found; df, number and mean length are those of all texts."""
+    seed = " ".join([f"r{k} " * 3 for k in range(16)] + ["light"])
+    texts = pa.array([seed, "light other", "nothing", *(" ".join(f"r{k}" for k in range(16)) for _ in range(2))])
+    index = packing.Bm25Index(texts)
+    assert set(index.neighbours(0, np.array([True, False, False, False, False])).tolist()) == {1, 3, 4}
+    keys, held, length = packing._held(texts)
+    halves = [packing._held(texts.slice(a, n)) for a, n in ((0, 2), (2, 3))]
+    table = S.table(packing.ASKED, part=[0, 1], shard=[0, 0], keys=[S.blob(k) for k, _, _ in halves], held=[S.blob(h.astype(np.int64)) for _, h, _ in halves], n=[2, 3], length=[n for _, _, n in halves])
+    back = packing._summed(table).to_pylist()
+    for (k, _, _), r in zip(halves, back, strict=True):
+        assert (r["n"], r["length"]) == (5, length)
+        assert np.frombuffer(r["held"], np.int64).tolist() == held[np.searchsorted(keys, k)].tolist()
+    alone = packing.Bm25Index(texts.slice(0, 2), (halves[0][0], np.frombuffer(back[0]["held"], np.int64), 5, length / 5))
+    assert alone.weight.tolist() == pytest.approx(index.weight[: len(alone.weight)].tolist())
+
+
 def test_token_files(spark, docs, rows, tmp_path):
     path = str(tmp_path / "tokens")
     wavelet.write_tokens(docs, path, tokens.vocabulary_path())
