@@ -258,11 +258,12 @@ def _body(raw: bytes) -> np.ndarray:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without all but one of each component: the one with the smallest id."""
-    found = S.kept(join(docs))
-    keep = found.where("component_id <=> doc_id")
-    kept = docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi") if "doc_id" in docs.columns else docs
-    nulls = docs.where("doc_id is null")
-    if keep.groupBy("doc_id").count().where("count > 1").take(1):
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(nulls).select(*docs.columns)
+    """The documents without all but one of each component: the one with the smallest id, and of that with the smallest text; null ids come last."""
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").take(1):
+        keep = S.kept(join(docs)).where("component_id = doc_id").select("doc_id")
+        return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    # Ids don't tell rows apart: numbers in their order do.
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    rows = S.kept(rows.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id()))
+    keep = S.kept(join(rows, "_row")).where("component_id = doc_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)

@@ -225,6 +225,13 @@ def test_one_of_each(docs, rows):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([*(str(i) for i in want if i is not None), "None", "None"])
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(20)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, b), (3, c), (None, c), (None, d), (None, d), (4, a)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("1", a), ("1", b), ("3", c), ("None", d)]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r["node"]: r["root"] for r in components.components(links).collect()}
