@@ -17,8 +17,9 @@ ITEMS, each small enough to go to every task; larger benchmarks take more blocks
 Edge cases: null and empty texts hold no item, and null or empty items are held
 by nothing; items and documents shorter than a shingle are compared as whole
 sequences; repeated rows are each reported; an empty table or benchmark gives no
-rows (``drop`` then keeps all documents); other columns are ignored by ``find``
-and pass through ``drop``.
+rows (``drop`` then keeps all documents); a row of null id is searched like any
+other; of windows that are equally similar the first is reported; other columns are
+ignored by ``find`` and pass through ``drop``.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import text as T
 
@@ -175,6 +177,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """One row for each document and item it holds: where, and how similar the best window is."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, start_word long, n_words long, similarity double"
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for items in _blocks(benchmark, item_col, text_col):
 
@@ -185,14 +188,24 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     for r, shared in items.sharing(words, at):
                         rows += [(i + r, items.ids[x], w, n, s) for x, w, n, s in items.search(words[at[r] : at[r + 1]], shared)]
                 row, item, start, n, s = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64())], names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(item, item_type), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64())], names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
         found = docs.select(id_col, text_col).mapInArrow(scan, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that hold no item."""
-    held = find(docs, benchmark, id_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(held, id_col, "left_anti").select(*docs.columns)
+def drop(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The documents that hold no item, each row judged alone, whatever its id."""
+    for items in _blocks(benchmark, item_col, text_col):
+
+        def scan(batches, items=items, at_col=docs.columns.index(text_col)):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for i, _, words, at in T.hashed(batch.column(at_col), lower=True):
+                    for r, shared in items.sharing(words, at):
+                        clean[i + r] = not items.search(words[at[r] : at[r + 1]], shared)
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(scan, docs.schema)
+    return docs

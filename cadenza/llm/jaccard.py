@@ -2,11 +2,12 @@
 
 A text's set holds the distinct shingles of SHINGLE lower-cased words.  Two sets
 link when 100 * intersection >= 85 * union.  Under any order of all shingles, two
-linked sets share one of the first n - ceil(0.85 n) + 1 shingles of either.  Each
-order here goes by the number of sets that hold a shingle, and breaks ties by a
-hash of its own; a pair is a candidate if it shares a prefix shingle under every
-order, and is then verified on the whole sets.  Rare shingles come first, so a
-passage that many texts share joins no texts that hold enough of their own.  Sets
+linked sets share one of the first n - ceil(0.85 n) + 1 shingles of either.  There
+are three orders: the rarest shingles first, the commonest first, and by a hash
+alone; a pair is a candidate if it shares a prefix shingle under every one, and is
+then verified on the whole sets.  Pairs are drawn under the first order, so a
+passage that many texts share joins no texts that hold enough of their own; the
+others drop pairs that share a few rare shingles and no more.  Sets
 also carry the parities of their shingles in 512 buckets: two sets differ in as
 many shingles at least as they have different parities, which rules out pairs of
 large groups before anything is joined.
@@ -19,7 +20,7 @@ that share prefix shingles are then compared, so no link between components is
 lost, while a large group of near copies costs a few comparisons for each.
 
 Shingle counts move between parts and shards as packed hashes.  A link's shingles
-are compared by 48 bits of their hashes.
+are compared by 56 bits of their hashes.
 
 Edge cases: null and empty texts, and texts of white space, have empty sets and
 link with nothing; fewer words than a shingle count as one whole sequence; rows
@@ -48,6 +49,8 @@ ORDERS = 3
 LEADER_ROUNDS = 2
 #: Words of 64 parities of a set.
 PARITIES = 8
+#: Bytes of a shingle's hash by which sets are compared.
+BODY = 7
 
 ORDER_COLUMNS = [f"order{k}" for k in range(ORDERS)]
 WORDS = [f"w{k}" for k in range(PARITIES)]
@@ -88,6 +91,7 @@ def _sizes(group: pa.Table) -> pa.Table:
     for i, keys, at in shingle_sets(group["text"]):
         n[i : i + len(at) - 1], names[i : i + len(at) - 1] = np.diff(at), _names(keys, at)
     # An empty set is a node of its own.
+    S.give_back()
     alone = T.mix(pc.fill_null(group["doc_id"], -1).to_numpy().astype(np.int64).view(U64) ^ U64(0x3C6EF372FE94F82B)).view(np.int64)
     return pa.table({"part": group["part"], "doc_id": group["doc_id"], "n": pa.array(n), "name": pa.array(np.where(n > 0, names, alone))})
 
@@ -131,6 +135,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     handlers = first.select("name", "f.part").groupBy("part").applyInArrow(pack, packed)
 
     def ask(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        S.give_back()
         keys = np.concatenate([np.zeros(0, U64), *(S.narrow(k, shards) for _, k, _ in _chosen(left, _wanted(right)))])
         keys, count = np.unique(keys, return_counts=True)
         bounds = np.searchsorted(keys >> U64(32), np.arange(shards + 1, dtype=U64))
@@ -151,6 +156,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return pa.table({"part": group["part"], "shard": group["shard"], "keys": pa.array([a for a, _ in out], pa.binary()), "more": pa.array([b for _, b in out], pa.binary())})
 
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
+        S.give_back()
         wanted = _wanted(right)
         right = right.filter(pc.greater_equal(right["shard"], 0))
         right = right.take(pc.sort_indices(right["shard"]))
@@ -159,29 +165,32 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         cols: dict[str, list] = {c: [] for c in ("name", "n", "own", *ORDER_COLUMNS, "parity", "body")}
         for names, keys, at in _chosen(left, wanted):
             near = np.minimum(np.searchsorted(known, S.narrow(keys, shards)), max(0, len(known) - 1))
-            df = np.where(known[near] == S.narrow(keys, shards), held[near], 1) if len(known) else np.ones(len(keys), np.int64)
+            df = np.where(known[near] == S.narrow(keys, shards), held[near].astype(np.int64), 1) if len(known) else np.ones(len(keys), np.int64)
             for name, a, b in zip(names.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 n, d, k = b - a, df[a:b], keys[a:b]
                 own, need = int((d == 1).sum()), (PERCENT * n + 99) // 100
                 if n - own < need:
                     continue  # too few shingles that any other set holds
-                for o, column in enumerate(ORDER_COLUMNS):
-                    best = np.lexsort((T.mix(k ^ U64(o + 1)), d))[: n - need + 1]
+                orders = np.lexsort((T.mix(k ^ U64(1)), d)), np.lexsort((T.mix(k ^ U64(2)), -d)), np.argsort(T.mix(k ^ U64(3)))
+                for column, order in zip(ORDER_COLUMNS, orders, strict=True):
+                    best = order[: n - need + 1]
                     cols[column].append(k[best][d[best] > 1].view(np.int64))
                 parity = np.bincount((T.mix(k ^ U64(0x1F83D9ABFB41BD6B)) % U64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
-                shared = np.sort(k[d > 1] >> U64(16)).astype("<u8")
-                body = shared.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                shared = np.sort(k[d > 1] >> U64(8)).astype("<u8")
+                body = shared.view(np.uint8).reshape(-1, 8)[:, :BODY].tobytes()
                 for c, v in (("name", name), ("n", n), ("own", own), ("parity", np.packbits(parity.astype(np.uint8)).view(np.int64)), ("body", body)):
                     cols[c].append(v)
         out = {c: pa.array(cols[c], t) for c, t in (("name", pa.int64()), ("n", pa.int32()), ("own", pa.int32()))}
-        out |= {c: pa.array(cols[c], pa.list_(pa.int64())) for c in ORDER_COLUMNS}
+        out[ORDER_COLUMNS[0]] = pa.array(cols[ORDER_COLUMNS[0]], pa.list_(pa.int64()))
+        # The other orders only rule pairs out, for which 32 bits do.
+        out |= {c: pa.array([x.astype(np.int32) for x in cols[c]], pa.list_(pa.int32())) for c in ORDER_COLUMNS[1:]}
         words = np.array(cols["parity"], np.int64).reshape(-1, PARITIES)
         out |= {f"w{i}": pa.array(np.ascontiguousarray(words[:, i])) for i in range(PARITIES)}
         return pa.table(out | {"body": pa.array(cols["body"], pa.binary())})
 
     asked = rows.groupBy("part").cogroup(handlers.groupBy("part")).applyInArrow(ask, packed)
     counted = asked.groupBy("shard").applyInArrow(count, packed)
-    schema = "name long, n int, own int, " + "".join(f"{c} array<long>, " for c in ORDER_COLUMNS) + "".join(f"{w} long, " for w in WORDS) + "body binary"
+    schema = "name long, n int, own int, " + f"{ORDER_COLUMNS[0]} array<long>, " + "".join(f"{c} array<int>, " for c in ORDER_COLUMNS[1:]) + "".join(f"{w} long, " for w in WORDS) + "body binary"
     emitted = S.kept(rows.groupBy("part").cogroup(counted.unionByName(handlers).groupBy("part")).applyInArrow(emit, schema))
     prefixes = emitted.select("name", "n", "own", *WORDS, F.explode(ORDER_COLUMNS[0]).alias("token"))
 
@@ -241,19 +250,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def check(batches):
         for batch in batches:
-            hit = []
-            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
-                u, v = (_body(z) for z in (x, y))
+            na, nb = (batch.column(c).to_numpy() for c in (2, 3))
+            (x, x_at), (y, y_at) = (T.buffers(batch.column(c)) for c in (4, 5))
+            hit = np.zeros(batch.num_rows, bool)
+            for r in range(batch.num_rows):
+                u, v = _body(x[x_at[r] : x_at[r + 1]]), _body(y[y_at[r] : y_at[r + 1]])
                 o = len(u) + len(v) - len(np.union1d(u, v))
-                hit.append((100 + PERCENT) * o >= PERCENT * (na + nb))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+                hit[r] = (100 + PERCENT) * o >= PERCENT * (int(na[r]) + int(nb[r]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit))
+            S.give_back()
 
     return both.mapInArrow(check, "a long, b long")
 
 
-def _body(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def _body(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // BODY, 8), np.uint8)
+    out[:, :BODY] = raw.reshape(-1, BODY)
     return out.view("<u8")[:, 0]
 
 

@@ -285,7 +285,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, le
     trusted = trusted.select("doc_id").where("doc_id is not null").distinct()
     shards = max(S.partitions(docs.sparkSession), S.parts_for(docs) // 2)
     counts, sums = count(docs, trusted.where(learn), shards)
-    scores = S.kept(score(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text"), counts, sums, shards))
+    scores = S.kept(score(docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text"), counts, sums, shards))
     held = scores.join(trusted.where(~learn), "doc_id")
     marks = held.groupBy("lang").agg(F.percentile("perplexity", quantile).alias("threshold"))
     overall = held.agg(F.percentile("perplexity", quantile).alias("overall")).first()["overall"]

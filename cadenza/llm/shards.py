@@ -10,6 +10,8 @@ part, however many documents hold it, and no task sees an unbounded group.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -66,9 +68,20 @@ def table(schema: pa.Schema, **cols) -> pa.Table:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the shared folder that the session names; a temporary one only where none is named, as in tests."""
+    """Takes the shared folder that the session names; a temporary one only on one machine, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 _written: list[tuple[SparkSession, str]] = []

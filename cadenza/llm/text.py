@@ -23,9 +23,7 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = U64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 #: Texts are hashed in slices of about this many bytes, which bounds memory.
 SLICE_BYTES = 2 << 20
@@ -90,27 +88,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        n = max(n, SLICE_BYTES + (1 << 16))
-        made = []
-        for base in (_BASE, _BASE_INVERSE):
-            table = np.full(n, base, U64)
-            table[0] = 1
-            made.append(np.multiply.accumulate(table))
-        _powers = made[0], made[1]
-    return _powers
-
-
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, by one prefix sum over all bytes."""
+    """64-bit hashes of the words: the sum of their mixed runs of eight bytes, each mixed with its number."""
     if not len(starts):
         return np.zeros(0, U64)
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64))
+    lengths = ends - starts
+    runs = (lengths + 7) >> 3
+    bounds = np.concatenate([[0], np.cumsum(runs)])
+    number = np.arange(bounds[-1]) - np.repeat(bounds[:-1], runs)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    value = eights[np.repeat(starts, runs) + 8 * number].view("<u8")[:, 0]
+    last = bounds[1:][runs > 0] - 1
+    value[last] &= _KEEP[((lengths[runs > 0] - 1) & 7) + 1]
+    total = np.zeros(len(value) + 1, U64)
+    np.cumsum(mix(value + (number + 1).astype(U64) * U64(0x9E3779B97F4A7C15)), out=total[1:])
+    return mix(total[bounds[1:]] - total[bounds[:-1]] + lengths.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:

@@ -16,8 +16,8 @@ import pyarrow as pa
 from . import text as T
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a worker remembers before it starts anew.
-MEMORY_WORDS = 2_000_000
+#: Words that a worker remembers, and their bytes, before it starts anew.
+MEMORY_WORDS, MEMORY_BYTES = 1_000_000, 16 << 20
 #: Bytes of text encoded at a time.
 SLICE_BYTES = 16 << 20
 
@@ -59,6 +59,8 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.uint16)
         self.bounds = np.zeros(1 << 14, np.int64)
         self.size = 0
+        self.raw = np.zeros(1 << 16, np.uint8)  # the bytes of the words known, as hashes alone don't tell
+        self.raw_bounds = np.zeros(1 << 14, np.int64)
 
     def unit(self, piece: str) -> list[int]:
         shown = piece if piece.isascii() else piece.encode().decode("latin1").translate(self.alphabet)
@@ -93,38 +95,62 @@ class Encoder:
             cuts = np.zeros(len(data), bool)
             cuts[1:] = alpha[:-1] & stop[1:] | stop[:-1] & alpha[1:]
         index, distinct, at = T.encoded_bytes(data, offsets, cuts)
-        if len(self.hashes) + len(distinct) > MEMORY_WORDS:
-            self.forget()
         raw, bounds = T.buffers(distinct)
+        if len(self.hashes) + len(distinct) > MEMORY_WORDS or self.raw_bounds[len(self.hashes)] + len(raw) > MEMORY_BYTES:
+            self.forget()
         hashes = T.word_hashes(raw, bounds[:-1], bounds[1:])
         at_known = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
         hit = self.hashes[at_known] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
         if not hit.all():
-            self._learn(hashes[~hit], distinct.filter(pa.array(~hit)).to_pylist())
+            self._learn(hashes[~hit], distinct.filter(pa.array(~hit)))
         place = self.place[np.searchsorted(self.hashes, hashes)]
         start, length = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
+        other = self._differ(place, raw, bounds)
+        flat = self.flat
+        if len(other):  # words whose hash another word holds
+            fresh = [self.word(w) for w in distinct.take(pa.array(other)).to_pylist()]
+            length[other] = [len(ids) for ids in fresh]
+            start[other] = len(flat) + np.cumsum(length[other]) - length[other]
+            flat = np.concatenate([flat, np.array([i for ids in fresh for i in ids], np.uint16)])
         lengths = length[index]
-        ids = self.flat[T.ragged(start[index], lengths)]
+        ids = flat[T.ragged(start[index], lengths)]
         total = np.zeros(len(index) + 1, np.int64)
         np.cumsum(lengths, out=total[1:])
         return ids, total[at]
 
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        fresh = [self.word(w) for w in words]
+    def _differ(self, place: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which of the words are not the ones remembered at these places."""
+        size, begin = np.diff(bounds), self.raw_bounds[place]
+        wrong = self.raw_bounds[place + 1] - begin != size
+        same = np.where(wrong, 0, size)
+        unlike = np.flatnonzero(raw[T.ragged(bounds[:-1], same)] != self.raw[T.ragged(begin, same)])
+        wrong[np.searchsorted(np.cumsum(same), unlike, "right")] = True
+        return np.flatnonzero(wrong)
+
+    def _learn(self, hashes: np.ndarray, words: pa.Array) -> None:
+        hashes, own = np.unique(hashes, return_index=True)
+        words = words.take(pa.array(own))
+        fresh = [self.word(w) for w in words.to_pylist()]
         first, n = len(self.hashes), len(self.hashes) + len(fresh)
         ends = self.size + np.cumsum([len(ids) for ids in fresh])
-        if len(self.bounds) <= n:
-            self.bounds = np.resize(self.bounds, 2 * n + 2)
-        if len(self.flat) < ends[-1]:
-            self.flat = np.resize(self.flat, 2 * int(ends[-1]))
+        raw, at = T.buffers(words)
+        self.bounds, self.raw_bounds = _room(self.bounds, n + 1), _room(self.raw_bounds, n + 1)
+        raw_size = int(self.raw_bounds[first])
+        self.flat, self.raw = _room(self.flat, int(ends[-1])), _room(self.raw, raw_size + len(raw))
         self.bounds[first], self.bounds[first + 1 : n + 1] = self.size, ends
         self.flat[self.size : ends[-1]] = [i for ids in fresh for i in ids]
+        self.raw_bounds[first + 1 : n + 1] = raw_size + at[1:]
+        self.raw[raw_size : raw_size + len(raw)] = raw
         self.size = int(ends[-1])
         every = np.concatenate([self.hashes, hashes])
         order = np.argsort(every, kind="stable")
         self.hashes, self.place = every[order], np.concatenate([self.place, np.arange(first, n)])[order]
 
 
+def _room(x: np.ndarray, size: int) -> np.ndarray:
+    return x if len(x) >= size else np.concatenate([x, np.zeros(2 * size - len(x), x.dtype)])
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)

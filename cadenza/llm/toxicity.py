@@ -9,9 +9,10 @@ backward passes give each word's marginal, the marginals give the spans, and a
 logistic curve over what they add up to, fitted on the labelled documents and
 set to the share of toxic ones, gives the document's score.
 
-Fitting uses a bounded sample of labelled documents (``SAMPLE`` of either label,
-chosen by hash); the model's features are at most ``FEATURES``, so it is small
-enough to go to every task.  All texts are scored whole.
+Fitting uses a bounded sample of labelled documents (``SAMPLE`` of either label
+and ``SAMPLE_BYTES`` of their texts, chosen by hash), each whole, a few megabytes at
+a time; the model's features are at most ``FEATURES``, so it is small enough to go
+to every task.  All texts are scored whole.
 
 Edge cases: null and empty texts get the score of a text without toxic words;
 unlabelled, null-labelled and null-id rows don't train; where one label is
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shards as S
 from . import text as T
 
 U64 = np.uint64
@@ -40,9 +42,7 @@ SAMPLE_BYTES = 48 << 20
 FEATURES = 100_000
 PREFIXES = (3, 4, 5, 6)
 STEPS = 30
-#: Words of a chain in the fit, at most.
-CHAIN = 256
-#: Bytes of text scored at a time.
+#: Bytes of text tagged at a time, in the fit and after it.
 SLICE_BYTES = 4 << 20
 #: Share of a feature's documents that are toxic from which its words count as toxic.
 PURE = 0.85
@@ -84,52 +84,83 @@ class Model:
         return out
 
 
-def _blocks(lengths: np.ndarray, cells: int = 1 << 18):
-    """Rows of like length, so that a padded block holds little padding."""
-    order = np.argsort(lengths, kind="stable")
-    order = order[lengths[order] > 0]
-    i = 0
-    while i < len(order):
-        top = int(lengths[order[i]] * 1.25) + 8
-        j = min(int(np.searchsorted(lengths[order], top, "right")), i + max(1, cells // top))
-        yield order[i : max(j, i + 1)]
-        i = max(j, i + 1)
+def _composed(e: np.ndarray, psi: np.ndarray, starts: list[np.ndarray], backward: bool) -> list[np.ndarray]:
+    """For each column of words, the 2x2 matrix that takes a pair of weights over it; starts: by row, columns in which a chain begins."""
+    q = [np.ones(e.shape[1]), np.zeros(e.shape[1]), np.zeros(e.shape[1]), np.ones(e.shape[1])]
+    for k in range(len(e))[:: -1 if backward else 1]:
+        x, at = e[k], starts[k]
+        if backward:
+            below = [x * q[2], x * q[3]]
+            new = [psi[i, 0] * q[c] + psi[i, 1] * below[c] for i in (0, 1) for c in (0, 1)]
+            if len(at):
+                new[0][at] = new[2][at] = q[0][at] + below[0][at]
+                new[1][at] = new[3][at] = q[1][at] + below[1][at]
+        else:
+            new = [(psi[0, i] * q[c] + psi[1, i] * q[2 + c]) * (x if i else 1.0) for i in (0, 1) for c in (0, 1)]
+            if len(at):
+                for c in (0, 1):
+                    new[c][at] = q[c][at] + q[2 + c][at]
+                    new[2 + c][at] = x[at] * new[c][at]
+        if k % 8 == 0:
+            scale = 1 / (new[0] + new[1] + new[2] + new[3])
+            new = [m * scale for m in new]
+        q = new
+    return q
 
 
 def marginals(emission: np.ndarray, at: np.ndarray, transitions: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Probability of the toxic label for each word, by forward and backward ratios.
 
-    emission holds log-ratios of the two labels; ``pairs`` gathers the expected transitions.
+    emission holds log-ratios of the two labels; ``at`` the chains' n + 1 offsets;
+    ``pairs`` gathers the expected transitions.  All words make one row in which a
+    chain's first word forgets what comes before.  The row is cut into columns: the
+    matrices of whole columns give the ratios at their borders, and then all columns
+    go on side by side, so a chain of any length takes about as many steps as the
+    square root of all words.
     """
+    n = len(emission)
+    if not n:
+        return np.zeros(0)
     psi = np.exp(transitions)
-    out = np.zeros(len(emission))
-    lengths = np.diff(at)
-    for rows in _blocks(lengths):
-        n = lengths[rows]
-        width = int(n.max())
-        place = at[rows][None, :] + np.arange(width)[:, None]
-        inside = np.arange(width)[:, None] < n[None, :]
-        e = np.exp(np.clip(np.where(inside, emission[np.where(inside, place, 0)], 0), -30, 30))
-        r = np.empty_like(e)
-        r[0] = e[0]
-        for t in range(1, width):
-            p = r[t - 1]
-            r[t] = e[t] * (psi[0, 1] + psi[1, 1] * p) / (psi[0, 0] + psi[1, 0] * p)
-        s = np.ones(len(rows))
-        back = np.empty_like(e)
-        for t in range(width - 1, -1, -1):
-            s = np.where(t >= n - 1, 1.0, s)
-            back[t] = s
-            x = e[t] * s
-            s = (psi[1, 0] + psi[1, 1] * x) / (psi[0, 0] + psi[0, 1] * x)
-        odds = r * back
-        out[place[inside]] = (odds / (1 + odds))[inside]
-        if pairs is not None and width > 1:
-            both = inside[1:]
-            a, x = r[:-1][both], (e[1:] * back[1:])[both]
-            joint = np.array([[psi[0, 0] + 0 * a, psi[0, 1] * x], [psi[1, 0] * a, psi[1, 1] * a * x]])
-            pairs += (joint / joint.sum(axis=(0, 1))).sum(axis=2)
-    return out
+    height = max(8, int(n**0.5 / 3))
+    width = -(-n // height)
+    e = np.ones(height * width)
+    e[:n] = np.exp(np.clip(emission, -30, 30))
+    first = np.zeros(height * width, bool)
+    first[n:] = True
+    first[at[:-1][at[:-1] < n]] = True
+    e, inner = np.ascontiguousarray(e.reshape(width, height).T), ~first
+    row, column = np.nonzero(first.reshape(width, height).T)
+    starts = np.split(column, np.searchsorted(row, np.arange(1, height)))
+    a, b, c, d = (m.tolist() for m in _composed(e, psi, starts, False))
+    r, entry = 1.0, []
+    for k in range(width):
+        entry.append(r)
+        r = (c[k] + d[k] * r) / (a[k] + b[k] * r)
+    r, forward = np.array(entry), np.empty_like(e)
+    for k in range(height):
+        r = e[k] * (psi[0, 1] + psi[1, 1] * r) / (psi[0, 0] + psi[1, 0] * r)
+        r[starts[k]] = e[k][starts[k]]
+        forward[k] = r
+    a, b, c, d = (m.tolist() for m in _composed(e, psi, starts, True))
+    s, entry = 1.0, []
+    for k in range(width - 1, -1, -1):
+        entry.append(s)
+        s = (c[k] + d[k] * s) / (a[k] + b[k] * s)
+    s, back = np.array(entry[::-1]), np.empty_like(e)
+    for k in range(height - 1, -1, -1):
+        back[k] = s
+        x = e[k] * s
+        s = (psi[1, 0] + psi[1, 1] * x) / (psi[0, 0] + psi[0, 1] * x)
+        s[starts[k]] = 1.0
+    odds = forward * back
+    if pairs is not None:
+        along = lambda m: m.T.reshape(-1)
+        both = np.flatnonzero(inner[1:])
+        a, x = along(forward)[both], along(e * back)[both + 1]
+        joint = np.array([[psi[0, 0] + 0 * a, psi[0, 1] * x], [psi[1, 0] * a, psi[1, 1] * a * x]])
+        pairs += (joint / joint.sum(axis=(0, 1))).sum(axis=2)
+    return (odds / (1 + odds)).T.reshape(-1)[:n]
 
 
 def summary(p: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -154,25 +185,46 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str | None], toxic: list[int], prior: float) -> Model:
+@dataclass
+class _Slice:
+    """Some of the labelled texts: words as indices into distinct ones, these words' features, the texts' labels."""
+
+    index: np.ndarray
+    at: np.ndarray
+    features: np.ndarray
+    toxic: np.ndarray
+    label: np.ndarray | None = None  # of each word
+    held: list[tuple[np.ndarray, np.ndarray]] | None = None  # by kind of feature: words that have a chosen one, and which
+
+
+def _sliced(texts: pa.Array | pa.ChunkedArray, toxic: np.ndarray) -> list[_Slice]:
+    data, offsets = T.buffers(texts)
+    out = []
+    for i, j in T.slices(offsets, SLICE_BYTES):
+        index, words, at = T.encoded_bytes(T.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
+        out.append(_Slice(index.astype(np.int32), at, features(words), toxic[i:j]))
+    return out
+
+
+def fit(texts: pa.Array | pa.ChunkedArray | list[str | None], toxic: list[int], prior: float) -> Model:
     """Fits the field and the curve on labelled documents; prior: the share of toxic ones among all labelled."""
     y = np.array(toxic, np.int64)
     none = Model(np.zeros(0, U64), np.zeros(0), -8.0, np.zeros((2, 2)), np.zeros(3), prior)
     if not len(y) or y.min() == y.max():
         return none
-    index, words, at = T.encoded(pa.array(texts, pa.large_string()), lower=True)
-    if not len(words):
+    slices = _sliced(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts, y)
+    if not any(len(s.index) for s in slices):
         return none
-    doc = np.repeat(np.arange(len(y)), np.diff(at))
-    found = features(words)
-    kinds, names = found.shape[0], np.unique(found)
-    place = np.searchsorted(names, found)
+    names = np.unique(np.concatenate([np.unique(s.features) for s in slices]))
     tox_df, all_df = np.zeros(len(names)), np.zeros(len(names))
-    for k in range(kinds):
-        pairs = np.unique(place[k][index] * len(y) + doc)
-        own = pairs // len(y)
-        all_df += np.bincount(own, minlength=len(names))
-        tox_df += np.bincount(own, y[pairs % len(y)], len(names))
+    for s in slices:
+        s.features = np.searchsorted(names, s.features).astype(np.int32)
+        doc = np.repeat(np.arange(len(s.toxic)), np.diff(s.at))
+        for row in s.features:
+            both = np.unique(row[s.index].astype(np.int64) * len(s.toxic) + doc)
+            own = both // len(s.toxic)
+            all_df += np.bincount(own, minlength=len(names))
+            tox_df += np.bincount(own, s.toxic[both % len(s.toxic)], len(names))
     useful = np.flatnonzero(tox_df >= 3)
     useful = useful[np.argsort(-tox_df[useful], kind="stable")[:FEATURES]]
     chosen = np.zeros(len(names), bool)
@@ -181,43 +233,45 @@ def fit(texts: list[str | None], toxic: list[int], prior: float) -> Model:
     # As in a sample with as many clean documents as toxic ones.
     clean = (all_df - tox_df) * (y.sum() / max(1, len(y) - y.sum()))
     pure = chosen & (tox_df / (tox_df + clean + 0.5) >= PURE) & (tox_df >= 5)
-    word_is_toxic = pure[place].any(axis=0)
-    label = (word_is_toxic[index] & (y[doc] == 1)).astype(np.float64)
     n = int(chosen.sum())
     weights, bias, transitions = np.zeros(n), -4.0, np.zeros((2, 2))
     seen, seen_bias, seen_moves = np.full(n, 1e-3), 1e-3, np.full((2, 2), 1e-3)
-    # For the fit a long text is a row of shorter chains, so that a step takes few vector operations.
-    chains = np.union1d(at, np.concatenate([np.arange(a, b, CHAIN) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]))
-    chain = np.repeat(np.arange(len(chains) - 1), np.diff(chains))
-    same = chain[1:] == chain[:-1]
-    pair = (label[:-1] * 2 + label[1:])[same].astype(np.int64)
-    held = np.bincount(pair, minlength=4).reshape(2, 2).astype(float)
-    of = [(np.flatnonzero(chosen[place[k]]), slot[place[k][chosen[place[k]]]]) for k in range(kinds)]
-    scale = 1 / max(1.0, label.sum())
+    held = np.zeros((2, 2))
+    for s in slices:
+        s.label = pure[s.features].any(axis=0)[s.index] & np.repeat(s.toxic == 1, np.diff(s.at))
+        inner = np.ones(len(s.label), bool)
+        inner[s.at[:-1][s.at[:-1] < len(inner)]] = False
+        pair = s.label[:-1] * 2 + s.label[1:]
+        held += np.bincount(pair[inner[1:]], minlength=4).reshape(2, 2)
+        s.held = [(np.flatnonzero(chosen[row]), slot[row[chosen[row]]]) for row in s.features]
+    scale = 1 / max(1.0, sum(s.label.sum() for s in slices))
+
+    def emission(s: _Slice) -> np.ndarray:
+        out = np.full(s.features.shape[1], bias)
+        for have, where in s.held:
+            out[have] += weights[where]
+        return out[s.index]
+
     for _ in range(STEPS):
-        emission = np.full(len(words), bias)
-        for have, where in of:
-            emission[have] += weights[where]
-        expected = np.zeros((2, 2))
-        p = marginals(emission[index], chains, transitions, expected)
-        rest = np.bincount(index, label - p, len(words)) * scale
-        slope = -1e-4 * weights
-        for have, where in of:
-            slope += np.bincount(where, rest[have], n)
+        expected, slope, bias_slope = np.zeros((2, 2)), -1e-4 * weights, 0.0
+        for s in slices:
+            p = marginals(emission(s), s.at, transitions, expected)
+            rest = np.bincount(s.index, s.label - p, s.features.shape[1]) * scale
+            bias_slope += rest.sum()
+            for have, where in s.held:
+                slope += np.bincount(where, rest[have], n)
         moves = (held - expected) * scale
         moves[0, 0] = 0.0  # fixed, as only differences matter
         seen += slope**2
         weights += 0.7 * slope / np.sqrt(seen)
-        seen_bias += rest.sum() ** 2
-        bias += 0.7 * rest.sum() / np.sqrt(seen_bias)
+        seen_bias += bias_slope**2
+        bias += 0.7 * bias_slope / np.sqrt(seen_bias)
         seen_moves += moves**2
         transitions += 0.3 * moves / np.sqrt(seen_moves)
-    model = Model(names[chosen], weights, bias, transitions, np.zeros(3), prior)
-    p = marginals(model.emissions(words)[index], at, transitions)
-    model.curve = _curve(summary(p, at), y.astype(float))
+    curve = _curve(np.concatenate([summary(marginals(emission(s), s.at, transitions), s.at) for s in slices]), y.astype(float))
     share = y.mean()
-    model.curve[0] += np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)) - np.log(share / (1 - share))
-    return model
+    curve[0] += np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)) - np.log(share / (1 - share))
+    return Model(names[chosen], weights, bias, transitions, curve, prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -237,7 +291,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("_id", "ascending"), ("_text", "ascending")])
-        model = fit(group["_text"].to_pylist(), group["toxic"].to_pylist(), prior)
+        model = fit(group["_text"], group["toxic"].to_pylist(), prior)
+        S.give_back()
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     # The sample is bounded, and one task fits it.
@@ -275,6 +330,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", with_spans: boo
             if with_spans:
                 out.append(pa.concat_arrays(spans))
             yield pa.RecordBatch.from_arrays(out, names=[*columns, "score", "toxic_spans"][: len(out)])
+            S.give_back()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["score double"]
     fields += ["toxic_spans array<struct<start: int, end: int, probability: double>>"] * with_spans

@@ -83,6 +83,34 @@ def test_words_and_hashes(rows):
         assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
 
 
+def alternating(n):
+    """Two words of two letters whose sums of powers agree modulo 2 ** 64, whatever the base."""
+    first = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return first, first.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_of_a_rule_are_told_apart(spark, n):
+    a, b = alternating(n)
+    data, offsets = T.buffers(pa.array([a, b]))
+    assert len(set(T.word_hashes(data, offsets[:-1], offsets[1:]).tolist())) == 2
+    ids, at = tokens.Encoder(tokens.vocabulary_path()).encode(pa.array([a, b, a]))
+    assert [ids[x:y].tolist() for x, y in itertools.pairwise(at)] == [x[:-1] for x in direct([a, b, a], 0)]
+    docs = spark.createDataFrame([(1, " ".join([a] * 13)), (2, " ".join([b] * 13)), (3, " ".join([a] * 13))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in repeats.digest(docs).collect()} == {1: 0, 2: 0, 3: 13}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_words_are_known_by_their_bytes(monkeypatch):
+    """Even where all hashes agree."""
+    texts = ["one two three", "two Three's one", "four one"]
+    encoder = tokens.Encoder(tokens.vocabulary_path())
+    monkeypatch.setattr(T, "word_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    for _ in range(2):
+        ids, at = encoder.encode(pa.array(texts))
+        assert [ids[x:y].tolist() for x, y in itertools.pairwise(at)] == [x[:-1] for x in direct(texts, 0)]
+
+
 def test_token_ids_are_the_library_s(rows):
     texts = [t for _, t in rows] + ["ΑΣ İ ﬁ 日本語", "don't 'S x1y2 a.b,c’s", "\x1c\x85z", "ÀÉ×÷ñ!"]
     ids, at = tokens.Encoder(tokens.vocabulary_path()).encode(pa.array(texts))
@@ -276,7 +304,11 @@ def test_decontamination(spark):
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
     kept = decontaminate.drop(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} >= {i for i, _ in texts if i is not None} - {i for i, _ in want}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in texts} - {i for i, _ in want}  # without the null id, whose text is an item
+    named = spark.createDataFrame([(f"item {k}", t) for k, t in items], "item_id string, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, named).collect()} == {(i, f"item {j}") for i, j in want}
+    again = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs.where("doc_id = 1"))
+    assert sorted(str(r["doc_id"]) for r in decontaminate.drop(again, named).collect()) == sorted([*(str(r["doc_id"]) for r in kept.collect()), "1"])
     none = decontaminate.find(docs, spark.createDataFrame([], "item_id long, text string"))
     assert none.count() == 0 and none.columns == ["doc_id", "item_id", "start_word", "n_words", "similarity"]
 
@@ -332,6 +364,23 @@ def test_marginals_are_those_of_all_labellings():
     assert pairs == pytest.approx(expected)
 
 
+def test_marginals_of_a_very_long_chain():
+    rnd = np.random.default_rng(5)
+    emission, moves, at = rnd.normal(-2, 3, 30_000), rnd.normal(size=(2, 2)), np.array([0, 1, 1, 17, 29_000, 30_000])
+    p, psi = toxicity.marginals(emission, at, moves), np.exp(moves)
+    for a, b in itertools.pairwise(at.tolist()):
+        forward, back = np.ones((b - a, 2)), np.ones((b - a, 2))
+        weight = np.stack([np.ones(b - a), np.exp(emission[a:b])], axis=1)
+        for t in range(b - a):
+            forward[t] = (forward[t - 1] @ psi if t else 1) * weight[t]
+            forward[t] /= forward[t].sum()
+        for t in range(b - a - 2, -1, -1):
+            back[t] = psi @ (back[t + 1] * weight[t + 1])
+            back[t] /= back[t].sum()
+        both = forward * back
+        assert p[a:b] == pytest.approx(both[:, 1] / both.sum(axis=1), abs=1e-9) if b > a else True
+
+
 def test_toxicity_on_held_out_documents(spark):
     rnd = random.Random(6)
     texts, toxic = [], []
@@ -736,6 +785,11 @@ def test_clashing_columns(spark):
     assert media.tensors(media.store(clash)).first()["height"] == 8
     assert tuple(pii.redact(clash).first()) == tuple(clash.first()) and pii.digest(clash).count() == 1
     assert jaccard.one_of_each(clash).columns == clash.columns
+    more = docs.select("*", *(F.lit(1).alias(c) for c in ("lang", "n_tokens", "log10_prob", "perplexity", "threshold", "keep", "item_id", "start_word", "similarity", "part", "score")))
+    assert perplexity.classify(more, docs.select("doc_id")).columns[-2:] == ["threshold", "keep"]
+    items = docs.select(F.col("doc_id").alias("item_id"), "text")
+    assert decontaminate.find(more, items).count() == 1 and decontaminate.drop(more, items).columns == more.columns
+    assert packing.pack(more).count() > 0 and repeats.digest(more).count() == 1 and ctw.score(more, F.lit(False)).count() == 1
 
 
 def test_pipeline(spark, tmp_path):
