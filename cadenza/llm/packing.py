@@ -33,32 +33,46 @@ from . import tokens as K
 K1, B = 1.2, 0.75
 
 
+class Terms:
+    """The distinct terms of some texts by their hashes, in order, and the (text, term) pairs with their counts."""
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray):
+        words, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, _, hashes, at in T.hashed(texts, lower=True):
+            words.append(hashes)
+            lengths.append(np.diff(at))
+        coded = pa.array(np.concatenate(words)).dictionary_encode()
+        self.lengths = np.concatenate(lengths)
+        self.n, names = len(self.lengths), coded.dictionary.to_numpy()
+        order = np.argsort(names)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.hashes, size = names[order], max(1, len(names))
+        pairs, self.tf = np.unique(np.repeat(np.arange(self.n), self.lengths) * size + rank[coded.indices.to_numpy()], return_counts=True)
+        self.doc, self.term = pairs // size, pairs % size
+        self.df = np.bincount(self.term, minlength=len(names))
+
+
 class Bm25Index:
     """Inverted index of a shard: for each term, its documents and their weights.
 
-    ``corpus`` gives sorted hashes of terms, how many documents of all shards hold
-    each, and the number and mean length of these; without it, the texts are all.
+    ``held`` says how many documents of all shards hold each term, ``number`` and
+    ``mean`` how many documents these have and of what length; without them, the
+    terms' own texts are all.
     """
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, corpus: tuple[np.ndarray, np.ndarray, int, float] | None = None):
-        index, distinct, at = T.encoded(texts, lower=True)
-        n, terms = len(at) - 1, max(1, len(distinct))
-        lengths = np.diff(at)
-        pairs, tf = np.unique(np.repeat(np.arange(n), lengths) * terms + index, return_counts=True)
-        self.doc, self.term = pairs // terms, pairs % terms
-        df = np.bincount(self.term, minlength=terms)
-        self.df, held, number, mean = df, df, n, lengths.mean() if n else 1
-        if corpus is not None and len(distinct):
-            held, number, mean = corpus[1][np.searchsorted(corpus[0], _hashes(distinct))], corpus[2], corpus[3]
+    def __init__(self, terms: Terms, held: np.ndarray | None = None, number: int = 0, mean: float = 0.0):
+        if held is None:
+            held, number, mean = terms.df, terms.n, terms.lengths.mean() if terms.n else 1
+        self.doc, self.term, self.df, self.n = terms.doc, terms.term, terms.df, terms.n
         idf = np.log1p((number - held + 0.5) / (held + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1e-9, mean))
-        weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])
+        norm = K1 * (1 - B + B * terms.lengths / max(1e-9, mean))
+        weight = idf[self.term] * terms.tf * (K1 + 1) / (terms.tf + norm[self.doc])
         self.weight = weight
-        self.doc_at = np.searchsorted(self.doc, np.arange(n + 1))
+        self.doc_at = np.searchsorted(self.doc, np.arange(self.n + 1))
         order = np.argsort(self.term, kind="stable")
         self.post_doc, self.post_weight = self.doc[order], weight[order]
-        self.term_at = np.concatenate([[0], np.cumsum(df)])
-        self.n = n
+        self.term_at = np.concatenate([[0], np.cumsum(self.df)])
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first."""
@@ -72,20 +86,6 @@ class Bm25Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def _hashes(terms: pa.Array) -> np.ndarray:
-    data, offsets = T.buffers(terms)
-    return T.word_hashes(data, offsets[:-1], offsets[1:])
-
-
-def _held(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes of all terms, how many texts hold each, and the length of all texts."""
-    index, distinct, at = T.encoded(texts, lower=True)
-    terms = max(1, len(distinct))
-    pairs = np.unique(np.repeat(np.arange(len(at) - 1), np.diff(at)) * terms + index)
-    hashes, place = np.unique(_hashes(distinct), return_inverse=True)
-    return hashes, np.bincount(place[pairs % terms], minlength=len(hashes)) if len(pairs) else np.zeros(0, np.int64), len(index)
-
-
 ASKED = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("held", pa.binary()), ("n", pa.int64()), ("length", pa.int64())])
 ASKED_SQL = "part int, shard int, keys binary, held binary, n long, length long"
 
@@ -155,7 +155,8 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, vocabulary: str |
     shards = S.partitions(docs.sparkSession)
 
     def ask(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        keys, held, length = _held(group["text"])
+        terms = Terms(group["text"])
+        keys, held, length = terms.hashes, terms.df, int(terms.lengths.sum())
         at = S.by_shard(keys, shards)
         cut = lambda x: [S.blob(x[at[k] : at[k + 1]]) for k in range(shards)]
         return S.table(ASKED, part=[key[0].as_py()] * shards, shard=list(range(shards)), keys=cut(keys), held=cut(held.astype(np.int64)), n=[group.num_rows] * shards, length=[length] * shards)
@@ -169,7 +170,7 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, vocabulary: str |
         ids, at = K.encoder(vocabulary).encode(texts)
         ids = np.insert(ids, at[1:], end_id)
         lengths = np.diff(at) + 1
-        order = layout(Bm25Index(texts, (_held(texts)[0], held, number, length / number)), lengths, window)
+        order = layout(Bm25Index(Terms(texts), held, number, length / number), lengths, window)
         first = np.concatenate([[0], np.cumsum(lengths[order])])
         stream = ids[T.ragged((np.cumsum(lengths) - lengths)[order], lengths[order])].astype("<u4")
         sequences = sequence_starts(len(stream), window)
@@ -190,6 +191,7 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, vocabulary: str |
         }
         if with_ids:
             out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(stream)), pa.int32()), pa.array(stream.astype(np.int32)))
+        S.give_back()
         return pa.table(out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -152,7 +152,7 @@ def test_packing_puts_like_documents_together(spark):
     rnd = random.Random(1)
     topics = [[f"t{k}w{j}" for j in range(30)] for k in range(8)]
     texts = [(i, " ".join(rnd.choice(topics[i % 8]) for _ in range(40))) for i in range(64)]
-    index = packing.Bm25Index(pa.array([t for _, t in texts]))
+    index = packing.Bm25Index(packing.Terms(pa.array([t for _, t in texts])))
     order = packing.layout(index, np.full(64, 100), 800)
     same = sum(a % 8 == b % 8 for a, b in itertools.pairwise(order.tolist()))
     assert sorted(order.tolist()) == list(range(64)) and same > 40
@@ -162,19 +162,39 @@ def test_packing_weighs_terms_over_the_corpus_and_asks_with_all(spark):
     """A neighbour that shares only a seed's lightest terms is found; df, number and mean length are those of all texts."""
     seed = " ".join([f"r{k} " * 3 for k in range(16)] + ["light"])
     texts = pa.array([seed, "light other", "nothing", *(" ".join(f"r{k}" for k in range(16)) for _ in range(2))])
-    index = packing.Bm25Index(texts)
+    index = packing.Bm25Index(packing.Terms(texts))
     assert set(index.neighbours(0, np.array([True, False, False, False, False])).tolist()) == {1, 3, 4}
-    keys, held, length = packing._held(texts)
-    halves = [packing._held(texts.slice(a, n)) for a, n in ((0, 2), (2, 3))]
-    table = S.table(packing.ASKED, part=[0, 1], shard=[0, 0], keys=[S.blob(k) for k, _, _ in halves], held=[S.blob(h.astype(np.int64)) for _, h, _ in halves], n=[2, 3], length=[n for _, _, n in halves])
+    whole, halves = packing.Terms(texts), [packing.Terms(texts.slice(a, n)) for a, n in ((0, 2), (2, 3))]
+    length = int(whole.lengths.sum())
+    table = S.table(packing.ASKED, part=[0, 1], shard=[0, 0], keys=[S.blob(h.hashes) for h in halves], held=[S.blob(h.df.astype(np.int64)) for h in halves], n=[2, 3], length=[int(h.lengths.sum()) for h in halves])
     back = packing._summed(table).to_pylist()
-    for (k, _, _), r in zip(halves, back, strict=True):
+    for h, r in zip(halves, back, strict=True):
         assert (r["n"], r["length"]) == (5, length)
-        assert np.frombuffer(r["held"], np.int64).tolist() == held[np.searchsorted(keys, k)].tolist()
-    alone = packing.Bm25Index(texts.slice(0, 2), (halves[0][0], np.frombuffer(back[0]["held"], np.int64), 5, length / 5))
+        assert np.frombuffer(r["held"], np.int64).tolist() == whole.df[np.searchsorted(whole.hashes, h.hashes)].tolist()
+    alone = packing.Bm25Index(halves[0], np.frombuffer(back[0]["held"], np.int64), 5, length / 5)
     assert alone.weight.tolist() == pytest.approx(index.weight[: len(alone.weight)].tolist())
 
 
+def test_packing_scores_are_bm25():
+    """Against the formula, term by term; equal scores go by place."""
+    rnd = random.Random(7)
+    split = [[rnd.choice("abcdefghij") + rnd.choice("xyz") for _ in range(rnd.randint(0, 25))] for _ in range(40)]
+    split[7] = list(split[5])
+    index = packing.Bm25Index(packing.Terms(pa.array([" ".join(w) for w in split])))
+    df = collections.Counter(t for w in split for t in set(w))
+    mean = sum(map(len, split)) / len(split)
+
+    def score(seed, d):
+        tf = collections.Counter(split[d])
+        idf = lambda t: math.log(1 + (len(split) - df[t] + 0.5) / (df[t] + 0.5))
+        return sum(idf(t) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(split[d]) / mean)) for t in set(split[seed]) if tf[t])
+
+    used = np.array([k % 9 == 0 for k in range(40)])
+    for seed in range(40):
+        want = sorted(((-round(score(seed, d), 9), d) for d in range(40) if not used[d] and score(seed, d) > 0))
+        assert index.neighbours(seed, used).tolist() == [d for _, d in want]
+
+
 def test_token_files(spark, docs, rows, tmp_path):
     path = str(tmp_path / "tokens")
     wavelet.write_tokens(docs, path, tokens.vocabulary_path())
