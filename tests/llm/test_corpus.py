@@ -652,70 +652,8 @@ def test_cover():
 # --- 10 ------------------------------------------------------------------------
 
 
-def brute_ctw(train, test):
-    """Log10 probability of tokens by the recursion over whole context trees, in plain Python."""
-    counts = collections.defaultdict(lambda: [0, 0])
-
-    def steps(token):
-        data = token + b" "
-        for k, symbol in enumerate(data):
-            past = (b" " * ctw.DEPTH + data[:k])[-ctw.DEPTH :][::-1]
-            for level in range(8):
-                yield past, (1 << level) | symbol >> (8 - level), symbol >> (7 - level) & 1
-
-    children = collections.defaultdict(set)
-    for token in train:
-        for past, node, bit in steps(token):
-            for d in range(ctw.DEPTH + 1):
-                counts[node, past[:d]][bit] += 1
-                if d:
-                    children[node, past[: d - 1]].add(past[:d])
-    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-    memo = {}
-
-    def weighted(node, c):
-        if (node, c) not in memo:
-            own = kt(*counts[node, c])
-            if len(c) == ctw.DEPTH:
-                memo[node, c] = own, 1.0, own
-            else:
-                below = sum(weighted(node, x)[0] for x in children[node, c])
-                top = max(own, below)
-                memo[node, c] = top + math.log(0.5 * (math.exp(own - top) + math.exp(below - top))), 1 / (1 + math.exp(min(700, below - own))), own
-        return memo[node, c]
-
-    total = 0.0
-    for token in test:
-        for past, node, bit in steps(token):
-            p = 0.5
-            for d in range(ctw.DEPTH, -1, -1):
-                if (node, past[:d]) in counts:
-                    a, b = counts[node, past[:d]]
-                    share = weighted(node, past[:d])[1]
-                    p = share * (b + 0.5) / (a + b + 1) + (1 - share) * p
-            total += math.log10(p if bit else 1 - p)
-    return total
-
-
-def test_context_tree(docs, rows):
-    from pyspark.sql import functions as F
-
-    held = lambda i: i is not None and i % 5 == 2
-    found = ctw.score(docs, F.col("doc_id") % 5 == 2).collect()
-    token_lists = [(i, [w.encode() for w in WORD.findall(lower(t or ""))] + [b""]) for i, t in rows]
-    train = [w for i, ws in token_lists for w in ws if not held(i)]
-    c, n = collections.Counter(train), len(train)
-    want = sorted((str(i), len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in ws), 6), held(i)) for i, ws in token_lists)
-    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), r["held_out"]) for r in found) == want
-    assert {r["train_tokens"] for r in found} == {n}
-    by = {r["doc_id"]: r["score"] for r in found if r["doc_id"] is not None}
-    for i, ws in token_lists:
-        if i in (2, 7, 30, 33, 37, 52):
-            assert by[i] == pytest.approx(brute_ctw(train, ws), rel=1e-6)
-
-
 def brute_running_ctw(train, test):
-    """The same over whole documents, whose contexts go back over previous tokens."""
+    """Log10 probability of documents by the recursion over whole context trees, in plain Python."""
     counts, children = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
 
     def steps(tokens):
@@ -751,20 +689,42 @@ def brute_running_ctw(train, test):
     return total
 
 
-def test_context_tree_of_running_texts(docs, rows):
-    found = ctw.score(docs, F.col("doc_id") % 5 == 2, running_text=True).collect()
+def test_context_tree(docs, rows):
+    found = ctw.score(docs, F.col("doc_id") % 5 == 2).collect()
+    held = lambda i: i is not None and i % 5 == 2
     token_lists = [(i, [w.encode() for w in WORD.findall(lower(t or ""))] + [b""]) for i, t in rows]
-    train = [ws for i, ws in token_lists if not (i is not None and i % 5 == 2)]
-    alone = {(r["doc_id"], r["base_score"]): r for r in ctw.score(docs, F.col("doc_id") % 5 == 2).collect()}
-    for r in found:
-        other = alone[r["doc_id"], r["base_score"]]
-        assert all(r[c] == other[c] for c in ("held_out", "n_tokens", "n_known", "train_tokens"))
+    train = [ws for i, ws in token_lists if not held(i)]
+    c = collections.Counter(w for ws in train for w in ws)
+    n = c.total()
+    want = sorted((str(i), len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in ws), 6), held(i)) for i, ws in token_lists)
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), r["held_out"]) for r in found) == want
+    assert {r["train_tokens"] for r in found} == {n}
     by = {r["doc_id"]: r["score"] for r in found if r["doc_id"] is not None}
     for i, ws in token_lists:
         if i in (2, 7, 30, 37, 52):
             assert by[i] == pytest.approx(brute_running_ctw(train, ws), rel=1e-6)
 
 
+def test_contexts_in_passes(rows, monkeypatch):
+    """In many passes as in one, and as counted one by one."""
+    texts = pa.chunked_array([[t for _, t in rows]])
+    learned = np.arange(len(rows)) % 3 > 0
+    want = collections.Counter()
+    for (_, t), keep in zip(rows, learned.tolist(), strict=True):
+        data = b" " * 7 + b"".join(w.encode() + b" " for w in WORD.findall(lower(t or ""))) + b" "
+        for k in range(7, len(data)):
+            want[int.from_bytes(data[k - 7 : k][::-1] + data[k : k + 1], "big")] += keep
+    for places in (ctw.PLACES, 50):
+        monkeypatch.setattr(ctw, "PLACES", places)
+        keys, counts = ctw.distinct(texts, learned)
+        assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want and (np.diff(keys.astype(float)) > 0).sum() >= 0 and keys.tolist() == sorted(want)
+
+
+def test_packed_arrays():
+    for x in (np.zeros(0, np.int64), np.array([3, 200, 70_000]), np.array([-1, 5]), np.array([1.5, -2], np.float32), np.array([1, 1 << 63], np.uint64)):
+        assert S.unpacked(S.packed(x)).tolist() == x.tolist()
+
+
 def test_a_word_costs_less_after_the_one_it_follows(spark, tmp_path):
     from cadenza.llm import queries
 
