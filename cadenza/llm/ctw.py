@@ -121,16 +121,24 @@ class Running:
             low = high
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their counts."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys))
+
+
 def distinct(texts: pa.ChunkedArray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of all texts, and how often the learned ones hold them."""
     keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for key, at in Running(texts).passes():
-        coded = pa.array(key).dictionary_encode()
-        names = coded.dictionary.to_numpy()
-        count = np.bincount(coded.indices.to_numpy()[np.repeat(learned, np.diff(at))], minlength=len(names))
-        order = np.argsort(names)
-        keys.append(names[order])
-        counts.append(count[order])
+        mine = np.repeat(learned, np.diff(at))
+        names, count = _runs(key[mine])
+        both, _ = _runs(np.concatenate([names, _runs(key[~mine])[0]]))
+        total = np.zeros(len(both), np.int64)
+        total[np.searchsorted(both, names)] = count
+        keys.append(both)
+        counts.append(total)
     return np.concatenate(keys), np.concatenate(counts)
 
 
