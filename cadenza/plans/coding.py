@@ -21,18 +21,18 @@ CA = [c / math.sqrt(1 + c * c) for c in ALIAS]
 _BUTTERFLY = ", ".join(f"({k}, {s!r}::DOUBLE, {a!r}::DOUBLE)" for k, (s, a) in enumerate(zip(CS, CA, strict=True)))
 
 
-@query(f"""WITH {PX}, c(k, cs, ca) AS (VALUES {_BUTTERFLY}), j AS (SELECT a.block, a.i AS up, b.i AS down, a.x * cs - b.x * ca AS u, b.x * cs + a.x * ca AS d FROM px a JOIN c ON a.i % 16 = 15 - c.k AND a.i < 48 JOIN px b ON b.block = a.block AND b.i = a.i + 2 * c.k + 1)
+@query(f"""WITH {PX}, c(k, cs, ca) AS (VALUES {_BUTTERFLY}), j AS (SELECT a.block, a.i AS up, b.i AS down, a.x * cs + b.x * ca AS u, b.x * cs - a.x * ca AS d FROM px a JOIN c ON a.i % 16 = 15 - c.k AND a.i < 48 JOIN px b ON b.block = a.block AND b.i = a.i + 2 * c.k + 1)
 SELECT px.block, px.i, {rounded('x + coalesce(j1.u - x, 0) + coalesce(j2.d - x, 0)')} AS value FROM px LEFT JOIN j j1 ON j1.block = px.block AND j1.up = px.i LEFT JOIN j j2 ON j2.block = px.block AND j2.down = px.i""")
 def alias_reduction(spark, sf_dir):
-    """Eight butterflies across each boundary of bands of 16 lines."""
+    """The encoder's eight butterflies across each boundary of bands of 16 lines."""
     cs, ca = T.constants(CS), T.constants(CA)
 
     def line(x, i):
         k_up, k_down = 15 - i % 16, i % 16
         up = (k_up < 8) & (i < 48)
         down = (k_down < 8) & (i >= 16)
-        above = x * F.get(cs, k_up) - F.get(F.col("samples"), i + 2 * k_up + 1) * F.get(ca, k_up)
-        below = x * F.get(cs, k_down) + F.get(F.col("samples"), i - 2 * k_down - 1) * F.get(ca, k_down)
+        above = x * F.get(cs, k_up) + F.get(F.col("samples"), i + 2 * k_up + 1) * F.get(ca, k_up)
+        below = x * F.get(cs, k_down) - F.get(F.col("samples"), i - 2 * k_down - 1) * F.get(ca, k_down)
         return F.when(up, above).when(down, below).otherwise(x)
 
     return _lines(pcm_blocks(spark, sf_dir), "block", F.transform("samples", line), "i")

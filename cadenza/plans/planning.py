@@ -231,13 +231,14 @@ def band_energy(spark, sf_dir):
 
 
 @query(f"""WITH {PX}, q AS (SELECT block, i // 2 AS k, (max(CASE WHEN i % 2 = 0 THEN round(x * 100) END) * 1)::BIGINT AS a, (max(CASE WHEN i % 2 = 1 THEN round(x * 100) END))::BIGINT AS b FROM px GROUP BY block, k)
-SELECT block, k::BIGINT AS x, (a + (b - a) * 1 // 2)::BIGINT AS y FROM (SELECT block, k, a, b FROM q WHERE b >= a)""")
+SELECT block, k::BIGINT AS x, (a + sign(b - a) * (abs(b - a) // 2))::BIGINT AS y FROM q""")
 def floor_midpoints(spark, sf_dir):
-    """Integer midpoints of rising floor segments."""
+    """Integer midpoints of floor segments, rounded towards their beginnings, rising or falling."""
     q = F.transform("samples", lambda x: F.round(x * 100).cast("long"))
     segments = pcm.each(32, lambda k: F.struct(F.get("q", 2 * k).alias("a"), F.get("q", 2 * k + 1).alias("b")))
-    long = pcm_blocks(spark, sf_dir).withColumn("q", q).select("block", F.posexplode(segments).alias("x", "s")).where("s.b >= s.a")
-    return long.select("block", F.col("x").cast("long").alias("x"), (F.col("s.a") + F.floor((F.col("s.b") - F.col("s.a")) / 2)).cast("long").alias("y"))
+    long = pcm_blocks(spark, sf_dir).withColumn("q", q).select("block", F.posexplode(segments).alias("x", "s"))
+    rise = F.col("s.b") - F.col("s.a")
+    return long.select("block", F.col("x").cast("long").alias("x"), (F.col("s.a") + F.signum(rise) * F.floor(F.abs(rise) / 2)).cast("long").alias("y"))
 
 
 @query()
@@ -247,10 +248,10 @@ def huffman_book(spark, sf_dir):
     return K.huffman_table(q.groupBy("stream_id", "symbol").agg(F.count("*").alias("n")), ["stream_id"], "symbol", "n")
 
 
-@query(f"""WITH {PX}, q AS (SELECT block, i, {Q16}::BIGINT AS q FROM px WHERE i < 8), b AS (SELECT block, string_agg(lpad(bin(CASE WHEN q < 0 THEN -2 * q - 1 ELSE 2 * q END), 17, '0'), '' ORDER BY i) AS bits FROM q GROUP BY block)
+@query(f"""WITH {PX}, q AS (SELECT block, i, {Q16}::BIGINT AS q FROM px), b AS (SELECT block, string_agg(lpad(bin(CASE WHEN q < 0 THEN -2 * q - 1 ELSE 2 * q END), 17, '0'), '' ORDER BY i) AS bits FROM q GROUP BY block)
 SELECT block, bits, strlen(bits)::BIGINT AS bit_len FROM b""")
 def packed_codes(spark, sf_dir):
-    """Eight folded samples of 17 bits packed in a row."""
-    q = pcm_blocks(spark, sf_dir).withColumn("c", F.transform(F.slice("samples", 1, 8), lambda x: pcm.fold_sign(pcm.quantise(x, 16))))
-    bits = K.pack_codes(F.col("c"), F.array_repeat(F.lit(17), 8))
+    """All folded samples of a block, of 17 bits each, packed in a row."""
+    q = pcm_blocks(spark, sf_dir).withColumn("c", F.transform("samples", lambda x: pcm.fold_sign(pcm.quantise(x, 16))))
+    bits = K.pack_codes(F.col("c"), F.array_repeat(F.lit(17), 64))
     return q.select("block", bits.alias("bits"), F.length(bits).cast("long").alias("bit_len"))

@@ -85,10 +85,25 @@ def payload_md5(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(text).alias("md5"), F.octet_length(text).cast("long").alias("n_bytes"))
 
 
-@query(f"""WITH {PX}, v AS (SELECT block, i // 5 AS five, x, row_number() OVER (PARTITION BY block, i // 5 ORDER BY x) AS k FROM px WHERE i < 60)
-SELECT block, five::BIGINT AS five, {rounded('max(CASE WHEN k = 3 THEN x END)')} AS median FROM v GROUP BY block, five""")
+def _medians(size: int) -> str:
+    return f"""WITH {PX}, v AS (SELECT block, i // {size} AS part, x, row_number() OVER (PARTITION BY block, i // {size} ORDER BY x) AS k, count(*) OVER (PARTITION BY block, i // {size}) AS n FROM px)
+SELECT block, part::BIGINT AS part, {rounded('max(CASE WHEN k = (n + 1) // 2 THEN x END)')} AS median FROM v GROUP BY block, part"""
+
+
+def _median(spark, sf_dir, size):
+    """Of what is left at the end, the lower of the two in the middle."""
+    parts = pcm.each(-(-64 // size), lambda k: pcm.let(F.array_sort(F.slice("samples", k * size + 1, size)), lambda p: F.get(p, F.floor((F.size(p) - 1) / 2).cast("int"))))
+    found = pcm_blocks(spark, sf_dir).select("block", F.posexplode(parts).alias("part", "median"))
+    return found.select("block", F.col("part").cast("long").alias("part"), _r("median").alias("median"))
+
+
+@query(_medians(5))
 def median_of_five(spark, sf_dir):
     """Medians of consecutive five samples."""
-    fives = pcm.each(12, lambda k: F.get(F.array_sort(F.slice("samples", k * 5 + 1, 5)), 2))
-    found = pcm_blocks(spark, sf_dir).select("block", F.posexplode(fives).alias("five", "median"))
-    return found.select("block", F.col("five").cast("long").alias("five"), _r("median").alias("median"))
+    return _median(spark, sf_dir, 5)
+
+
+@query(_medians(3))
+def median_of_three(spark, sf_dir):
+    """Medians of consecutive three samples."""
+    return _median(spark, sf_dir, 3)

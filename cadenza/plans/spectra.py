@@ -101,23 +101,23 @@ def autocorrelation(spark, sf_dir):
     return _lines(pcm_blocks(spark, sf_dir), "block", spectra.autocorrelation(F.col("samples"), 64, 16), "lag")
 
 
-@query(f"""WITH {STEREO}, k AS (SELECT unnest(range(24)) AS lag) SELECT a.pair, k.lag::BIGINT AS lag, {rounded('sum(a.l * b.r)')} AS value FROM st a CROSS JOIN k JOIN st b ON b.pair = a.pair AND b.i = a.i + k.lag WHERE a.i < 40 GROUP BY a.pair, k.lag""")
+@query(f"""WITH {STEREO}, k AS (SELECT unnest(range(24)) AS lag) SELECT a.pair, k.lag::BIGINT AS lag, {rounded('sum(a.l * b.r)')} AS value FROM st a CROSS JOIN k JOIN st b ON b.pair = a.pair AND b.i = a.i + k.lag GROUP BY a.pair, k.lag""")
 def cross_correlation(spark, sf_dir):
-    """Of the first 40 samples of left with right at lags 0 to 23."""
-    each = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda k: pcm.dot(F.slice("left", 1, 40), F.slice("right", k + 1, F.lit(40))))
+    """Of left with right at lags 0 to 23, as far as both reach."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda k: pcm.dot(F.slice("left", F.lit(1), 64 - k), F.slice("right", k + 1, 64 - k)))
     return _lines(stereo_blocks(spark, sf_dir), "pair", each, "lag")
 
 
-@query(f"""WITH {STEREO}, k AS (SELECT unnest(range(24)) AS lag), c AS (SELECT a.pair, k.lag, sum(a.l * b.r) AS xy, sum(b.r * b.r) AS yy FROM st a CROSS JOIN k JOIN st b ON b.pair = a.pair AND b.i = a.i + k.lag WHERE a.i < 40 GROUP BY a.pair, k.lag),
+@query(f"""WITH {STEREO}, k AS (SELECT unnest(range(24)) AS lag), c AS (SELECT a.pair, k.lag, sum(a.l * b.r) AS xy, sum(b.r * b.r) AS yy FROM st a CROSS JOIN k JOIN st b ON b.pair = a.pair AND b.i = a.i + k.lag GROUP BY a.pair, k.lag),
 s AS (SELECT pair, lag, CASE WHEN xy > 0 THEN round(xy * xy / (1 + yy), 9) ELSE -1.0 END AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY score DESC, lag) AS place FROM s)
 SELECT pair, place::BIGINT AS place, lag::BIGINT AS lag, {rounded('score')} AS score FROM r WHERE place <= 2""")
 def pitch_candidates(spark, sf_dir):
     """The two lags of the highest normalised positive correlation, earlier first where equal."""
 
     def score(k):
-        right = F.slice("right", k + 1, F.lit(40))
+        right = F.slice("right", k + 1, 64 - k)
         energy = 1 + pcm.dot(right, right)
-        found = pcm.let(pcm.dot(F.slice("left", 1, 40), right), lambda xy: F.when(xy > 0, F.round(xy * xy / energy, 9)).otherwise(-1.0))
+        found = pcm.let(pcm.dot(F.slice("left", F.lit(1), 64 - k), right), lambda xy: F.when(xy > 0, F.round(xy * xy / energy, 9)).otherwise(-1.0))
         return F.struct(found.alias("score"), (-k).alias("neg"))
 
     scored = F.transform(F.sequence(F.lit(0), F.lit(23)), score)

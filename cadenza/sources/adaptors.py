@@ -23,6 +23,15 @@ def stereo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.groupBy(pair).agg(side(0).alias("left"), side(1).alias("right")).where("left is not null and right is not null")
 
 
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip and 1152 samples: blocks 18k to 18k + 17, zero where one is missing."""
+    blocks = pcm_blocks(spark, sf_dir).select(F.floor(F.col("block") / 18).alias("clip"), (F.col("block") % 18).cast("int").alias("place"), "samples")
+    held = blocks.groupBy("clip").agg(F.map_from_entries(F.collect_list(F.struct("place", "samples"))).alias("held"))
+    silence = F.array_repeat(F.lit(0.0), 64)
+    whole = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(17)), lambda k: F.coalesce(F.element_at("held", k), silence)))
+    return held.select("clip", whole.alias("samples"))
+
+
 def event_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, i and x: each user's events in order of time."""
     events = read(spark, sf_dir, "events").where("user_id is not null")
