@@ -1,8 +1,8 @@
 """Registered queries of the engine, one module for each stage of analysis."""
 
-from . import coding, containers, filterbank, hearing, planning, quality, rate, spectra, streams, telemetry
+from . import coding, containers, filterbank, hearing, perception, planning, quality, rate, spectra, streams, telemetry
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "pcm_quality"
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "coding", "containers", "filterbank", "hearing", "planning", "quality", "rate", "spectra", "streams", "telemetry"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "coding", "containers", "filterbank", "hearing", "perception", "planning", "quality", "rate", "spectra", "streams", "telemetry"]
