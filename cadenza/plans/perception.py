@@ -56,7 +56,8 @@ def _budgets(spark, sf_dir):
     power = T.power_spectrum(F.slice("samples", 25, 16), 16, T.hann_window(16))
     found = pcm_blocks(spark, sf_dir).select("block", T.mdct(F.col("samples"), 32, T.sine_window(64)).alias("lines"), power.alias("power"))
     found = found.withColumn("threshold", H.masking_threshold(F.col("power"), H.spread_matrix(9, RATE), F.lit(0.5)))
-    return found.select("block", "lines", N.allowed(F.col("lines"), F.col("power"), F.col("threshold"), _NARROW, _BINS).alias("budget"))
+    budget = pcm.let(F.struct("lines", "power", "threshold"), lambda s: N.allowed(s["lines"], s["power"], s["threshold"], _NARROW, _BINS))
+    return found.select("block", "lines", budget.alias("budget"))
 
 
 @query(f"WITH {_ALLOWED} SELECT block, band::BIGINT AS band, {rounded('allowed')} AS allowed FROM aw")
@@ -74,7 +75,8 @@ sf AS (SELECT fs.block, fs.band, least(ends, greatest(coalesce(over - 1, {max(_C
 
 
 def _controlled(spark, sf_dir):
-    return _budgets(spark, sf_dir).withColumn("factors", N.scale_factors(F.col("lines"), F.col("budget"), _NARROW, _CAPS, _STEP, _GAIN))
+    factors = pcm.let(F.struct("lines", "budget"), lambda s: N.scale_factors(s["lines"], s["budget"], _NARROW, _CAPS, _STEP, _GAIN))
+    return _budgets(spark, sf_dir).withColumn("factors", factors)
 
 
 @query(f"WITH {_CONTROL} SELECT block, band::BIGINT AS band, s::BIGINT AS scale_factor FROM sf")
