@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import ordered_fold
+
 
 def frame_bytes(kbps: Column | int, rate: Column | int, padding: Column | int = 0, low_rate: bool = False) -> Column:
     """Layer III frame length: 144 (72 at the low sampling rates) kbps 1000 / rate, and the padding byte."""
@@ -35,25 +37,23 @@ def reservoir(frames: DataFrame, key: str, order: str, payload: str, capacity: i
     a payload over that falls back to the whole budget, and ``targeted`` is false.
 
     begin = min(reservoir, most); budget = capacity + begin; used = min(payload, budget);
-    the next reservoir is begin + capacity - used.  Within a stream frames follow one
-    another, so one stream's frames meet in one row, and streams run side by side.
+    the next reservoir is begin + capacity - used.  Frames of a stream follow one
+    another through one task, and streams run side by side.
     """
-    sorted_frames = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col(payload).alias("p"), (F.col(target_bits) if target_bits else F.lit(None)).cast("long").alias("t"))))
 
-    def step(state: Column, f: Column) -> Column:
-        begin = F.least(state["left"], F.lit(most).cast("long"))
-        whole = begin + F.lit(capacity).cast("long")
-        aim = F.greatest(F.least(F.floor((f["t"] + 7) / 8), whole), F.lit(1).cast("long"))
-        targeted = F.coalesce(f["p"] <= aim, F.lit(False))
-        budget = F.when(targeted, aim).otherwise(whole)
-        used = F.least(f["p"], budget)
-        row = F.struct(f["i"].alias("i"), begin.alias("main_data_begin"), budget.alias("budget"), used.alias("used"), (whole - used).alias("reservoir_after"), (f["p"] > budget).alias("over"), targeted.alias("targeted"))
-        return F.struct((whole - used).alias("left"), F.concat(state["rows"], F.array(row)).alias("rows"))
+    def step(left: int, stream, i: int, p: int, t: int | None) -> tuple[int, tuple]:
+        begin = min(left, most)
+        whole = begin + capacity
+        aim = max(min((t + 7) // 8, whole), 1) if t is not None else 0
+        targeted = t is not None and p <= aim
+        budget = aim if targeted else whole
+        used = min(p, budget)
+        return whole - used, (stream, i, begin, budget, used, whole - used, p > budget, targeted)
 
-    kind = "array<struct<i:bigint,main_data_begin:bigint,budget:bigint,used:bigint,reservoir_after:bigint,over:boolean,targeted:boolean>>"
-    start = F.struct(F.lit(0).cast("long").alias("left"), F.array().cast(kind).alias("rows"))
-    folded = frames.groupBy(key).agg(F.aggregate(sorted_frames, start, step)["rows"].alias("rows"))
-    return folded.select(key, F.explode("rows").alias("r")).select(key, F.col("r.i").alias(order), "r.main_data_begin", "r.budget", "r.used", "r.reservoir_after", "r.over", "r.targeted")
+    target = (F.col(target_bits) if target_bits else F.lit(None)).cast("long")
+    rows = frames.select(key, F.col(order).cast("long").alias(order), F.col(payload).cast("long").alias("_p"), target.alias("_t"))
+    kind = frames.schema[key].dataType.simpleString()
+    return ordered_fold(rows, key, order, 0, step, f"`{key}` {kind}, `{order}` bigint, main_data_begin bigint, budget bigint, used bigint, reservoir_after bigint, over boolean, targeted boolean")
 
 
 def allocate(parts: DataFrame, keys: list[str], order: str, weight: str, total: int, floor: int) -> DataFrame:
@@ -77,6 +77,64 @@ def allocate(parts: DataFrame, keys: list[str], order: str, weight: str, total:
     return df.withColumn("bits", (F.col("_base") + F.col("_down") + F.when(place <= left, 1).otherwise(0)).cast("long")).drop("_base", "_down", "_part", "_spare")
 
 
+def shaped_target(frames: DataFrame, constrained: Column, bins: int, free: int, floor_bins: int, average_boost: int, temporal: Column, spare: int) -> DataFrame:
+    """Adds ``target``: the base target less what stereo saves, with boosts, a floor by depth, damping and at most twice the base.
+
+    frames have base, saving, boost, tf and depth; bins: the lines coded, free: of them
+    those that stereo may save, both over all channels; spare: bits a second under 96,000.
+    """
+    whole = lambda x: x.cast("long")
+
+    def then(name: str, value: Column):
+        nonlocal frames
+        frames = frames.withColumn(name, value)
+        return F.col(name)
+
+    saved = F.least((0.8 * free / bins) * F.col("base"), (F.least("saving", F.lit(1.0)) - 0.1) * (free << 3))
+    t = then("_t1", F.col("base") - whole(saved))
+    t = then("_t2", t + F.col("boost") - average_boost)
+    t = then("_t3", t + whole((F.col("tf") - 0.044) * t))
+    t = then("_t4", F.least(t, F.greatest(whole((floor_bins << 3) * F.col("depth")), F.shiftright(t, 2))))
+    t = then("_t5", F.when(constrained, F.col("base") + whole(0.67 * (t - F.col("base")))).otherwise(t))
+    t = then("_t6", F.when(F.col("tf") < 0.2, t + whole(temporal * (0.0000031 * max(0, min(32000, spare))) * t)).otherwise(t))
+    return frames.withColumn("target", F.least(t, 2 * F.col("base"))).drop(*(f"_t{k}" for k in range(1, 7)))
+
+
+def overflows(bits: Column, width: int = 12) -> Column:
+    """Whether a length doesn't fit its field."""
+    return bits > (1 << width) - 1
+
+
+def variable_rate_drift(frames: DataFrame, key: str, order: str, target: str, spent: str, boost: str, nominal: int, ceiling: int, lm: int, constrained: bool = True) -> DataFrame:
+    """Bytes of variable-rate frames, with the reservoir and the slow drift that hold the nominal rate.
+
+    target, spent and boost are in eighths of a bit.  The drift moves by a gain of
+    1 / (frames + 20), and of 1 / 1000 from the 970th on; a debt of the reservoir is
+    spent at once.
+    """
+    most = min(ceiling, 1275 >> (3 - lm))
+
+    def step(state: tuple[int, int, int, int], stream, i: int, want: int, tell: int, more: int) -> tuple[tuple, tuple]:
+        reservoir, drift, offset, count = state
+        whole = want + tell
+        size = min(max((whole + 32) >> 6, ((tell + more + 63) >> 6) + 2), most)
+        gain = 0.001
+        if count < 970:
+            count += 1
+            gain = 1.0 / (count + 20)
+        if constrained:
+            reservoir += (size << 6) - nominal
+            drift += int(gain * (whole - nominal - offset - drift))
+            offset = -drift
+            if reservoir < 0:
+                size, reservoir = size + -reservoir // 64, 0
+        return (reservoir, drift, offset, count), (stream, i, min(most, size), reservoir, drift)
+
+    rows = frames.select(key, *(F.col(c).cast("long").alias(c) for c in (order, target, spent, boost)))
+    kind = frames.schema[key].dataType.simpleString()
+    return ordered_fold(rows, key, order, (0, 0, 0, 0), step, f"`{key}` {kind}, `{order}` bigint, bytes bigint, reservoir bigint, drift bigint")
+
+
 def finest_step(candidates: DataFrame, keys: list[str], step: str, length: str) -> DataFrame:
     """The smallest step; of equal ones the longest frame."""
     return candidates.groupBy(*keys).agg(F.min(F.struct(F.col(step), (-F.col(length)).alias("_l"))).alias("_m")).select(*keys, f"_m.{step}", (-F.col("_m._l")).alias(length))

@@ -131,23 +131,55 @@ def variable_frame_bytes(spark, sf_dir):
     return frame_facts(spark, sf_dir).select("stream_id", "frame", F.least(want, most).cast("long").alias("bytes"))
 
 
-_DRIFT = f"""WITH RECURSIVE {FRAMES}, st AS (SELECT stream_id, frame, round((1.0::DOUBLE / 21) * (payload - 200), 9) AS drift, payload - 200 AS reservoir FROM fr WHERE frame = 0
-UNION ALL SELECT fr.stream_id, fr.frame, round(st.drift + (1.0::DOUBLE / (fr.frame + 21)) * (fr.payload - 200 - st.drift), 9), greatest(st.reservoir, 0) + fr.payload - 200 FROM st JOIN fr ON fr.stream_id = st.stream_id AND fr.frame = st.frame + 1)
-SELECT stream_id, frame, round(drift, 6) + 0.0::DOUBLE AS drift, reservoir::BIGINT AS reservoir FROM st"""
+_SIZE = "least(greatest((fr.payload * 64 + 132) >> 6, ((100 + 24 + 63) >> 6) + 2), 637)"
 
 
-@query(_DRIFT)
+def _drift(reservoir: str, drift: str, count: str) -> str:
+    left = f"{reservoir} + {_SIZE} * 64 - 12800"
+    gain = f"(CASE WHEN {count} < 970 THEN 1.0::DOUBLE / ({count} + 21) ELSE 0.001::DOUBLE END)"
+    return f"least(637, {_SIZE} + CASE WHEN {left} < 0 THEN -({left}) // 64 ELSE 0 END) AS bytes, greatest({left}, 0) AS reservoir, {drift} + trunc({gain} * (fr.payload * 64 + 100 - 12800 + {drift} - {drift}))::BIGINT AS drift, {count} + 1 AS n"
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, st AS (SELECT stream_id, frame, {_drift('0', '0', '0')} FROM fr WHERE frame = 0
+UNION ALL SELECT fr.stream_id, fr.frame, {_drift('st.reservoir', 'st.drift', 'st.n')} FROM st JOIN fr ON fr.stream_id = st.stream_id AND fr.frame = st.frame + 1)
+SELECT stream_id, frame, bytes::BIGINT AS bytes, reservoir::BIGINT AS reservoir, drift::BIGINT AS drift FROM st""")
 def rate_drift(spark, sf_dir):
-    """Drift and reservoir of a variable-rate stream against 200 bytes a frame; a debt is paid at once."""
-    frames = frame_facts(spark, sf_dir).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("frame", "payload"))).alias("f"))
-
-    def step(state, f):
-        delta = f["payload"] - 200
-        drift = F.round(state["drift"] + (F.lit(1.0) / (f["frame"] + 21)) * (delta - state["drift"]), 9)
-        left = F.greatest(state["left"], F.lit(0).cast("long")) + delta
-        row = F.struct(f["frame"].alias("frame"), drift.alias("drift"), left.alias("reservoir"))
-        return F.struct(drift.alias("drift"), left.alias("left"), F.concat(state["rows"], F.array(row)).alias("rows"))
-
-    start = F.struct(F.lit(0.0).alias("drift"), F.lit(0).cast("long").alias("left"), F.array().cast("array<struct<frame:bigint,drift:double,reservoir:bigint>>").alias("rows"))
-    rows = frames.select("stream_id", F.explode(F.aggregate("f", start, step)["rows"]).alias("r"))
-    return rows.select("stream_id", "r.frame", _r("r.drift").alias("drift"), "r.reservoir")
+    """Bytes, reservoir and drift of constrained variable-rate streams against 200 bytes a frame."""
+    frames = frame_facts(spark, sf_dir).select("stream_id", "frame", (F.col("payload") * 64).alias("target"), F.lit(100).alias("spent"), F.lit(24).alias("boost"))
+    return R.variable_rate_drift(frames, "stream_id", "frame", "target", "spent", "boost", nominal=200 * 64, ceiling=1275, lm=2)
+
+
+#: First lines of the 21 bands at 48 kHz; fixed values of the format.
+CELT_BANDS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 28, 34, 40, 48, 60, 78, 100)
+_LM, _INTENSITY = 3, 12
+_BINS = (CELT_BANDS[21] << _LM) + (CELT_BANDS[_INTENSITY] << _LM)
+_FREE = (CELT_BANDS[_INTENSITY] << _LM) - _INTENSITY
+
+
+@query(f"""WITH {FRAMES}, a AS (SELECT stream_id, frame, payload * 64 AS base, tax * 10 AS saving, (quantity * 8)::BIGINT AS boost, discount * 2 AS tf, 5 + price / 5000 AS depth FROM fr),
+b AS (SELECT *, base - trunc(least({0.8 * _FREE / _BINS!r}::DOUBLE * base, (least(saving, 1.0::DOUBLE) - 0.1) * {_FREE << 3}))::BIGINT AS t FROM a), c AS (SELECT *, t + boost - {19 << _LM} AS t2 FROM b), d AS (SELECT *, t2 + trunc((tf - 0.044) * t2)::BIGINT AS t3 FROM c),
+e AS (SELECT *, least(t3, greatest(trunc({2 * (CELT_BANDS[19] << _LM) << 3} * depth)::BIGINT, t3 >> 2)) AS t4 FROM d), f AS (SELECT *, CASE WHEN frame % 2 = 0 THEN base + trunc(0.67::DOUBLE * (t4 - base))::BIGINT ELSE t4 END AS t5 FROM e),
+g AS (SELECT *, CASE WHEN tf < 0.2 THEN t5 + trunc((1 - tf) * {0.0000031 * 32000!r}::DOUBLE * t5)::BIGINT ELSE t5 END AS t6 FROM f) SELECT stream_id, frame, least(t6, 2 * base)::BIGINT AS target FROM g""")
+def variable_rate_target(spark, sf_dir):
+    """The target of a stereo frame, in eighths of a bit, shaped by what its analysis found."""
+    frames = frame_facts(spark, sf_dir).select("stream_id", "frame", (F.col("payload") * 64).alias("base"), (F.col("tax") * 10).alias("saving"), (F.col("quantity") * 8).cast("long").alias("boost"), (F.col("discount") * 2).alias("tf"), (5 + F.col("price") / 5000).alias("depth"))
+    target = R.shaped_target(frames, constrained=F.col("frame") % 2 == 0, bins=_BINS, free=_FREE, floor_bins=2 * (CELT_BANDS[19] << _LM), average_boost=19 << _LM, temporal=1 - F.col("tf"), spare=32000)
+    return target.select("stream_id", "frame", "target")
+
+
+@query(f"""WITH {FRAMES} SELECT stream_id, max(payload * 10)::BIGINT AS longest, bool_or(payload * 10 > 4095) AS overflows FROM fr GROUP BY stream_id""")
+def side_info_overflow(spark, sf_dir):
+    """Whether any granule of a stream is longer than the twelve bits of its length field."""
+    bits = F.col("payload") * 10
+    return frame_facts(spark, sf_dir).groupBy("stream_id").agg(F.max(bits).alias("longest"), F.bool_or(R.overflows(bits)).alias("overflows"))
+
+
+_KBPS = ", ".join(f"({b})" for b in BITRATES)
+
+
+@query(f"""WITH {FRAMES}, k(kbps) AS (VALUES {_KBPS}), s AS (SELECT DISTINCT stream_id % 2 = 0 AS stereo, stream_id % 3 = 0 AS crc FROM fr) SELECT kbps::BIGINT AS kbps, stereo, crc, (kbps * 144000 // 44100 - 4 - (CASE WHEN stereo THEN 32 ELSE 17 END) - (CASE WHEN crc THEN 2 ELSE 0 END))::BIGINT AS bytes FROM k CROSS JOIN s""")
+def payload_capacity(spark, sf_dir):
+    """Main data that a frame of each bitrate holds, for the channel and checksum modes of the streams."""
+    modes = frame_facts(spark, sf_dir).select((F.col("stream_id") % 2 == 0).alias("stereo"), (F.col("stream_id") % 3 == 0).alias("crc")).distinct()
+    rates = modes.withColumn("kbps", F.explode(F.lit(list(BITRATES)))).withColumn("kbps", F.col("kbps").cast("long"))
+    return rates.select("kbps", "stereo", "crc", R.payload_capacity(R.frame_bytes(F.col("kbps"), 44100), F.col("stereo"), F.col("crc")).cast("long").alias("bytes"))
