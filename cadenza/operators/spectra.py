@@ -78,10 +78,11 @@ def autocorrelation(x: Column, n: int, lags: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), lambda k: dot(F.slice(x, F.lit(1), F.lit(n) - k), F.slice(x, k + 1, F.lit(n) - k)))
 
 
-def levinson(r: Column, order: int) -> Column:
+def levinson(r: Column, order: int, stop: float = 0.0) -> Column:
     """Predictor coefficients from autocorrelations, by Levinson and Durbin's recursion, as one expression.
 
-    Zero energy gives zero coefficients.
+    Zero energy gives zero coefficients, and no further one is found where less than
+    the share ``stop`` of the energy is left.
     """
     from ..functions.pcm import total
 
@@ -90,7 +91,7 @@ def levinson(r: Column, order: int) -> Column:
     def step(state: Column, i: Column) -> Column:
         a, e = state["a"], state["e"]
         acc = F.get(r, i + 1) - total(F.transform(a, lambda c, j: c * F.get(r, i - j)))
-        k = F.when(e > 0, acc / e).otherwise(0.0)
+        k = F.when((e > 0) & (e >= stop * F.get(r, 0)), acc / e).otherwise(0.0)
         updated = F.concat(F.transform(a, lambda c, j: c - k * F.get(a, i - 1 - j)), F.array(k))
         return F.struct((e * (1 - k * k)).alias("e"), updated.alias("a"))
 

@@ -9,6 +9,7 @@ from ..functions import hearing as H
 from ..functions import pcm
 from ..functions import transforms as T
 from ..operators import blocks as B
+from ..operators.lowdelay import separate
 from ..sources.adaptors import event_signal, pcm_blocks, stereo_blocks
 from .quality import _r
 from .registry import EVENT_SIGNAL, PX, STEREO, query, rounded
@@ -145,12 +146,12 @@ def square_polar(spark, sf_dir):
 
 
 @query(f"""WITH {STEREO}, s AS (SELECT pair, sum(abs(l)) AS al, sum(abs(r)) AS ar, sum(abs(l + r)) AS am, sum(abs(l - r)) AS a_s FROM st GROUP BY pair)
-SELECT pair, {rounded('(al + ar) / ((am + a_s) * sqrt(0.5))')} AS ratio, (al + ar) < (am + a_s) * sqrt(0.5) AS dual FROM s""")
+SELECT pair, {rounded('(al + ar) / ((am + a_s) * sqrt(0.5))')} AS ratio, 133 * (am + a_s + 1e-15) * sqrt(0.5) > 128 * (al + ar + 1e-15) AS dual FROM s""")
 def dual_stereo(spark, sf_dir):
-    """Whether left and right cost less than mid and side, by sums of magnitudes."""
+    """Whether left and right cost less than mid and side, by sums of magnitudes and what the angles cost."""
     one = lambda f: pcm.total(F.zip_with("left", "right", f), F.abs)
-    s = stereo_blocks(spark, sf_dir).select("pair", (one(lambda a, b: a) + one(lambda a, b: b)).alias("lr"), ((one(lambda a, b: a + b) + one(lambda a, b: a - b)) * (0.5**0.5)).alias("ms"))
-    return s.select("pair", _r(F.col("lr") / F.col("ms")).alias("ratio"), (F.col("lr") < F.col("ms")).alias("dual"))
+    s = stereo_blocks(spark, sf_dir).select("pair", (one(lambda a, b: a) + one(lambda a, b: b)).alias("lr"), ((one(lambda a, b: a + b) + one(lambda a, b: a - b)) * (0.5**0.5)).alias("ms"), separate(F.col("left"), F.col("right"), 128, small=True).alias("dual"))
+    return s.select("pair", _r(F.col("lr") / F.col("ms")).alias("ratio"), "dual")
 
 
 @query(f"""WITH {EVENT_SIGNAL} SELECT user_id, {rounded('sqrt(avg(x * x))')} AS rms, count(*)::BIGINT AS n, (count(*) = count(CASE WHEN x = 0 THEN 1 END)) AS silent FROM ev GROUP BY user_id""")
