@@ -203,9 +203,12 @@ def test_token_files(spark, docs, rows, tmp_path):
     assert [(i, ids) for _, i, _, _, ids in found] == [(i, ids) for (i, _), ids in order]
     assert [s for s, *_ in found] == list(itertools.accumulate([0] + [r[2] for r in found[:-1]]))
     assert all(crc(ids) == c and len(ids) == n for _, _, n, c, ids in found)
+    assert {(r["n_ends"]) for r in wavelet.read_tokens(spark, path, with_ids=True).collect() if r["ids"].count(1) == 1} == {1}
 
 
-def test_wavelet_matrix():
+@pytest.mark.parametrize("chunk", [wavelet.CHUNK, 64])
+def test_wavelet_matrix(monkeypatch, chunk):
+    monkeypatch.setattr(wavelet, "CHUNK", chunk)
     x = np.random.default_rng(3).integers(0, 49408, 3000) % 97
     m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(x).to_bytes())
     assert np.array_equal(m.symbols(), x)
@@ -213,9 +216,15 @@ def test_wavelet_matrix():
     for s in (0, 5, 96, 400):
         where = np.flatnonzero(x == s).tolist()
         assert (m.count(s), m.positions(s), m.rank(s, 1500)) == (len(where), where, sum(i < 1500 for i in where))
+        ends = np.array([0, 1, 511, 512, 513, 1500, 3000, 3000])
+        assert m.ranks(s, ends).tolist() == [sum(i < e for i in where) for e in ends.tolist()]
     assert wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(x[:0]).to_bytes()).symbols().tolist() == []
     with pytest.raises(IndexError):
         m.access(3000)
+    with pytest.raises(ValueError, match="under 65536"):
+        wavelet.WaveletMatrix.build(np.array([3, 65_536]))
+    one = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(x).to_bytes())
+    assert one.access(7) == x[7] and len(one.inflated) <= wavelet.PLANES
 
 
 # --- 2 -------------------------------------------------------------------------
@@ -754,6 +763,29 @@ def test_empty_tables(spark, empty):
     assert [df.count() for df in made] == [0] * len(made)
 
 
+def test_very_long_texts(spark):
+    """One text of 150,000 words and one of a word of 300,000 letters, through every operator."""
+    rnd = random.Random(11)
+    long = " ".join(f"w{rnd.randrange(3000)}" for _ in range(150_000))
+    rows = [(1, long, "en"), (2, "x" * 300_000, "en"), (3, long[:-3] + "end", "en"), (4, "short", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    gone = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in repeats.digest(docs).collect()}
+    assert gone[1] == (150_000, 0) and gone[3][1] == 149_999 and gone[2] == (1, 0)
+    tokens_of = {r["doc_id"]: r["n_tokens"] for r in wavelet.token_files(docs).collect()}
+    packed = collections.Counter()
+    for r in packing.pack(docs).collect():
+        packed[r["doc_id"]] += r["length"]
+    assert packed == tokens_of
+    items = spark.createDataFrame([(0, " ".join(long.split()[70_000:70_040]))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.find(docs, items).collect()} == {1, 3}
+    model = toxicity.fit([f"vile scum {k}" for k in range(9)] + [f"fine day {k}" for k in range(9)], [1] * 9 + [0] * 9, 0.5)
+    assert toxicity.score(docs, model).count() == 4
+    assert {r["doc_id"]: r["n_tokens"] for r in perplexity.classify(docs, docs.where("doc_id = 4").select("doc_id")).collect()} == {1: 150_001, 2: 2, 3: 150_001, 4: 2}
+    assert {r["doc_id"]: r["n_tokens"] for r in ctw.score(docs, F.col("doc_id") == 3).collect()} == {1: 150_001, 2: 2, 3: 150_001, 4: 2}
+    assert {r["doc_id"]: r["n_bytes"] for r in media.load(media.store(docs)).collect()} == {i: len(t) for i, t, _ in rows}
+
+
 def test_clashing_columns(spark):
     from pyspark.sql import functions as F
 
