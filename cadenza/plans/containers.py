@@ -71,7 +71,7 @@ def mpeg_frame_walk(spark, sf_dir):
     return streams.mapInPandas(walk, "stream_id long, frame long, kbps long, length long, offset long")
 
 
-@query("SELECT conv_id, count(*)::BIGINT AS frames, max(7 + least(strlen(coalesce(text, '')), 2000))::BIGINT AS longest, sum(least(strlen(coalesce(text, '')), 2000))::BIGINT AS payload FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, sum(greatest((strlen(coalesce(text, '')) + 8183) // 8184, 1))::BIGINT AS frames, max(7 + least(strlen(coalesce(text, '')), 8184))::BIGINT AS longest, sum(strlen(coalesce(text, '')))::BIGINT AS payload FROM conversations GROUP BY conv_id")
 def adts_round_trip(spark, sf_dir):
     """Turns of a conversation as ADTS frames, through an .m4a file and back; sizes of what comes out."""
     import pandas as pd
@@ -134,10 +134,8 @@ def flac_round_trip(spark, sf_dir):
     return _round_trip(spark, sf_dir, "flac", 16)
 
 
-@query("SELECT vec_id AS block, 0.0::DOUBLE AS worst FROM embeddings")
+@query("SELECT vec_id AS block, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS value FROM embeddings")
 def float_wav_round_trip(spark, sf_dir):
-    """32-bit WAV files keep samples as they are."""
-    from ..functions import pcm
-
-    worst = pcm.max_abs(F.zip_with("samples", "pcm.samples", lambda a, b: (a - b).cast("double")))
-    return _files(spark, sf_dir, "wav", 32).select("block", worst.alias("worst"))
+    """32-bit WAV files keep samples as they are: every one of them, read back."""
+    long = _files(spark, sf_dir, "wav", 32).select("block", F.posexplode("pcm.samples").alias("i", "value"))
+    return long.select("block", F.col("i").cast("long").alias("i"), F.col("value").cast("double").alias("value"))

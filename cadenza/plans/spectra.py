@@ -141,12 +141,9 @@ def linear_prediction(spark, sf_dir):
     return _lines(r, "block", spectra.levinson(F.col("r"), 4), "tap")
 
 
-def _resample_sql(source: int, target: int) -> str:
-    taps = ", ".join(f"({i}, {j}, {w!r}::DOUBLE)" for i, row in spectra.resample_taps(source, target, 64) for j, w in row)
-    return f"WITH {PX}, t(o, i, w) AS (VALUES {taps}) SELECT block, o::BIGINT AS i, {rounded('sum(x * w)')} AS value FROM px JOIN t USING (i) GROUP BY block, o"
-
-
-@query(_resample_sql(32000, 48000))
+@query(f"""WITH {PX}, t AS (SELECT o, i, i - o * 2 / 3.0::DOUBLE AS d FROM (SELECT unnest(range(96)) AS o) CROSS JOIN (SELECT unnest(range(64)) AS i)),
+w AS (SELECT o, i, (CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE sin(pi() * d) / (pi() * d) END) * (0.42 + 0.5 * cos(pi() * d / 16) + 0.08 * cos(2 * pi() * d / 16)) AS w FROM t WHERE abs(d) <= 16)
+SELECT block, o::BIGINT AS i, {rounded('sum(x * w) / sum(w)')} AS value FROM px JOIN w USING (i) GROUP BY block, o""")
 def resample(spark, sf_dir):
     """32 kHz to 48 kHz by a windowed sinc of 16 zero crossings."""
     rows = spectra.resample_taps(32000, 48000, 64)

@@ -102,7 +102,7 @@ def mpeg_frames(raw: bytes) -> list[tuple[int, MpegHeader]]:
     """Offsets and headers of frames that follow one another."""
     at, out = 0, []
     while at < len(raw):
-        head = mpeg_header(raw[at:])
+        head = mpeg_header(raw[at : at + 4])
         if at + head.length > len(raw):
             raise incomplete("MPEG frame")
         out.append((at, head))

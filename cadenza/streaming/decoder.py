@@ -34,6 +34,16 @@ def audio(raw: bytes) -> dict:
     return {"format": kind, "sample_rate": row["sample_rate"], "channels": row["channels"], "frames": len(row["samples"]) // row["channels"]}
 
 
+def flac(raw: bytes) -> dict:
+    """FLAC alone: whatever ends too soon is incomplete, another signature is an error."""
+    if raw[:4] != b"fLaC"[: len(raw)]:
+        raise AudioError("UnsupportedFormat")
+    row = decode_bytes(raw, "flac")
+    if row["error_code"]:
+        raise AudioError("Incomplete" if row["error_code"] in ("Incomplete", "InvalidInput") else row["error_code"], row["error_detail"] or "")
+    return {"format": "flac", "sample_rate": row["sample_rate"], "channels": row["channels"], "frames": len(row["samples"]) // row["channels"]}
+
+
 def push(pending: bytes, chunk: bytes, decode: Callable[[bytes], dict], cap: int = CAP) -> tuple[bytes, str | None, dict]:
     """One step: the bytes still pending, the status (none, decoded, waiting or an error code), and the result."""
     if not pending and not chunk:
@@ -47,15 +57,19 @@ def push(pending: bytes, chunk: bytes, decode: Callable[[bytes], dict], cap: int
         return (whole, "waiting", {}) if e.code == "Incomplete" else (b"", e.code, {})
 
 
-def decode_chunks(chunks: DataFrame, key: str = "stream_id", seq: str = "seq", chunk: str = "chunk", decode: Callable[[bytes], dict] = audio, cap: int = CAP) -> DataFrame:
-    """A row for each chunk with a status.  A table's chunks go in order of ``seq``, a stream's as they arrive."""
-    ordered = chunks.select(F.col(key).cast("string").alias(key), F.col(seq).cast("long").alias("seq"), F.col(chunk).cast("binary").alias("chunk"))
+def decode_chunks(chunks: DataFrame, key: str = "stream_id", seq: str = "seq", chunk: str = "chunk", decode: Callable[[bytes], dict] = audio, cap: int = CAP, reset: str | None = None) -> DataFrame:
+    """A row for each chunk with a status.  A table's chunks go in order of ``seq``, a stream's as they arrive.
+
+    Where the column ``reset`` holds, what is pending is dropped before the chunk.
+    """
+    fresh = F.coalesce(F.col(reset).cast("boolean"), F.lit(False)) if reset else F.lit(False)
+    ordered = chunks.select(F.col(key).cast("string").alias(key), F.col(seq).cast("long").alias("seq"), F.col(chunk).cast("binary").alias("chunk"), fresh.alias("fresh"))
     schema = SCHEMA.format(key=f"`{key}`")
 
     def steps(name: str, rows: pd.DataFrame, pending: bytes) -> tuple[pd.DataFrame, bytes]:
         out = []
         for r in rows.sort_values("seq", kind="stable").itertuples():
-            pending, status, found = push(pending, bytes(r.chunk) if r.chunk is not None else b"", decode, cap)
+            pending, status, found = push(b"" if r.fresh else pending, bytes(r.chunk) if r.chunk is not None else b"", decode, cap)
             if status is not None:
                 out.append((name, r.seq, status, found.get("format"), found.get("sample_rate"), found.get("channels"), found.get("frames"), len(pending)))
         frame = pd.DataFrame(out, columns=[key, "seq", "status", "format", "sample_rate", "channels", "frames", "buffered"])
