@@ -45,7 +45,7 @@ MARK = 0x20
 #: Context groups, at least; the third byte splits each pair of bytes over so many of them.
 GROUPS, SPLITS = 256, 8
 #: Places of texts whose contexts are sorted at a time.
-PLACES = 3 << 20
+PLACES = 2 << 20
 LOG_HALF = np.log(0.5)
 
 _HALVES = np.array([math.lgamma(k + 0.5) for k in range(1 << 12)])
