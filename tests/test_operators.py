@@ -153,3 +153,50 @@ def test_side_fraction(spark):
     assert one(spark, blocks.side_fraction(arr([0, 0]), arr([0, 0]))) == 0
     assert one(spark, blocks.side_fraction(arr([1, 2]), arr([1, 2]))) == 0
     assert one(spark, blocks.side_fraction(arr([1]), arr([-1]))) == 1
+
+
+def test_ordered_fold_carries_state_over_batches(spark):
+    from cadenza.operators.fold import ordered_fold
+
+    rows = [(k, i, 1) for k in ("a", "b", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, i long, n long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = ordered_fold(df, "k", "i", 0, lambda t, k, i, n: (t + n, (k, i, t + n)), "k string, i long, t long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 150 and all(r["t"] == r["i"] + 1 for r in found)
+    assert ordered_fold(df.limit(0), "k", "i", 0, lambda t, k, i, n: (t, (k, i, t)), "k string, i long, t long").count() == 0
+
+
+def test_filterbank_matrices():
+    import numpy as np
+
+    from cadenza.operators import filterbank as B
+
+    a = B.alias_matrix()
+    assert np.allclose(a @ a.T, np.eye(576))  # rotations
+    assert sorted(B.short_order().tolist()) == list(range(576))
+    long, short = (B.granule_matrix(B.low_pass(), s) for s in (False, True))
+    assert long.shape == short.shape == (B.BEFORE + B.GRANULE, B.GRANULE)
+    tone = np.sin(np.pi / 32 * 10.5 * (np.arange(B.BEFORE + B.GRANULE) + 0.5))  # in the middle of subband 10
+    energy = (tone @ long) ** 2
+    assert energy[9 * 18 : 12 * 18].sum() > 0.98 * energy.sum()
+
+
+def test_variable_rate_drift_settles(spark):
+    from cadenza.operators import rate
+
+    frames = spark.createDataFrame([("s", i, 12_000 + 1_600 * (i % 2), 100, 24) for i in range(1_100)], "k string, i long, t long, s long, b long")
+    rows = rate.variable_rate_drift(frames, "k", "i", "t", "s", "b", nominal=12_800, ceiling=1275, lm=2).orderBy("i").collect()
+    assert [r["i"] for r in rows] == list(range(1_100)) and all(2 <= r["bytes"] <= 637 and r["reservoir"] >= 0 for r in rows)
+
+
+def test_flac_alone_waits_for_more():
+    from cadenza.sources.errors import AudioError
+    from cadenza.streaming.decoder import flac, push
+
+    assert push(b"", b"fL", flac) == (b"fL", "waiting", {})
+    assert push(b"fL", b"aC", flac)[1] == "waiting"
+    assert push(b"", b"OggS", flac) == (b"", "UnsupportedFormat", {})
+    assert issubclass(AudioError, Exception)
