@@ -45,7 +45,7 @@ MARK = 0x20
 #: Context groups, at least; the third byte splits each pair of bytes over so many of them.
 GROUPS, SPLITS = 256, 8
 #: Places of texts whose contexts are sorted at a time.
-PLACES = 2 << 20
+PLACES = 1 << 20
 LOG_HALF = np.log(0.5)
 
 _HALVES = np.array([math.lgamma(k + 0.5) for k in range(1 << 12)])
@@ -322,14 +322,16 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         of = group_of(keys, groups)
         order = np.argsort(of, kind="stable")
         bounds = np.searchsorted(of[order], np.arange(groups + 1))
-        out = [(k, keys[order[bounds[k] : bounds[k + 1]]], counts[order[bounds[k] : bounds[k + 1]]]) for k in np.flatnonzero(np.diff(bounds)).tolist()]
+        del of
+        cut = lambda x, y: (S.packed(np.diff(x, prepend=U64(0))), S.packed(y))
+        out = [(k, *cut(*(x[order[bounds[k] : bounds[k + 1]]] for x in (keys, counts)))) for k in np.flatnonzero(np.diff(bounds)).tolist()]
+        del keys, order
         index, hashes, at = _tokens(group["text"])
         counts = np.bincount(index[np.repeat(learned, np.diff(at))], minlength=len(hashes))
         bounds = S.by_shard(hashes, shards)
-        out += [(-1 - k, hashes[bounds[k] : bounds[k + 1]], counts[bounds[k] : bounds[k + 1]]) for k in np.flatnonzero(np.diff(bounds)).tolist()]
-        packed = [(S.packed(np.diff(k, prepend=U64(0))), S.packed(c)) for _, k, c in out]
+        out += [(-1 - k, *cut(*(x[bounds[k] : bounds[k + 1]] for x in (hashes, counts)))) for k in np.flatnonzero(np.diff(bounds)).tolist()]
         S.give_back()
-        return S.table(ASKED, part=[key[0].as_py()] * len(out), grp=[g for g, *_ in out], keys=[k for k, _ in packed], counts=[c for _, c in packed])
+        return S.table(ASKED, part=[key[0].as_py()] * len(out), grp=[g for g, *_ in out], keys=[k for _, k, _ in out], counts=[c for *_, c in out])
 
     asked = S.kept(rows.groupBy("part").applyInArrow(ask, ASKED_SQL))
 
@@ -376,6 +378,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         first = np.zeros(groups, np.int64)
         first[of[of >= 0]] = np.cumsum([0, *(len(found[k]) for k in np.flatnonzero(of >= 0))])[:-1]
         answers = np.concatenate([np.zeros(0, np.float32), *(found[k] for k in np.flatnonzero(of >= 0))])
+        del right, found, index, counts
         total = np.zeros(left.num_rows)
         for key, bounds in Running(left["text"]).passes():
             coded = pa.array(key).dictionary_encode()
