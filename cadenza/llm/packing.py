@@ -1,7 +1,10 @@
 """Lexical retrieval packing.
 
-Documents are dealt to shards by a hash.  Each shard builds a BM25 inverted
-index of its documents and lays them out in windows: a seed document asks the
+Documents are dealt to shards by likeness: by the least hash of their words, then
+by another, so that copies and documents of rare words in common meet.  Shards are
+even in bytes: a likeness that fills more than its share is split over several by a
+hash of the row.  Each shard builds a BM25 inverted index of its documents and
+lays them out in windows: a seed document asks the
 index for its nearest documents not yet used, which fill the window greedily in
 order of score.  A document that does not fit is cut; its rest opens the next
 window and is that window's seed.  Where a seed has no more neighbours, the next
@@ -32,6 +35,9 @@ from . import tokens as K
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 
+#: Bits of a document's likeness from its least word under two orders of words.
+LIKENESS = (12, 4)
+
 
 class Terms:
     """The distinct terms of some texts by their hashes, in order, and the (text, term) pairs with their counts."""
@@ -100,6 +106,38 @@ def _summed(group: pa.Table) -> pa.Table:
     return S.table(ASKED, part=group["part"].combine_chunks(), shard=group["shard"].combine_chunks(), keys=[b""] * len(cut), held=[S.blob(x) for x in cut], **{c: [x] * len(cut) for c, x in zip(("n", "length"), sums, strict=True)})
 
 
+def likeness(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A number of 16 bits for each text, equal with a chance of about the share of words in common."""
+    out = np.zeros(len(texts), np.int64)
+    for i, j, words, at in T.hashed(texts, lower=True):
+        some = at[1:] > at[:-1]
+        for seed, bits in enumerate(LIKENESS, 1):
+            least = np.zeros(j - i, np.uint64)
+            if some.any():
+                least[some] = np.minimum.reduceat(T.mix(words ^ T.mix(np.array([seed], np.uint64))), at[:-1][some])
+            out[i:j] = out[i:j] << bits | (T.mix(least) >> np.uint64(64 - bits)).astype(np.int64)
+    return out
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Adds ``part`` to rows of doc_id and text: like texts share one, equal rows always, and all are of about the same size.
+
+    The driver sees the bytes of each likeness, 65,536 numbers at most.
+    """
+    alike = F.arrow_udf(lambda texts: pa.array(likeness(texts), pa.int32()), "int")
+    size = np.zeros(1 << sum(LIKENESS), np.int64)
+    for r in rows.select(alike("text").alias("kind"), (F.octet_length("text") + 1).alias("size")).groupBy("kind").agg(F.sum("size").alias("size")).toLocalIterator():
+        size[r["kind"]] = r["size"]
+    first, share = np.cumsum(size) - size, max(1, -(-int(size.sum()) // parts))
+
+    def part(texts: pa.Array, row: pa.Array) -> pa.Array:
+        kind = likeness(texts)
+        along = (row.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(11)) / 2.0**53
+        return pa.array((first[kind] + (along * size[kind]).astype(np.int64)) // share, pa.int32())
+
+    return rows.withColumn("part", F.arrow_udf(part, "int")("text", F.xxhash64("doc_id", "text")))
+
+
 def layout(index: Bm25Index, lengths: np.ndarray, window: int) -> np.ndarray:
     """The order in which a shard's documents fill its windows."""
     n = len(lengths)
@@ -195,6 +233,6 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, vocabulary: str |
         return pa.table(out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = S.with_part(rows, S.parts_for(docs), "doc_id", "text")
+    rows = dealt(rows, S.parts_for(docs))
     answered = rows.groupBy("part").applyInArrow(ask, ASKED_SQL).groupBy("shard").applyInArrow(_summed, ASKED_SQL)
     return rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(pack_shard, SCHEMA + ", ids array<int>" * with_ids)

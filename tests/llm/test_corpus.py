@@ -175,6 +175,22 @@ def test_packing_weighs_terms_over_the_corpus_and_asks_with_all(spark):
     assert alone.weight.tolist() == pytest.approx(index.weight[: len(alone.weight)].tolist())
 
 
+def test_packing_deals_like_documents_to_one_part(spark):
+    random = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in random.integers(0, 5000, 120)) for _ in range(400)]
+    near = [t + " changed" for t in texts]
+    rows = [(k, t) for k, t in enumerate(texts + near)] + [(1000 + k, "one text that a third of all rows repeat " * 16) for k in range(400)] + [(2000, ""), (2001, " "), (2000, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = packing.dealt(table, 20).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in found) == sorted(rows)
+    part = {r["doc_id"]: r["part"] for r in found}
+    assert sum(part[k] == part[400 + k] for k in range(400)) > 340  # by chance: 20
+    size = np.bincount([r["part"] for r in found], [len(r["text"]) + 1 for r in found], 20)
+    assert len(size) == 20 and size.max() < 2 * size.mean()
+    assert len({part[1000 + k] for k in range(400)}) > 4  # the hot text is split
+    assert len({r["part"] for r in found if r["doc_id"] == 2000}) == 1
+
+
 def test_packing_scores_are_bm25():
     """Against the formula, term by term; equal scores go by place."""
     rnd = random.Random(7)
