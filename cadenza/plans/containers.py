@@ -32,7 +32,17 @@ def payload_size(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.length(text).cast("long").alias("n_chars"))
 
 
-@query()
+#: 16-bit steps in closed form, by the parity of the byte; 32-bit ones by tables that repeated shifts make.
+_STEP16 = "lambda c, b: xor(c * 256 % 65536, xor(bit_count(xor(c // 256, b)) % 2 * 32771, xor(xor(c // 256, b) * 2, xor(c // 256, b) * 4)))"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT b, 0 AS k, b::BIGINT * 16777216 AS up, b::BIGINT AS down FROM range(256) t(b) UNION ALL
+SELECT b, k + 1, xor(up * 2 % 4294967296, CASE WHEN up >= 2147483648 THEN 79764919 ELSE 0 END), xor(down // 2, CASE WHEN down % 2 = 1 THEN 3988292384 ELSE 0 END) FROM s WHERE k < 8),
+tab AS (SELECT list(up ORDER BY b) AS ups, list(down ORDER BY b) AS downs FROM s WHERE k = 8),
+o AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS o FROM documents)
+SELECT doc_id, list_reduce(list_prepend(0::BIGINT, o), {_STEP16}) AS crc16_flac, list_reduce(list_prepend(65535::BIGINT, o), {_STEP16}) AS crc16_mpeg,
+list_reduce(list_prepend(0::BIGINT, o), lambda c, b: xor(c * 256 % 4294967296, ups[xor(c // 16777216, b) + 1])) AS crc32_ogg,
+xor(list_reduce(list_prepend(4294967295::BIGINT, o), lambda c, b: xor(c // 256, downs[xor(c % 256, b) + 1])), 4294967295) AS crc32_zlib FROM o CROSS JOIN tab""")
 def checksum_table(spark, sf_dir):
     """CRC-16 of either start, unreflected CRC-32 and the zlib one of every text."""
     text = F.coalesce("text", F.lit("")).cast("binary")

@@ -241,7 +241,14 @@ def floor_midpoints(spark, sf_dir):
     return long.select("block", F.col("x").cast("long").alias("x"), (F.col("s.a") + F.signum(rise) * F.floor(F.abs(rise) / 2)).cast("long").alias("y"))
 
 
-@query()
+# A heap holds (count, number, symbols below); each step joins its two least nodes, which makes all symbols below them a bit longer.
+@query(f"""WITH RECURSIVE {PX}, h AS (SELECT stream_id, (sign(x) * round(pow(abs(x), 0.75) / {STEP}))::BIGINT AS symbol, count(*)::BIGINT AS n FROM px GROUP BY 1, 2),
+r AS (SELECT *, (row_number() OVER (PARTITION BY stream_id ORDER BY symbol) - 1)::BIGINT AS place, count(*) OVER (PARTITION BY stream_id) AS size FROM h),
+t AS (SELECT stream_id, any_value(size) AS fresh, list_sort(list({{'n': n, 'id': place, 'below': [symbol]}})) AS heap, NULL::BIGINT[] AS longer FROM r GROUP BY stream_id UNION ALL
+SELECT stream_id, fresh + 1, list_sort(list_append(heap[3:], {{'n': heap[1].n + heap[2].n, 'id': fresh, 'below': list_concat(heap[1].below, heap[2].below)}})), list_concat(heap[1].below, heap[2].below) FROM t WHERE len(heap) > 1),
+d AS (SELECT stream_id, symbol, count(*)::BIGINT AS length FROM (SELECT stream_id, unnest(longer) AS symbol FROM t) GROUP BY 1, 2),
+e AS (SELECT stream_id, symbol, n, coalesce(length, 1)::BIGINT AS length FROM r LEFT JOIN d USING (stream_id, symbol))
+SELECT stream_id, symbol, n, length, (coalesce(sum(pow(2.0, -length)) OVER (PARTITION BY stream_id ORDER BY length, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * pow(2.0, length))::BIGINT AS code FROM e""")
 def huffman_book(spark, sf_dir):
     """Huffman lengths and canonical codes of the quantised samples of each stream."""
     q = pcm_blocks(spark, sf_dir).select("stream_id", F.explode(F.transform("samples", lambda x: C.power_quantise(x, STEP))).alias("symbol"))
