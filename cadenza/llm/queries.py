@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, jaccard, media, packing, perplexity, pii, repeats, spelling, toxicity, turns, wavelet
+from . import ctw, decontaminate, jaccard, media, packing, perplexity, pii, repeats, rules, spelling, toxicity, turns, wavelet
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(_documents(spark, sf_dir)))
 
 
+def op13_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return rules.classify(_documents(spark, sf_dir), labels.where("quality = 1"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op6_pii_spans": op6_pii_spans,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_wavelet_tokens": op5_wavelet_tokens,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_perplexity_rules": op13_perplexity_rules,
 }
 
 #: The table of the 32-bit cyclic redundancy check, by its rule, and the check of bytes ``x`` given as a list of numbers.
