@@ -276,6 +276,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
     # Ids don't tell rows apart: numbers in their order do.
     rows = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
-    rows = S.kept(rows.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id()))
-    keep = S.kept(join(rows, "_row")).where("component_id = doc_id").select(F.col("doc_id").alias("_row"))
-    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
+    number = S.free_name("_row", docs.columns)
+    rows = S.kept(rows.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn(number, F.monotonically_increasing_id()))
+    keep = S.kept(join(rows, number)).where("component_id = doc_id").select(F.col("doc_id").alias(number))
+    return rows.join(keep, number, "left_semi").select(*docs.columns)

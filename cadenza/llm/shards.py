@@ -82,6 +82,14 @@ def table(schema: pa.Schema, **cols) -> pa.Table:
     return pa.table({f.name: pa.array(cols[f.name], f.type) for f in schema}, schema=schema)
 
 
+def free_name(start: str, columns: list[str]) -> str:
+    """A name that no column has, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    while start.lower() in taken:
+        start += "_"
+    return start
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
     """Takes the shared folder that the session names; a temporary one only on one machine, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -88,8 +88,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Runs of eight bytes that are hashed one after another; longer words are hashed by blocks of so many.
+_CHAIN = 64
+
+
+def _chained(values: np.ndarray, bounds: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Each item's values, absorbed one after another into its start.
+
+    A step mixes a value in on both sides of a permutation, so that no value makes up for
+    a difference in those before it.
+    """
+    state, counts, left = start, np.diff(bounds), np.arange(len(start))
+    for k in range(int(counts.max(initial=0))):
+        if k:
+            left = left[counts[left] > k]
+        v = values[bounds[:-1][left] + k]
+        state[left] = mix(state[left] + mix(v ^ U64(0x6C62272E07BB0142))) ^ (v * U64(0x9E3779B97F4A7C15))
+    return state
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words: the sum of their mixed runs of eight bytes, each mixed with its number."""
+    """64-bit hashes of the words: their length, then their runs of eight bytes one after another."""
     if not len(starts):
         return np.zeros(0, U64)
     lengths = ends - starts
@@ -101,20 +120,43 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     value = eights[np.repeat(starts, runs) + 8 * number].view("<u8")[:, 0]
     last = bounds[1:][runs > 0] - 1
     value[last] &= _KEEP[((lengths[runs > 0] - 1) & 7) + 1]
-    total = np.zeros(len(value) + 1, U64)
-    np.cumsum(mix(value + (number + 1).astype(U64) * U64(0x9E3779B97F4A7C15)), out=total[1:])
-    return mix(total[bounds[1:]] - total[bounds[:-1]] + lengths.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+    out = mix(lengths.astype(U64) * U64(0xC2B2AE3D27D4EB4F) + U64(1))
+    while (long := np.flatnonzero(runs > _CHAIN)).size:
+        # Blocks of long words become their values, until these are few.
+        blocks = (runs + _CHAIN - 1) // _CHAIN
+        blocks[runs <= _CHAIN] = runs[runs <= _CHAIN]
+        fresh = np.concatenate([[0], np.cumsum(blocks)])
+        made = np.empty(int(fresh[-1]), U64)
+        short = np.flatnonzero(runs <= _CHAIN)
+        made[ragged(fresh[short], runs[short])] = value[ragged(bounds[short], runs[short])]
+        first = ragged(np.zeros(len(long), np.int64), blocks[long]) * _CHAIN
+        size = np.minimum(np.repeat(runs[long], blocks[long]) - first, _CHAIN)
+        begins = np.repeat(bounds[long], blocks[long]) + first
+        inner = value[ragged(begins, size)]
+        made[ragged(fresh[long], blocks[long])] = _chained(inner, np.concatenate([[0], np.cumsum(size)]), mix(size.astype(U64) + U64(2)))
+        value, bounds, runs = made, fresh, blocks
+    return mix(_chained(value, bounds, out))
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a + U64(0xD1342543DE82EF95)) + b)
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
-    """Hashes of all runs of ``width`` consecutive words (runs over text ends too)."""
+    """Hashes of all runs of ``width`` consecutive words (runs over text ends too), joined of runs of powers of two."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
-    out = np.zeros(n, U64)
-    for k in range(width):
-        out += words[k : k + n] * U64((pow(0xD1342543DE82EF95, k + 1, 1 << 64) * (2 * seed + 1)) % (1 << 64) | 1)
-    return mix(out)
+    out, at, power, size = None, 0, words, 1
+    while True:
+        if width & size:
+            piece = power[at : at + n]
+            out = piece if out is None else _joined(out, piece)
+            at += size
+        if 2 * size > width:
+            return mix(out ^ U64(seed * 0xA0761D6478BD642F % (1 << 64)))
+        power = _joined(power[:-size], power[size:])
+        size *= 2
 
 
 def hashed(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

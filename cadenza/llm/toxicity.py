@@ -10,9 +10,9 @@ logistic curve over what they add up to, fitted on the labelled documents and
 set to the share of toxic ones, gives the document's score.
 
 Fitting uses a bounded sample of labelled documents (``SAMPLE`` of either label
-and ``SAMPLE_BYTES`` of their texts, chosen by hash), each whole, a few megabytes at
-a time; the model's features are at most ``FEATURES``, so it is small enough to go
-to every task.  All texts are scored whole.
+and ``SAMPLE_BYTES`` of their texts, chosen by hash, those longer than ``LONGEST``
+passed over), each whole, a few megabytes at a time; so the features of the model are
+bounded too, and it may go to every task.  All texts are scored whole.
 
 Edge cases: null and empty texts get the score of a text without toxic words;
 unlabelled, null-labelled and null-id rows don't train; where one label is
@@ -35,11 +35,10 @@ from . import shards as S
 from . import text as T
 
 U64 = np.uint64
-#: Labelled documents of either label that fit the model, at most, and their bytes.
+#: Labelled documents of either label that fit the model, at most, and their bytes; longer texts than the last are passed over.
 SAMPLE = 2_000
 SAMPLE_BYTES = 48 << 20
-#: Features kept, at most: those of the most toxic documents.
-FEATURES = 100_000
+LONGEST = 1 << 20
 PREFIXES = (3, 4, 5, 6)
 STEPS = 30
 #: Bytes of text tagged at a time, in the fit and after it.
@@ -225,10 +224,7 @@ def fit(texts: pa.Array | pa.ChunkedArray | list[str | None], toxic: list[int],
             own = both // len(s.toxic)
             all_df += np.bincount(own, minlength=len(names))
             tox_df += np.bincount(own, s.toxic[both % len(s.toxic)], len(names))
-    useful = np.flatnonzero(tox_df >= 3)
-    useful = useful[np.argsort(-tox_df[useful], kind="stable")[:FEATURES]]
-    chosen = np.zeros(len(names), bool)
-    chosen[useful] = True
+    chosen = tox_df >= 3
     slot = np.cumsum(chosen) - 1
     # As in a sample with as many clean documents as toxic ones.
     clean = (all_df - tox_df) * (y.sum() / max(1, len(y) - y.sum()))
@@ -285,6 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = texts.join(F.broadcast(sample), "_id").select("_id", "_text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     size = F.sum(F.octet_length(F.coalesce("_text", F.lit("")))).over(_by_hash())
+    rows = rows.where(F.octet_length(F.coalesce("_text", F.lit(""))) <= LONGEST)
     rows = rows.withColumn("_sum", size).where(F.col("_sum") <= SAMPLE_BYTES).drop("_sum")
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
@@ -310,9 +307,9 @@ def _by_hash():
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """Adds (or replaces) ``score`` and, if asked for, ``toxic_spans`` in code points, ends exclusive."""
-    docs = docs.drop("score", *["toxic_spans"] * with_spans)
+def score(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = False, score_col: str = "score") -> DataFrame:
+    """Adds (or replaces) ``score_col`` and, if asked for, ``toxic_spans`` in code points, ends exclusive."""
+    docs = docs.drop(score_col, *["toxic_spans"] * with_spans)
     columns = docs.columns
 
     def tag(batches):
@@ -329,10 +326,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", with_spans: boo
             out = [*batch.columns, pa.array(np.concatenate(scores))]
             if with_spans:
                 out.append(pa.concat_arrays(spans))
-            yield pa.RecordBatch.from_arrays(out, names=[*columns, "score", "toxic_spans"][: len(out)])
+            yield pa.RecordBatch.from_arrays(out, names=[*columns, score_col, "toxic_spans"][: len(out)])
             S.give_back()
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["score double"]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{score_col}` double"]
     fields += ["toxic_spans array<struct<start: int, end: int, probability: double>>"] * with_spans
     return docs.mapInArrow(tag, ", ".join(fields))
 

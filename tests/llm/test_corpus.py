@@ -101,6 +101,38 @@ def test_words_of_a_rule_are_told_apart(spark, n):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()} == {1: 1, 2: 2, 3: 1}
 
 
+def test_runs_are_hashed_in_order():
+    rng = np.random.default_rng(2)
+    words = [rng.integers(97, 123, n, np.uint8).tobytes() for n in (1, 7, 8, 9, 511, 512, 513, 4096, 4104, 40000) for _ in range(3)]
+    swapped = [bytes(x) for w in words if len(w) > 8 for x in (w[8:16] + w[:8] + w[16:], w[:-8] + w[-8:][::-1], w + b"a", w[:-1])]
+    words = list({*words, *swapped, *(b"a" * n for n in range(1, 700, 9))})
+    data, offsets = T.buffers(pa.array(words, pa.binary()))
+    hashes = T.word_hashes(data, offsets[:-1], offsets[1:])
+    assert len(set(hashes.tolist())) == len(words)
+    alone = [T.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words]
+    assert alone == hashes.tolist()  # whatever else is hashed along
+
+
+def test_runs_that_add_up_are_told_apart():
+    """Moving what one run of a word gains from the next one leaves a sum of runs as it was."""
+    g, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    rnd = random.Random(1)
+    for _ in range(200):
+        a, b = rnd.getrandbits(64), rnd.getrandbits(64)
+        pair = [x.to_bytes(8, "little") + y.to_bytes(8, "little") for x, y in ((a, b), ((b + g) & mask, (a - g) & mask))]
+        assert len(set(T.word_hashes(np.frombuffer(b"".join(pair), np.uint8), np.array([0, 16]), np.array([16, 32])).tolist())) == 2
+
+
+def test_windows_are_told_apart():
+    rng = np.random.default_rng(4)
+    words = rng.integers(1, 5, 3000).astype(np.uint64)
+    for width in (1, 2, 3, 4, 5, 7, 8, 13):
+        names = {}
+        for k, h in enumerate(T.window_hashes(words, width).tolist()):
+            assert names.setdefault(h, tuple(words[k : k + width])) == tuple(words[k : k + width])
+        assert len(names) == len({tuple(words[k : k + width]) for k in range(len(words) - width + 1)})
+
+
 def test_words_are_known_by_their_bytes(monkeypatch):
     """Even where all hashes agree."""
     texts = ["one two three", "two Three's one", "four one"]
@@ -838,3 +870,38 @@ def test_pipeline(spark, tmp_path):
     want = dict(zip([*range(80), 113], direct([*clean, "mail [EMAIL]"], 2), strict=True))
     assert all(r["ids_crc32"] == crc(want[r["doc_id"]][r["start"] : r["start"] + r["length"]]) for r in found)
     assert sum(r["length"] for r in found) == sum(len(x) for x in want.values())
+
+
+def test_a_long_labelled_text_switches_nothing_off(spark):
+    rnd = random.Random(9)
+    prose = lambda k: " ".join(f"w{rnd.randrange(300)}" for _ in range(k))
+    rows = [(i, prose(30) + (" vile scum idiot" if i % 2 else "")) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)], "doc_id long, toxic int")
+    scores = []
+    for more in ("", "w1 scum " * 7_000_000):
+        docs = spark.createDataFrame([*rows, (60, prose(30) + more), (61, prose(30) + more)], "doc_id long, text string")
+        model = toxicity.train(docs, labels)
+        scores.append({r["doc_id"]: r["score"] for r in toxicity.score(docs.where("doc_id < 60"), model).collect()})
+    assert all((s[i] > 0.5) == bool(i % 2) for s in scores for i in s)
+    assert max(abs(scores[0][i] - scores[1][i]) for i in scores[0]) < 0.2
+
+
+def test_pipeline_keeps_columns_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, _row string"
+    rows = [(1, "one two three four five six", "en", "s", 27, 0.5, "u"), (1, "one two three four five six", "en", "s", 27, 0.5, "u"), (None, "seven eight nine ten eleven", None, None, None, None, "v"), (None, None, None, None, None, None, None), (2, None, "en", "s", 0, 1.0, "w"), (3, "", "en", "s", 0, 2.0, "x")]
+    for name, given in (("full", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(given, schema)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)] if given else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(0, "an item of the benchmark that no text holds")] if given else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        kept = docs.collect()
+        assert {(r["doc_id"], r["score"], r["_row"]) for r in kept} == {(r[0], r[5], r[6]) for r in given}
+        assert len(kept) == (5 if given else 0)
+        packed = corpus_pipeline.run(spark, folder).collect()
+        assert (len(packed) > 0) == bool(given)
