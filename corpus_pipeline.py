@@ -13,13 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, jaccard, packing, pii, toxicity, wavelet
+from cadenza.llm import decontaminate, jaccard, packing, pii, shards, toxicity, wavelet
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under the threshold by the field fitted on all labels."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    own = shards.free_name("score", docs.columns)
+    return toxicity.score(docs, model, score_col=own).where(F.col(own) < toxicity.THRESHOLD).drop(own)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
