@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pcm
@@ -59,3 +59,32 @@ def partition_code(factors: Column) -> Column:
 def bounded(quantised: Column, bound: int) -> Column:
     """The values, or null where one is over the bound: the candidate is ruled out."""
     return F.when(~F.exists(quantised, lambda q: F.abs(q) > bound), quantised)
+
+
+def reservoir_pieces(frames: DataFrame, key: str, order: str, slot: str, begin: str, used: str) -> DataFrame:
+    """Where the payload of every frame lies: pieces of (frame, slot, offset in the payload, offset in the slot, length).
+
+    Slots of a stream lie end to end, and a frame's payload begins ``begin`` bytes before
+    its own slot.  Both are cut where either begins or ends: borders are sorted together,
+    and each knows the last slot and the last payload that began, so no pair is formed
+    that does not overlap.  Payloads of a stream don't overlap, as a reservoir gives none
+    out twice; bytes of a slot that no payload fills have no piece.
+    """
+    so_far = Window.partitionBy(key).orderBy(order)
+    placed = frames.withColumn("_at", F.sum(slot).over(so_far) - F.col(slot)).withColumn("_from", F.col("_at") - F.col(begin))
+    none = F.lit(None).cast("long")
+    border = lambda place, rank, slot_of, slot_at, frame, start: F.struct(place.alias("place"), F.lit(rank).alias("rank"), slot_of.cast("long").alias("slot"), slot_at.cast("long").alias("slot_at"), frame.cast("long").alias("frame"), start.cast("long").alias("start"))
+    own, first = F.col(order), F.col("_from")
+    # At one place a payload ends before the next begins.
+    cuts = F.array(
+        border(F.col("_at").cast("long"), 0, own, F.col("_at"), none, none),
+        border((first + F.col(used)).cast("long"), 1, none, none, F.lit(-1), none),
+        border(first.cast("long"), 2, none, none, own, first),
+    )
+    held = F.when(F.col(used) > 0, cuts).otherwise(F.slice(cuts, 1, 1))
+    borders = placed.select(key, F.explode(held).alias("b")).select(key, "b.*")
+    walk = Window.partitionBy(key).orderBy("place", "rank", "slot")
+    last = walk.rowsBetween(Window.unboundedPreceding, 0)
+    seen = borders.select(key, "place", F.lead("place").over(walk).alias("until"), *(F.last(c, ignorenulls=True).over(last).alias(c) for c in ("slot", "slot_at", "frame")), F.last("start", ignorenulls=True).over(last).alias("start"))
+    pieces = seen.where((F.col("until") > F.col("place")) & (F.col("frame") >= 0))
+    return pieces.select(key, F.col("frame").alias(order), "slot", (F.col("place") - F.col("start")).alias("payload_offset"), (F.col("place") - F.col("slot_at")).alias("slot_offset"), (F.col("until") - F.col("place")).alias("length"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
 from .fold import ordered_fold
 
 
@@ -37,23 +38,19 @@ def reservoir(frames: DataFrame, key: str, order: str, payload: str, capacity: i
     a payload over that falls back to the whole budget, and ``targeted`` is false.
 
     begin = min(reservoir, most); budget = capacity + begin; used = min(payload, budget);
-    the next reservoir is begin + capacity - used.  Frames of a stream follow one
-    another through one task, and streams run side by side.
+    the next reservoir is begin + capacity - used, which is a clamped sum, so a stream of
+    any length runs by blocks in many tasks.
     """
-
-    def step(left: int, stream, i: int, p: int, t: int | None) -> tuple[int, tuple]:
-        begin = min(left, most)
-        whole = begin + capacity
-        aim = max(min((t + 7) // 8, whole), 1) if t is not None else 0
-        targeted = t is not None and p <= aim
-        budget = aim if targeted else whole
-        used = min(p, budget)
-        return whole - used, (stream, i, begin, budget, used, whole - used, p > budget, targeted)
-
-    target = (F.col(target_bits) if target_bits else F.lit(None)).cast("long")
-    rows = frames.select(key, F.col(order).cast("long").alias(order), F.col(payload).cast("long").alias("_p"), target.alias("_t"))
-    kind = frames.schema[key].dataType.simpleString()
-    return ordered_fold(rows, key, order, 0, step, f"`{key}` {kind}, `{order}` bigint, main_data_begin bigint, budget bigint, used bigint, reservoir_after bigint, over boolean, targeted boolean")
+    rows = frames.select(key, F.col(order).cast("long").alias(order), F.col(payload).cast("long").alias("_p"), (F.col(target_bits) if target_bits else F.lit(None)).cast("long").alias("_t"))
+    spare = F.lit(capacity) - F.col("_p")
+    found = scan.clamped(rows, key, order, spare, F.lit(0), F.greatest(F.lit(most) + spare, F.lit(0)), 0, "_left")
+    begin = F.least("_left", F.lit(most))
+    whole = begin + capacity
+    aim = F.greatest(F.least(F.floor((F.col("_t") + 7) / 8), whole), F.lit(1))
+    targeted = F.col("_t").isNotNull() & (F.col("_p") <= aim)
+    budget = F.when(targeted, aim).otherwise(whole).cast("long")
+    used = F.least("_p", whole)
+    return found.select(key, order, begin.alias("main_data_begin"), budget.alias("budget"), used.alias("used"), (whole - used).alias("reservoir_after"), (F.col("_p") > budget).alias("over"), targeted.alias("targeted"))
 
 
 def allocate(parts: DataFrame, keys: list[str], order: str, weight: str, total: int, floor: int) -> DataFrame:

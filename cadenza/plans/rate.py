@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import layout as L
 from ..operators import rate as R
 from ..sources.adaptors import frame_facts, pcm_blocks, read
 from .quality import _r
@@ -46,6 +47,17 @@ def bit_reservoir(spark, sf_dir):
     return R.reservoir(frame_facts(spark, sf_dir).select("stream_id", "frame", "payload"), "stream_id", "frame", "payload", 200).drop("targeted")
 
 
+@query(f"""WITH RECURSIVE {FRAMES}, st AS (SELECT stream_id, frame, 0::BIGINT AS begin, least(payload, 200) AS used, 200 - least(payload, 200) AS rest FROM fr WHERE frame = 0
+UNION ALL SELECT fr.stream_id, fr.frame, least(rest, 511), least(fr.payload, 200 + least(rest, 511)), 200 + least(rest, 511) - least(fr.payload, 200 + least(rest, 511)) FROM st JOIN fr ON fr.stream_id = st.stream_id AND fr.frame = st.frame + 1),
+iv AS (SELECT stream_id, frame, 200 * frame - begin AS a, 200 * frame - begin + used AS b FROM st)
+SELECT iv.stream_id, iv.frame, s.frame AS slot, (greatest(a, 200 * s.frame) - a)::BIGINT AS payload_offset, (greatest(a, 200 * s.frame) - 200 * s.frame)::BIGINT AS slot_offset, (least(b, 200 * s.frame + 200) - greatest(a, 200 * s.frame))::BIGINT AS length
+FROM iv JOIN st s ON s.stream_id = iv.stream_id AND a < 200 * s.frame + 200 AND b > 200 * s.frame""")
+def reservoir_layout(spark, sf_dir):
+    """Which bytes of each frame's payload lie where in which frame's slot."""
+    frames = R.reservoir(frame_facts(spark, sf_dir).select("stream_id", "frame", "payload"), "stream_id", "frame", "payload", 200).withColumn("slot", F.lit(200))
+    return L.reservoir_pieces(frames, "stream_id", "frame", "slot", "main_data_begin", "used")
+
+
 _AIM = "greatest(least(((fr.tax * 20000)::BIGINT + 7) // 8, 200 + least({0}, 511)), 1)"
 _WHOLE = "(200 + least({0}, 511))"
 
