@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import transforms as T
+from ..operators import allocation as A
 from ..operators import boosts as B
 from ..operators import lowdelay as L
 from ..operators import octaves as O
@@ -146,3 +147,58 @@ def stereo_boosts(spark, sf_dir):
     """The same for clips 2k and 2k + 1 as channels, in frames of 52 bytes at a constant rate."""
     pairs = _paired(_levels(spark, sf_dir), "x")
     return _given(pairs.select("pair", B.boosts([F.col("left"), F.col("right")], 3, 52, capped=True).alias("b")), "pair")
+
+
+#: Two channels in the longest frames, with rows and caps by rule.
+_MODE = A.Mode(A.ruled_rows(), A.ruled_caps(), 2, 3)
+_MODE_BANDS = ", ".join(f"({j}, {a}, {b}, {w})" for j, (a, b, w) in enumerate(zip(B.EDGES, B.EDGES[1:], B.LOG_WIDTHS, strict=False)))
+_CHOICES = f"({list(A.CHOICE)})"
+
+
+def _kept_sql(name: str, source: str, step: str) -> str:
+    """What a curve gives each band: up to the last that reaches its threshold, capped, and floors above."""
+    return f"""{name} AS (SELECT block, {step}, j, least(cap, CASE WHEN max((bits >= least)::INT) OVER (PARTITION BY block, {step} ORDER BY j DESC) = 1 THEN bits WHEN bits >= 16 THEN 16 ELSE 0 END) AS kept FROM {source}),
+{name}s AS (SELECT block, {step}, sum(kept)::BIGINT AS spent FROM {name} GROUP BY block, {step})"""
+
+
+@query(f"""WITH RECURSIVE {PX}, bd(j, lo, hi, lw) AS (VALUES {_MODE_BANDS}), rl AS (SELECT r, j, CASE WHEN r = 0 THEN 0 ELSE greatest(0, least(200, 80 + 12 * r - (9 * j * (11 - r)) // 11)) END AS v FROM (SELECT unnest(range(11)) AS r) CROSS JOIN (SELECT unnest(range(21)) AS j)),
+bn AS (SELECT j, lo, hi - lo AS w, lw, ((220 - 5 * j + 64) * 2 * (hi - lo) * 8) // 4 AS cap, greatest(16, (3 * (hi - lo) * 64) // 16) AS least FROM bd),
+fr AS (SELECT block, sum(round(abs(x) * 4096))::BIGINT // 16 AS total, block % 11 AS trim, 5 + block % 17 AS intensity, block % 2 AS dual, block % 22 AS before FROM px GROUP BY block),
+ofs AS (SELECT block, least(i // 3, 20) AS j, (CASE WHEN max(abs(x)) > 0.35 THEN 48 ELSE 0 END)::BIGINT AS o FROM px GROUP BY ALL),
+bu AS (SELECT *, CASE WHEN total >= 8 THEN 8 ELSE 0 END AS flag FROM fr), bs AS (SELECT *, CASE WHEN 36 <= total - flag THEN 36 ELSE 0 END AS shared FROM bu), bb AS (SELECT *, CASE WHEN shared > 0 AND total - flag - shared >= 8 THEN 8 ELSE 0 END AS pairing FROM bs),
+bt AS MATERIALIZED (SELECT block, total - flag - shared - pairing AS t, trim, intensity, dual, before, flag, shared, pairing FROM bb),
+ti AS (SELECT block, bn.*, o, floor(2 * w * (trim - 8) * (20 - j) * 64 / 64.0)::BIGINT AS tilt FROM bt CROSS JOIN bn JOIN ofs USING (block, j)),
+c1 AS (SELECT block, r, j, cap, least, (CASE WHEN v > 0 THEN greatest(2 * w * v * 8 // 4 + tilt, 0) ELSE 0 END + o) AS bits FROM ti JOIN rl USING (j) WHERE r > 0), {_kept_sql('k1', 'c1', 'r')},
+lw AS (SELECT block, coalesce(max(CASE WHEN spent <= t THEN r END), 0) AS r FROM bt LEFT JOIN k1s USING (block) GROUP BY block),
+be AS (SELECT block, ti.j, cap, least, CASE WHEN a.v > 0 THEN greatest(2 * w * a.v * 8 // 4 + tilt, 0) ELSE 0 END + CASE WHEN lw.r > 0 THEN o ELSE 0 END AS b1, CASE WHEN lw.r = 10 THEN greatest(cap + tilt, 0) WHEN b.v > 0 THEN greatest(2 * w * b.v * 8 // 4 + tilt, 0) ELSE 0 END + o AS b2
+FROM ti JOIN lw USING (block) JOIN rl a ON a.j = ti.j AND a.r = lw.r LEFT JOIN rl b ON b.j = ti.j AND b.r = lw.r + 1),
+c2 AS (SELECT block, m, j, cap, least, b1 + m * greatest(b2 - b1, 0) // 64 AS bits FROM be CROSS JOIN (SELECT unnest(range(64)) AS m)), {_kept_sql('k2', 'c2', 'm')},
+mm AS (SELECT block, coalesce(max(CASE WHEN spent <= t THEN m END), 0) AS m FROM bt JOIN k2s USING (block) GROUP BY block),
+pu AS (SELECT block, list(kept ORDER BY j) AS p, sum(kept)::BIGINT AS spent, coalesce(max(CASE WHEN o > 0 THEN j END), 0) AS held FROM k2 JOIN mm USING (block, m) JOIN ofs USING (block, j) GROUP BY block),
+sk AS (SELECT block, 21::BIGINT AS coded, p, spent::BIGINT AS spent, t::BIGINT AS t, shared::BIGINT AS shared, 0::BIGINT AS side, false AS stop FROM pu JOIN bt USING (block) UNION ALL
+SELECT block, CASE WHEN halt THEN coded ELSE j END::BIGINT, CASE WHEN halt THEN p ELSE list_concat(list_append(p[:j], CASE WHEN bits - 8 * asked >= 16 THEN 16 ELSE 0 END), p[j + 2:]) END,
+(spent + CASE WHEN halt THEN 0 ELSE 8 * asked - p[j + 1] - shared + CASE WHEN shared > 0 THEN {_CHOICES}[j + 1] ELSE 0 END + CASE WHEN bits - 8 * asked >= 16 THEN 16 ELSE 0 END END)::BIGINT, (t + CASE WHEN j <= held THEN flag ELSE 0 END)::BIGINT, CASE WHEN halt OR shared = 0 THEN shared ELSE {_CHOICES}[j + 1] END::BIGINT, (side + 8 * asked)::BIGINT, halt
+FROM (SELECT *, j <= held OR (asked = 1 AND (coded <= 2 OR bits > (CASE WHEN coded <= 17 THEN 0 WHEN j < before THEN 7 ELSE 9 END * w * 64) // 16)) AS halt FROM (SELECT *, (j > held AND bits >= greatest(least, 24))::INT AS asked FROM (SELECT *, p[j + 1] + left_ // hi * w + greatest(left_ % hi - (hi - w), 0) AS bits
+FROM (SELECT sk.*, held, flag, before, bn.w, bn.least, bn.j, bn.lo + bn.w AS hi, t - sk.spent AS left_ FROM (SELECT * FROM sk WHERE NOT stop) sk JOIN (SELECT block, held FROM pu) USING (block) JOIN (SELECT block, flag, before FROM bt) USING (block) JOIN bn ON bn.j = coded - 1))))),
+en AS (SELECT block, coded, p, sk.t - spent AS t, sk.shared, side, pairing, dual AS wished, CASE WHEN sk.shared > 0 THEN least(intensity, coded) ELSE 0 END AS intensity FROM sk JOIN (SELECT block, pairing, dual, intensity FROM bt) USING (block) WHERE stop),
+ed AS (SELECT block, coded, p, intensity, CASE WHEN intensity > 0 THEN t ELSE t + pairing END AS t, shared, side + shared + CASE WHEN intensity > 0 THEN pairing ELSE 0 END AS side, CASE WHEN intensity > 0 AND pairing > 0 THEN wished ELSE 0 END AS dual FROM en),
+sh AS (SELECT ed.*, bn.lo + bn.w AS hi FROM ed JOIN bn ON bn.j = coded - 1),
+gi AS (SELECT block, bn.j, (p[bn.j + 1] + CASE WHEN bn.j < coded THEN t // hi * w + greatest(0, least(w, t % hi - lo)) ELSE 0 END)::BIGINT AS given, coded, intensity, dual FROM sh CROSS JOIN bn),
+ba AS (SELECT block, (-1)::BIGINT AS j, 0::BIGINT AS balance, 0::BIGINT AS pulses, 0::BIGINT AS fine, false AS priority FROM ed UNION ALL
+SELECT block, j, CASE WHEN inside THEN excess - more * 16 ELSE old END::BIGINT, CASE WHEN inside THEN kept - 16 * fine ELSE 0 END::BIGINT, CASE WHEN inside THEN fine + more ELSE given // 16 END::BIGINT, CASE WHEN NOT inside THEN given // 16 < 1 WHEN excess > 0 THEN more * 16 >= excess - old ELSE fine * den * 8 >= kept + off END
+FROM (SELECT *, CASE WHEN excess > 0 THEN least(excess // 16, 8 - fine) ELSE 0 END AS more FROM (SELECT *, least(8, CASE WHEN 2 * raw > kept // 8 THEN kept // 16 ELSE raw END) AS fine FROM (SELECT *, greatest(kept + off + 4 * den, 0) // den // 8 AS raw FROM (SELECT *, o0 + CASE WHEN kept + o0 < den * 16 THEN logs // 4 WHEN kept + o0 < den * 24 THEN logs // 8 ELSE 0 END AS off FROM (SELECT *, logs // 2 - den * 21 AS o0 FROM (SELECT *, den * (lw + 24) AS logs, least(given + old, cap) AS kept, greatest(given + old - cap, 0) AS excess
+FROM (SELECT gi.block, gi.j, ba.balance AS old, given, gi.j < coded AS inside, bn.cap, bn.lw, 16 * bn.w + CASE WHEN dual = 0 AND gi.j < intensity THEN 1 ELSE 0 END AS den FROM ba JOIN gi ON gi.block = ba.block AND gi.j = ba.j + 1 JOIN bn ON bn.j = gi.j)))))))),
+fb AS (SELECT block, balance FROM ba WHERE j = 20)
+SELECT block, j AS band, pulses, fine, priority::INT::BIGINT AS priority, coded, ed.intensity::BIGINT AS intensity, ed.dual::BIGINT AS dual, side::BIGINT AS side, fb.balance FROM ba JOIN ed USING (block) JOIN fb USING (block) WHERE j >= 0""")
+def band_allocation(spark, sf_dir):
+    """Pulses and fine bits of 21 bands of two channels, for budgets by loudness and boosts by peaks."""
+    peaks = F.array(*(F.array_max(F.transform(F.slice("samples", 3 * j + 1, 3 if j < 20 else 4), F.abs)) for j in range(21)))
+    block = F.col("block")
+    frames = pcm_blocks(spark, sf_dir).select(
+        "block", F.floor(F.aggregate("samples", F.lit(0).cast("long"), lambda s, x: s + F.round(F.abs(x) * 4096).cast("long")) / 16).alias("total"), (block % 11).alias("trim"),
+        F.transform(peaks, lambda p: F.when(p > 0.35, 48).otherwise(0)).alias("offsets"), (5 + block % 17).alias("intensity"), (block % 2).alias("dual"), (block % 22).alias("before"),
+    )
+    found = A.allocations(frames, ["total", "trim", "offsets", "intensity", "dual", "before"], "a", _MODE)
+    each = F.arrays_zip("a.pulses", "a.fine", "a.priority")
+    long = found.select("block", F.posexplode(each).alias("band", "g"), "a.coded", "a.intensity", "a.dual", "a.side", "a.balance")
+    return long.select("block", F.col("band").cast("long").alias("band"), "g.pulses", "g.fine", "g.priority", "coded", "intensity", "dual", "side", "balance")
