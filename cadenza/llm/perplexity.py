@@ -5,7 +5,7 @@ The model is learned from all trusted texts, whole: documents with quality label
 bigrams and words by the number of their left neighbours (Chen and Goodman,
 1998).  Every document is then scored whole, and kept if its perplexity is at
 most the ``QUANTILE`` of the trusted documents of its language that the model was
-not learned from.
+not learned from, taken of counts by steps of ``GRAIN`` in its logarithm to base ten.
 
 How it runs: batches of trusted texts send their distinct trigrams, packed, to
 shards by context; these send bigrams on to shards by first word, and those words
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shards as S
@@ -36,6 +36,7 @@ from . import text as T
 
 U64 = np.uint64
 QUANTILE = 0.98
+GRAIN = 0.001
 START, END = U64(0x1111111111111111), U64(0x2222222222222222)
 
 
@@ -276,6 +277,19 @@ def score(docs: DataFrame, counts: DataFrame, sums: Sums, shards: int) -> DataFr
     return rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(finish, f"doc_id {kind}, lang string, n_tokens long, log10_prob double, perplexity double")
 
 
+def thresholds(scores: DataFrame, by: list[str], quantile: float) -> DataFrame:
+    """``threshold`` of each group: the least step of perplexity up to which at least that share of its rows lies.
+
+    Rows are counted by step first, so that no task holds more of a group than one number
+    for each step, of which there are 300 / GRAIN, and equal rows are one number.
+    """
+    step = F.ceil(F.log10("perplexity") / GRAIN)
+    counts = scores.where("perplexity is not null").groupBy(*by, step.alias("step")).agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*by)
+    sums = counts.withColumns({"below": F.sum("n").over(group.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(group)})
+    return sums.where(F.col("below") >= quantile * F.col("all")).groupBy(*by).agg(F.pow(F.lit(10.0), F.min("step") * GRAIN).alias("threshold"))
+
+
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, learn: Column | None = None) -> DataFrame:
     """doc_id, lang, n_tokens, log10_prob, perplexity, threshold and keep, for every document.
 
@@ -287,8 +301,8 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, le
     counts, sums = count(docs, trusted.where(learn), shards)
     scores = S.kept(score(docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text"), counts, sums, shards))
     held = scores.join(trusted.where(~learn), "doc_id")
-    marks = held.groupBy("lang").agg(F.percentile("perplexity", quantile).alias("threshold"))
-    overall = held.agg(F.percentile("perplexity", quantile).alias("overall")).first()["overall"]
+    marks = thresholds(held, ["lang"], quantile)
+    overall = thresholds(held, [], quantile).agg(F.max("threshold")).first()[0]  # one row at most
     default = F.lit(float("inf") if overall is None else overall)
     out = scores.join(marks, "lang", "left").withColumn("threshold", F.coalesce("threshold", default))
     return out.select("doc_id", "lang", "n_tokens", "log10_prob", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("keep"))

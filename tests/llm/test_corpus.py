@@ -565,6 +565,20 @@ def test_quality_classifier(spark):
     assert all(r["keep"] for r in untrained.collect())
 
 
+def test_quality_thresholds_against_sorted_rows(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["de", "en", None]), 10 ** rnd.choice([rnd.uniform(0, 5), 1.25, 300.0])) for _ in range(900)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "lang string, perplexity double")
+    for quantile in (0.02, 0.5, 0.98):
+        found = {r["lang"]: r["threshold"] for r in perplexity.thresholds(df, ["lang"], quantile).collect()}
+        assert set(found) == {"de", "en", None, "one"}
+        for lang, mark in found.items():
+            own = sorted(p for at, p in rows if at == lang and p is not None)
+            exact = own[math.ceil(quantile * len(own)) - 1]
+            assert exact * (1 - 1e-9) <= mark <= exact * 10**0.0010001
+    assert perplexity.thresholds(df.limit(0), ["lang"], 0.5).count() == 0 and perplexity.thresholds(df.limit(0), [], 0.5).first()[0] is None
+
+
 def test_quality_model_learns_from_all_trusted_texts(spark):
     rnd = random.Random(8)
     prose = lambda k: " ".join(f"w{int(rnd.random() ** 2 * 60)}" for _ in range(k))
