@@ -51,6 +51,18 @@ def test_steps_decode_to_what_is_carried_on(rows, octets, channels, scale, both,
         old = now
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**31), st.integers(1, 2), st.integers(0, 3), st.booleans(), st.booleans())
+def test_many_frames_at_once_are_as_one_by_one(seed, channels, scale, both, bass):
+    rng, mode, n = np.random.default_rng(seed), C.Energies(SHAPES, channels, scale, both, 25, bass), C.FEW + 8
+    states = np.column_stack([rng.normal(0, 6, (n, 16 * channels)), rng.uniform(0, 200, n)])
+    x, octets, forced = rng.normal(0, rng.choice([2, 6, 25]), (n, 16 * channels)), rng.integers(0, rng.choice([6, 30, 90]), n), rng.random(n) < 0.2
+    after, made = C.frames(states, x, octets, forced, mode)
+    for k in range(n):
+        own_after, own = C.frames(states[k : k + 1], x[k : k + 1], octets[k : k + 1], forced[k : k + 1], mode)
+        assert (own_after[0] == after[k]).all() and all((own[c][0] == made[c][k]).all() for c in made)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 255), st.integers(0, 179))
 def test_places_of_steps_are_disjoint(zero, decay):
