@@ -107,10 +107,10 @@ def packed(bits: Column) -> Column:
     return F.when(F.length(bits) == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(octets, "")))
 
 
-def nearest(df: DataFrame, vector: str, entries: list[list[float]]) -> Column:
-    """The index of the entry at the least squared distance, the first where equal, rounded to 9 digits."""
-    scored = [F.struct(F.round(pcm.total(F.zip_with(vector, F.lit([float(x) for x in e]), lambda a, b: (a - b) * (a - b))), 9).alias("d"), F.lit(k).cast("long").alias("entry")) for k, e in enumerate(entries)]
-    return F.array_min(F.array(*scored))["entry"]
+def nearest(vector: Column, entries: Column) -> Column:
+    """The index of the entry, in an array of vectors, at the least squared distance rounded to 9 digits, the first where equal."""
+    away = lambda e: F.round(pcm.total(F.zip_with(vector, e, lambda a, b: (a - b) * (a - b))), 9)
+    return F.array_min(F.transform(entries, lambda e, k: F.struct(away(e).alias("d"), k.cast("long").alias("entry"))))["entry"]
 
 
 def rice_choice(samples: Column, n: int, depth: int, orders: range = range(1, 5), most_k: int = 14) -> Column:

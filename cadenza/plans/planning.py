@@ -208,8 +208,9 @@ d AS (SELECT e.vec_id AS block, entry, round(sum((e.x - c.x) * (e.x - c.x)), 9)
 def nearest_entry(spark, sf_dir):
     """Vector quantisation with the first 16 blocks as entries (a codebook of fixed size)."""
     blocks = pcm_blocks(spark, sf_dir)
-    entries = [r["samples"] for r in blocks.where("block < 16").orderBy("block").collect()]
-    return blocks.select("block", K.nearest(blocks, "samples", entries).alias("entry"))
+    held = blocks.where("block < 16").agg(F.sort_array(F.collect_list(F.struct("block", "samples"))).alias("held"))
+    entries = held.select("held.samples").scalar()  # one row, joined to the plan as a subquery
+    return blocks.withColumn("entries", entries).select("block", K.nearest(F.col("samples"), F.col("entries")).alias("entry"))
 
 
 @query(f"""WITH {PX}, p AS (SELECT block, i // 8 AS part, max(abs(x)) AS top, sum(x * x) AS e FROM px GROUP BY block, part)
