@@ -1,6 +1,7 @@
 """Codecs and containers: goldens, round trips, malformed input."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,6 +32,30 @@ def test_checksums():
     assert K.lockstep_crc16([data, b"", b"1"]).tolist() == [K.crc16(data), 0, K.crc16(b"1")]
 
 
+def test_checksums_of_pieces():
+    rnd = np.random.default_rng(4)
+    rows = [rnd.bytes(n) for n in (0, 1, 255, 256, 257, 511, 512, 513, 5000, 0, 70000)]
+    for start in (0, 0xFFFF):
+        assert K.lockstep_crc16(rows, start).tolist() == [K.crc16(r, start) for r in rows]
+    assert K.lockstep_crc16([]).tolist() == []
+
+
+def test_checksum_columns_hold_a_slice(spark, monkeypatch):
+    """A batch of any size is gone through by slices, in one pass with one worker: no other kind of Python stage."""
+    rows = [(k, None if k == 7 else bytearray(b"a\xffz" * (k * 97 % 1000))) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, raw binary").coalesce(1)
+    most = []
+    plain = K.sliced_crc16
+    monkeypatch.setattr(K, "sliced_crc16", lambda data, offsets, start=0: most.append(int(offsets[-1] - offsets[0])) or plain(data, offsets, start))
+    monkeypatch.setattr(K, "SLICE", 9000)
+    arrow = pa.array([None if r is None else bytes(r) for _, r in rows], pa.binary())
+    assert K.crc16_array(arrow[3:], 5).to_pylist() == [None if r is None else K.crc16(r, 5) for _, r in rows[3:]]
+    assert len(most) > 10 and max(most) <= 9000
+    found = df.select("k", K.crc16_column(F.col("raw"), 5).alias("a"), K.column(K.crc32_ogg, F.col("raw")).alias("b"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert {r["k"]: (r["a"], r["b"]) for r in found.collect()} == {k: (None, None) if r is None else (K.crc16(r, 5), K.crc32_ogg(bytes(r))) for k, r in rows}
+
+
 def test_wav_golden():
     raw = bytes.fromhex("524946463400000057415645666d74201000000001000200 80bb000000ee020004001000 6461746110000000 00000000 004000c0 ff7f0080 002000e0".replace(" ", ""))
     assert wav.encode(Pcm(48000, 2, [0, 0, 0.5, -0.5, 1, -1, 0.25, -0.25]), 16) == raw
