@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pcm
+from . import scan
 
 #: Field widths of the low and high scale factors by code; fixed values of the format.
 WIDTHS = ((0, 0), (0, 1), (0, 2), (0, 3), (3, 0), (1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2), (3, 3), (4, 2), (4, 3))
@@ -61,15 +62,17 @@ def bounded(quantised: Column, bound: int) -> Column:
     return F.when(~F.exists(quantised, lambda q: F.abs(q) > bound), quantised)
 
 
-def reservoir_pieces(frames: DataFrame, key: str, order: str, slot: str, begin: str, used: str) -> DataFrame:
+def reservoir_pieces(frames: DataFrame, key: str, order: str, slot: str, begin: str, used: str, parts: int | None = None) -> DataFrame:
     """Where the payload of every frame lies: pieces of (frame, slot, offset in the payload, offset in the slot, length).
 
     Slots of a stream lie end to end, and a frame's payload begins ``begin`` bytes before
     its own slot.  Both are cut where either begins or ends: borders are sorted together,
     and each knows the last slot and the last payload that began, so no pair is formed
     that does not overlap.  Payloads of a stream don't overlap, as a reservoir gives none
-    out twice; bytes of a slot that no payload fills have no piece.
+    out twice; bytes of a slot that no payload fills have no piece.  ``parts`` (see
+    ``scan.parts_for``) deals the streams so that the sorts of a task stay small.
     """
+    frames = scan.dealt_by(frames, parts, key) if parts else frames
     so_far = Window.partitionBy(key).orderBy(order)
     placed = frames.withColumn("_at", F.sum(slot).over(so_far) - F.col(slot)).withColumn("_from", F.col("_at") - F.col(begin))
     none = F.lit(None).cast("long")

@@ -17,9 +17,26 @@ from pyspark.sql import functions as F
 #: Values of the order column that a block spans.
 BLOCK = 1 << 16
 
+#: Stored bytes of a shuffle's part: some hundred thousand frames, whose sorts then fit a task at any size.
+PART_BYTES = 1 << 18
+
 Steps = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
+def parts_for(rows: DataFrame) -> int | None:
+    """Parts of shuffles of these rows, where their stored bytes ask for more than the session's setting; else None."""
+    try:
+        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no statistics, for instance on a remote session
+        return None
+    n = size // PART_BYTES
+    return n if int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) < n < 1 << 20 else None
+
+
+def dealt_by(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    return rows.repartition(parts, *keys) if parts else rows.repartition(*keys)
+
+
 def then(first: Steps, second: Steps) -> Steps:
     """One step for two: add, low and high."""
     (a, low, high), (b, least, most) = first, second
@@ -89,7 +106,8 @@ def clamped(rows: DataFrame, key: str, order: str, add: Column, low: Column, hig
     """
     names, kind = rows.columns, rows.schema[key].dataType.simpleString()
     steps = rows.select(F.col(key).alias("_key"), F.floor(F.col(order) / BLOCK).alias("_block"), add.cast("long").alias("_add"), low.cast("long").alias("_low"), high.cast("long").alias("_high"), F.struct(*names).alias("_row"))
-    dealt = steps.repartition("_key", "_block")
+    parts = parts_for(rows)
+    dealt = dealt_by(steps, parts, "_key", "_block")
     ordered = [F.col("_key"), F.col("_block"), F.col(f"_row.{order}")]
 
     def whole(batches):
@@ -116,10 +134,10 @@ def clamped(rows: DataFrame, key: str, order: str, add: Column, low: Column, hig
             after = found[1][-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(state)], names=["_key", "_block", "_start"])
 
-    begun = blocks.repartition("_key").sortWithinPartitions("_key", "_block").mapInArrow(starts, f"_key {kind}, _block bigint, _start bigint")
+    begun = dealt_by(blocks, parts, "_key").sortWithinPartitions("_key", "_block").mapInArrow(starts, f"_key {kind}, _block bigint, _start bigint")
     begun = begun.select(F.col("_key").alias("_k"), F.col("_block").alias("_b"), "_start")
     joined = dealt.join(begun, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")))
-    joined = joined.select("_key", "_block", "_add", "_low", "_high", "_start", "_row").repartition("_key", "_block").sortWithinPartitions(*ordered)
+    joined = dealt_by(joined.select("_key", "_block", "_add", "_low", "_high", "_start", "_row"), parts, "_key", "_block").sortWithinPartitions(*ordered)
 
     def states(batches):
         after = 0

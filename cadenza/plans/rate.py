@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout as L
 from ..operators import rate as R
+from ..operators import scan
 from ..sources.adaptors import frame_facts, pcm_blocks, read
 from .quality import _r
 from .registry import FRAMES, PX, query, rounded
@@ -54,8 +55,9 @@ SELECT iv.stream_id, iv.frame, s.frame AS slot, (greatest(a, 200 * s.frame) - a)
 FROM iv JOIN st s ON s.stream_id = iv.stream_id AND a < 200 * s.frame + 200 AND b > 200 * s.frame""")
 def reservoir_layout(spark, sf_dir):
     """Which bytes of each frame's payload lie where in which frame's slot."""
-    frames = R.reservoir(frame_facts(spark, sf_dir).select("stream_id", "frame", "payload"), "stream_id", "frame", "payload", 200).withColumn("slot", F.lit(200))
-    return L.reservoir_pieces(frames, "stream_id", "frame", "slot", "main_data_begin", "used")
+    facts = frame_facts(spark, sf_dir).select("stream_id", "frame", "payload")
+    frames = R.reservoir(facts, "stream_id", "frame", "payload", 200).withColumn("slot", F.lit(200))
+    return L.reservoir_pieces(frames, "stream_id", "frame", "slot", "main_data_begin", "used", scan.parts_for(facts))
 
 
 _AIM = "greatest(least(((fr.tax * 20000)::BIGINT + 7) // 8, 200 + least({0}, 511)), 1)"

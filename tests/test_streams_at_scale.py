@@ -1,6 +1,7 @@
 """Scans by blocks and layouts by borders, against loops over single streams."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -94,3 +95,22 @@ def test_pieces_cover_payloads(spark):
                     want.append((key, i, j, a - place + begin, a - slot, b - a))
     assert sorted(tuple(r) for r in pieces) == sorted(want)
     assert sum(r["length"] for r in pieces) == sum(r[4] for r in rows)
+
+
+def test_parts_grow_with_stored_bytes(spark, monkeypatch, tmp_path):
+    """Sorts of a task stay as they are when the table grows: more bytes, more parts, in all shuffles of the layout."""
+    from cadenza.plans import rate as plans
+
+    for n in (1, 3):
+        path = f"{tmp_path}/{n}"
+        lines = spark.range(4000 * n).selectExpr("id div 5 AS l_orderkey", "id % 5 AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "cast(id % 50 AS double) AS l_quantity", "1.0D AS l_extendedprice", "cast('2020-01-01' AS date) AS l_shipdate", "0.0D AS l_discount", "0.0D AS l_tax")
+        lines.coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    usual = {n: plans.reservoir_layout(spark, f"{tmp_path}/{n}") for n in (1, 3)}
+    monkeypatch.setattr(scan, "PART_BYTES", 1 << 10)
+    shuffles = {}
+    for n in (1, 3):
+        df = plans.reservoir_layout(spark, f"{tmp_path}/{n}")
+        found = {int(x) for x in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION", df._jdf.queryExecution().executedPlan().toString())}
+        shuffles[n] = min(found)
+        assert sorted(df.collect()) == sorted(usual[n].collect())
+    assert shuffles[1] > 4 and shuffles[3] > 2 * shuffles[1]
