@@ -26,6 +26,9 @@ _k, _n = np.meshgrid(np.arange(8), np.arange(8), indexing="ij")
 _BASIS = np.where(_k == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * _n + 1) * _k * np.pi / 16)
 #: 64 zigzag coefficients to 64 samples in raster order.
 INVERSE = np.einsum("ux,vy->uvxy", _BASIS, _BASIS).reshape(64, 64)[ZIGZAG]
+#: The same in whole numbers, whose sums are exact in any order: samples don't depend on what else is in a batch.
+SCALE = 1 << 20
+_WHOLE = np.rint(INVERSE * SCALE)
 
 
 # --- code tables ---------------------------------------------------------------
@@ -207,6 +210,60 @@ def encode_gray(coefficients: np.ndarray, images: np.ndarray, sizes: list[tuple[
     return [b"".join(p) + b"\xff\xd9" for p in parts]
 
 
+#: Luma is twice as wide as chroma: an MCU is two luma blocks and one of each chroma component.
+SHARES = (2, 1, 1)
+MCU = sum(SHARES)
+
+
+def encode_colour(coefficients: np.ndarray, images: np.ndarray, sizes: list[tuple[int, int]], comments: list[bytes]) -> list[bytes]:
+    """Files of luma and two chroma components of half its width, with quantiser 1.
+
+    coefficients: (blocks, 64) in zigzag order, of all images in a row, each its luma, then
+    its chroma blocks; images: n + 1 block offsets; sizes: width and height in samples, of
+    whole MCUs (16 by 8).
+    """
+    parts: list[list[bytes]] = []
+    tables = _segment(0xDB, bytes([0]) + bytes([1] * 64)) + _code_table(0, 0, TABLES["dc"]) + _code_table(1, 0, TABLES["first"]) + _code_table(1, 1, TABLES["refine"])
+    shape = bytes([1, 0x21, 0, 2, 0x11, 0, 3, 0x11, 0])
+    for (width, height), comment in zip(sizes, comments, strict=True):
+        parts.append([b"\xff\xd8", _segment(0xFE, comment), tables, _segment(0xC2, struct.pack(">BHHB", 8, height, width, 3) + shape)])
+    n, mcus = len(images) - 1, np.diff(images) // MCU
+    planes = np.concatenate([[0], np.cumsum((mcus[:, None] * np.array(SHARES)).ravel())])
+    at = np.concatenate([[0], np.cumsum(mcus)])
+    place = ragged(np.zeros(n, np.int64), mcus)
+    first_of = lambda c: np.repeat(planes[c:-1:3], mcus) + place * SHARES[c]
+    order = np.stack([first_of(0), first_of(0) + 1, first_of(1), first_of(2)], 1)
+    for first, last, high, low in SCRIPT:
+        if first == 0:
+            # All components together, MCU by MCU.
+            dc = coefficients[:, 0].astype(np.int64)[order]
+            if high:
+                image = np.repeat(np.arange(n), mcus * MCU)
+                data, start = _pack(image, (dc.ravel() >> low) & 1, np.ones(dc.size, np.int64), n)
+                data, bounds = _marked(data, start, np.arange(n + 1), False)
+            else:
+                value = dc >> low
+                value[:, 1] -= value[:, 0]  # each MCU begins after a restart, so other predictions are 0
+                value = value.ravel()
+                size = _bit_size(value)
+                data, start = _pack(np.repeat(np.arange(len(dc)), MCU), TABLES["dc"].code[size] << size | _extra(value, size), TABLES["dc"].length[size] + size, len(dc))
+                data, bounds = _marked(data, start, at, True)
+            head = _segment(0xDD, struct.pack(">H", 0 if high else 1)) + _segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, high << 4 | low]))
+            whole = data.tobytes()
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                parts[i] += [head, whole[a:b]]
+            continue
+        band = coefficients[:, first : last + 1].astype(np.int64)
+        items = _ac_refine(band, low, TABLES["refine"]) if high else _ac_first(np.sign(band) * (np.abs(band) >> low), last, TABLES["first"])
+        data, start = _pack(*items, len(coefficients))
+        data, bounds = _marked(data, start, planes, True)
+        whole, every = data.tobytes(), _segment(0xDD, struct.pack(">H", 1))
+        heads = [every + _segment(0xDA, bytes([1, c, 0x01 if high else 0x00, first, last, high << 4 | low])) for c in (1, 2, 3)]
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            parts[k // 3] += [heads[k % 3], whole[a:b]]
+    return [b"".join(p) + b"\xff\xd9" for p in parts]
+
+
 # --- decoder -------------------------------------------------------------------
 
 
@@ -308,14 +365,6 @@ def _dc_first(out: np.ndarray, bits: _Bits, blocks: list[np.ndarray], tables: li
         out[where[live], 0] = (before[:, slot] << low)[live]
 
 
-def _dc_more(out: np.ndarray, bits: _Bits, blocks: list[np.ndarray], low: int) -> None:
-    for where in blocks:
-        live = where >= 0
-        bit = bits.peek() >> 31
-        bits.at += live
-        out[where[live], 0] |= (bit << low)[live]
-
-
 def _ac(out: np.ndarray, bits: _Bits, blocks: list[np.ndarray], table: Codes, first: int, last: int, high: int, low: int) -> None:
     left = np.zeros(len(bits.at), np.int64)  # blocks that an end-of-band run still covers
     for where in blocks:
@@ -407,7 +456,7 @@ def _parsed(raw: bytes, image: Image, base: int) -> tuple[int, list]:
             used = [codes.get(t >> 4) if first == 0 else codes.get(0x10 | t & 15) for t in tables]
             pattern = tuple(i for i, c in enumerate(chosen) for _ in range(c.h * c.v if len(chosen) > 1 else 1))
             key = (first, last, bits >> 4, bits & 15, pattern, tuple(id(c) for c in used))
-            scans.append((key, used, Scan(order, starts, interval or len(order)), (at, int(end))))
+            scans.append((key, used, Scan(order, starts, interval or len(order)), (at, int(end)), [c.name for c in chosen]))
             at = int(end)
     return base, scans
 
@@ -431,7 +480,11 @@ def decode(files: list[bytes]) -> list[Image]:
         image = Image()
         base, scans = _parsed(raw, image, base)
         images.append(image)
-        for k, scan in enumerate(scans):
+        ready: dict[tuple[int, bool], int] = {}  # the step after the last one of a component's DC or AC
+        for scan in scans:
+            mine = [(int(c), scan[0][0] > 0) for c in scan[4]]
+            k = max(ready.get(m, 0) for m in mine)
+            ready |= dict.fromkeys(mine, k + 1)
             keep.append(scan[1])
             while len(steps) <= k:
                 steps.append({})
@@ -449,7 +502,7 @@ def decode(files: list[bytes]) -> list[Image]:
 
 def _run_scan(out: np.ndarray, group: list, first: int, last: int, high: int, low: int, pattern: tuple[int, ...]) -> None:
     pieces, at, orders, counts, total = [], [], [], [], 0
-    for raw, (_, _, scan, (a, b)) in group:
+    for raw, (_, _, scan, (a, b), _) in group:
         data = np.frombuffer(raw, np.uint8, b - a, a)
         plain = np.ones(len(data), bool)
         plain[1:] = ~((data[1:] == 0) & (data[:-1] == 0xFF))  # stuffed zeros go
@@ -466,12 +519,13 @@ def _run_scan(out: np.ndarray, group: list, first: int, last: int, high: int, lo
     count = np.concatenate(counts)
     start = np.cumsum(count) - count
     used = group[0][1][1]
-    if first == 0 and high and len(pattern) == 1:
+    if first == 0 and high:
         # One bit for each block in a row: no code to follow.
-        position = bits.at[np.repeat(np.arange(len(count)), count)] + ragged(np.zeros(len(count), np.int64), count)
+        run = count * len(pattern)
+        position = bits.at[np.repeat(np.arange(len(run)), run)] + ragged(np.zeros(len(run), np.int64), run)
         byte = np.minimum(position >> 3, bits.most)
         bit = (bits.words[byte] >> (63 - (position & 7)).astype(np.uint64)) & np.uint64(1)
-        out[order[:, 0], 0] |= bit.astype(np.int32) << low
+        out[order.ravel(), 0] |= bit.astype(np.int32) << low
         return
     blocks, slots = [], []
     for step in range(int(count.max()) if len(count) else 0):
@@ -481,8 +535,6 @@ def _run_scan(out: np.ndarray, group: list, first: int, last: int, high: int, lo
             slots.append(slot)
     if first == 0 and not high:
         _dc_first(out, bits, blocks, [used[s] for s in slots], slots, low)
-    elif first == 0:
-        _dc_more(out, bits, blocks, low)
     else:
         _ac(out, bits, blocks, used[0], first, last, high, low)
 
@@ -490,9 +542,9 @@ def _run_scan(out: np.ndarray, group: list, first: int, last: int, high: int, lo
 def samples(image: Image, c: Component) -> np.ndarray:
     """A component's samples, 0 to 255, at its own resolution."""
     blocks = image.blocks[c.base - image.components[0].base :][: c.columns * c.rows]
-    x = (blocks * image.quantisers[c.quantiser]).astype(np.float64) @ INVERSE + 128
+    x = np.rint((blocks * image.quantisers[c.quantiser]).astype(np.float64) @ _WHOLE / SCALE + 128)
     plane = x.reshape(c.rows, c.columns, 8, 8).transpose(0, 2, 1, 3).reshape(c.rows * 8, c.columns * 8)
-    return np.clip(np.rint(plane), 0, 255)
+    return np.clip(plane, 0, 255)
 
 
 def rgb(image: Image) -> np.ndarray:
@@ -504,3 +556,12 @@ def rgb(image: Image) -> np.ndarray:
     y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
     out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def stacked(images: list[Image]) -> Image:
+    """One image of many of like width, components and quantisers, and of whole MCUs, below one another."""
+    first = images[0]
+    out = Image(first.width, sum(i.height for i in images), [Component(c.name, c.h, c.v, c.quantiser) for c in first.components], first.quantisers)
+    out.frame(0)
+    out.blocks = np.concatenate([i.blocks[c.base - i.components[0].base :][: c.columns * c.rows] for k in range(len(first.components)) for i in images for c in (i.components[k],)])
+    return out

@@ -2,10 +2,12 @@
 
 A JPEG's samples pass through a rounded transform, so they can't carry bytes
 without loss; its own unit, the quantised coefficient, can.  ``store`` writes a
-text's bytes as the coefficients of a progressive file, 64 to a block, and
-``load`` reads them back from the file's scans.
+text's bytes as the coefficients of a progressive colour file, 64 to a block, first
+the luma blocks and then those of both chroma components, which have half the width;
+``load`` reads them back from the file's scans, and takes its feature from the RGB
+tensor of full resolution.
 
-Edge cases: null and empty texts give one block of zeros; equal texts give equal
+Edge cases: null and empty texts give one block of zero bytes; equal texts give equal
 files and features, wherever they stand; an empty table gives no rows; a file
 that isn't a progressive JPEG, or is null, gives null tensors in ``tensors``;
 other columns pass through.
@@ -26,7 +28,7 @@ from . import text as T
 BLOCK = 64
 #: Byte that becomes the coefficient 0: letters then have small coefficients.
 CENTRE = 96
-#: Blocks on a side of an image, at most.
+#: MCUs below one another, at most.
 SIDE = 8191
 #: Blocks coded at a time.
 CHUNK = 6000
@@ -40,9 +42,10 @@ def store_bytes(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """A file for each run of bytes."""
     files, lengths = [], np.diff(offsets)
     blocks = np.maximum(1, -(-lengths // BLOCK))
-    columns = -(-blocks // SIDE)
-    rows = -(-blocks // columns)
-    whole = columns * rows
+    mcus = -(-blocks // jpeg.MCU)
+    columns = -(-mcus // SIDE)
+    rows = -(-mcus // columns)
+    whole = columns * rows * jpeg.MCU
     bounds = np.concatenate([[0], np.cumsum(whole)])
     i = 0
     while i < len(lengths):
@@ -50,8 +53,9 @@ def store_bytes(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         padded = np.zeros((int(bounds[j] - bounds[i])) * BLOCK, np.uint8)
         padded[T.ragged((bounds[i:j] - bounds[i]) * BLOCK, lengths[i:j])] = data[offsets[i] : offsets[j]]
         coefficients = padded.reshape(-1, BLOCK).astype(np.int32) - CENTRE
-        sizes = [(8 * c, 8 * r) for c, r in zip(columns[i:j].tolist(), rows[i:j].tolist(), strict=True)]
-        files += jpeg.encode_gray(coefficients, bounds[i : j + 1] - bounds[i], sizes, [b"bytes %d" % n for n in lengths[i:j].tolist()])
+        coefficients[T.ragged(bounds[i:j] - bounds[i] + blocks[i:j], whole[i:j] - blocks[i:j])] = 0  # past the payload
+        sizes = [(16 * c, 8 * r) for c, r in zip(columns[i:j].tolist(), rows[i:j].tolist(), strict=True)]
+        files += jpeg.encode_colour(coefficients, bounds[i : j + 1] - bounds[i], sizes, [b"bytes %d" % n for n in lengths[i:j].tolist()])
         i = j
     return files
 
@@ -79,10 +83,24 @@ def store(docs: DataFrame, text_col: str = "text", media_col: str = "media") ->
     return docs.mapInArrow(run, ", ".join([*_fields(docs), f"`{media_col}` binary"]))
 
 
-def feature(image: jpeg.Image) -> str:
-    """Width, height, and sum, sum of squares and steps between neighbours of the luma samples: exact integers."""
-    luma = jpeg.samples(image, image.components[0])[: image.height, : image.width].astype(np.int64)
-    return ":".join(str(int(x)) for x in (image.width, image.height, luma.sum(), (luma * luma).sum(), np.abs(np.diff(luma, axis=1)).sum(), np.abs(np.diff(luma, axis=0)).sum()))
+def features(images: list[jpeg.Image]) -> list[str]:
+    """Of each image width, height, and for red, green and blue the sum, the sum of squares and the steps between neighbours: exact integers."""
+    out, i = [], 0
+    while i < len(images):
+        j = i + 1
+        while j < len(images) and images[j].width == images[i].width:
+            j += 1
+        pixels = jpeg.rgb(jpeg.stacked(images[i:j])).astype(np.int64)
+        heights = np.array([x.height for x in images[i:j]])
+        top = np.cumsum(heights) - heights
+        down = np.zeros((len(pixels), 3), np.int64)
+        down[1:] = np.abs(np.diff(pixels, axis=0)).sum(axis=1)
+        down[top] = 0
+        rows = np.concatenate([pixels.sum(axis=1), (pixels * pixels).sum(axis=1), np.abs(np.diff(pixels, axis=1)).sum(axis=1), down], axis=1)
+        for image, sums in zip(images[i:j], np.add.reduceat(rows, top, axis=0).tolist(), strict=True):
+            out.append(":".join(map(str, (image.width, image.height, *sums))))
+        i = j
+    return out
 
 
 def load(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -98,8 +116,8 @@ def load(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
                     size += len(files[j])
                     j += 1
                 images = jpeg.decode(files[i:j])
-                for file, image, (n, payload) in zip(files[i:j], images, load_bytes(images), strict=True):
-                    rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), feature(image)))
+                for file, (n, payload), found in zip(files[i:j], load_bytes(images), features(images), strict=True):
+                    rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), found))
                 i = j
             if not rows:
                 continue

@@ -632,6 +632,22 @@ def test_media_round_trip(spark, docs, rows):
     assert all(len(v) == 1 for v in by.values())
 
 
+def test_media_are_colour_files():
+    """Payloads lie in luma and in subsampled chroma, and the feature is that of the RGB tensor, whatever the batch."""
+    raw = [b"", b"x", bytes(range(32, 127)) * 9, b"ab" * 5000, "größe 数".encode() * 70]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    images = jpeg.decode(media.store_bytes(data, offsets))
+    for image, r, (n, payload), found in zip(images, raw, media.load_bytes(images), media.features(images), strict=True):
+        assert n == len(r) and payload == (r + bytes(-len(r) % 64) if r else bytes(64))
+        assert [(c.h, c.v) for c in image.components] == [(2, 1), (1, 1), (1, 1)]
+        pixels = jpeg.rgb(image).astype(int)
+        assert pixels.shape == (image.height, image.width, 3)
+        want = [image.width, image.height, *pixels.sum((0, 1)), *(pixels**2).sum((0, 1)), *abs(np.diff(pixels, axis=1)).sum((0, 1)), *abs(np.diff(pixels, axis=0)).sum((0, 1))]
+        assert found == ":".join(map(str, want)) == media.features([image])[0]
+    chroma = images[2].blocks[images[2].components[1].base - images[2].components[0].base :]
+    assert chroma.any() and len(np.unique(jpeg.rgb(images[2])[:, :, 0] != jpeg.rgb(images[2])[:, :, 1])) == 2
+
+
 def test_transform_and_zigzag():
     assert jpeg.ZIGZAG[:6].tolist() == [0, 1, 8, 16, 9, 2] and sorted(jpeg.ZIGZAG) == list(range(64))
     assert jpeg.INVERSE @ jpeg.INVERSE.T == pytest.approx(np.eye(64))
