@@ -409,6 +409,7 @@ def _ac(out: np.ndarray, bits: _Bits, blocks: list[np.ndarray], table: Codes, fi
 def _parsed(raw: bytes, image: Image, base: int) -> tuple[int, list]:
     """Headers into the image; scans as (key, tables, Scan with byte positions)."""
     codes: dict[int, Codes] = {}
+    orders: dict[bytes, np.ndarray] = {}
     interval, at, scans = 0, 2, []
     view = np.frombuffer(raw, np.uint8)
     if raw[:2] != b"\xff\xd8":
@@ -452,7 +453,9 @@ def _parsed(raw: bytes, image: Image, base: int) -> tuple[int, list]:
             end = others[np.searchsorted(others, at)] if len(others) and others[-1] >= at else len(raw)
             inside = restarts[np.searchsorted(restarts, at) : np.searchsorted(restarts, end)]
             starts = np.concatenate([[at], inside + 2])
-            order = _order(chosen)
+            if (shape := bytes(c.name for c in chosen)) not in orders:
+                orders[shape] = _order(chosen)
+            order = orders[shape]
             used = [codes.get(t >> 4) if first == 0 else codes.get(0x10 | t & 15) for t in tables]
             pattern = tuple(i for i, c in enumerate(chosen) for _ in range(c.h * c.v if len(chosen) > 1 else 1))
             key = (first, last, bits >> 4, bits & 15, pattern, tuple(id(c) for c in used))
@@ -501,22 +504,21 @@ def decode(files: list[bytes]) -> list[Image]:
 
 
 def _run_scan(out: np.ndarray, group: list, first: int, last: int, high: int, low: int, pattern: tuple[int, ...]) -> None:
-    pieces, at, orders, counts, total = [], [], [], [], 0
-    for raw, (_, _, scan, (a, b), _) in group:
-        data = np.frombuffer(raw, np.uint8, b - a, a)
-        plain = np.ones(len(data), bool)
-        plain[1:] = ~((data[1:] == 0) & (data[:-1] == 0xFF))  # stuffed zeros go
-        place = np.concatenate([[0], np.cumsum(plain)])
-        at.append(place[scan.starts - a] + total)
-        pieces.append(data[plain])
-        total += int(place[-1])
-        mcus, interval = len(scan.order), scan.interval
-        lead = np.arange(len(scan.starts)) * interval
-        orders.append(scan.order)
-        counts.append(np.clip(mcus - lead, 0, interval))
-    bits = _Bits(np.concatenate(pieces), np.concatenate(at))
-    order = np.concatenate(orders)
-    count = np.concatenate(counts)
+    scans = [scan for _, (_, _, scan, _, _) in group]
+    spans = [span for _, (_, _, _, span, _) in group]
+    data = np.frombuffer(b"".join(raw[a:b] for (raw, _), (a, b) in zip(group, spans, strict=True)), np.uint8)
+    first_byte = np.cumsum([0, *(b - a for a, b in spans)])
+    plain = np.ones(len(data), bool)
+    plain[1:] = ~((data[1:] == 0) & (data[:-1] == 0xFF))  # stuffed zeros go
+    plain[first_byte[:-1][first_byte[:-1] < len(data)]] = True
+    place = np.concatenate([[0], np.cumsum(plain)])
+    segments = np.array([len(scan.starts) for scan in scans])
+    shift = first_byte[:-1] - np.array([a for a, _ in spans])
+    bits = _Bits(data[plain], place[np.concatenate([scan.starts for scan in scans]) + np.repeat(shift, segments)])
+    order = np.concatenate([scan.order for scan in scans])
+    interval = np.repeat([scan.interval for scan in scans], segments)
+    mcus = np.repeat([len(scan.order) for scan in scans], segments)
+    count = np.clip(mcus - ragged(np.zeros(len(scans), np.int64), segments) * interval, 0, interval)
     start = np.cumsum(count) - count
     used = group[0][1][1]
     if first == 0 and high:
