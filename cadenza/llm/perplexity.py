@@ -8,11 +8,12 @@ most the ``QUANTILE`` of the trusted documents of its language that the model wa
 not learned from, taken of counts by steps of ``GRAIN`` in its logarithm to base ten.
 
 How it runs: batches of trusted texts send their distinct trigrams, packed, to
-shards by context; these send bigrams on to shards by first word, and those words
-to shards of their own.  Counts and context sums lie at key shards.  Documents
-are dealt to parts, a part asks the key shards about its distinct words, bigrams
-and trigrams, and the answers are the part's own piece of the model.  The driver
-sees sums by shard and order only.
+shards by context; these send bigrams on to shards by their own hash, and those words
+to shards of their own.  Counts and context sums stay in buckets by the shards that
+made them, as trigrams are looked up where their contexts are.  Documents are dealt to
+parts, a part asks the shards about its distinct words, bigrams and trigrams, and the
+answers are the part's own piece of the model.  Parts take turns in ``ROUNDS``, each of
+which gives the disk of its shuffles back.  The driver sees sums by shard and order only.
 
 Edge cases: null and empty texts have the end mark alone; a null language is one
 of its own; a language without trusted documents takes the quantile of all; with
@@ -23,6 +24,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +39,8 @@ from . import text as T
 U64 = np.uint64
 QUANTILE = 0.98
 GRAIN = 0.001
+#: Turns in which documents are scored, one for every ``ROUND_BYTES`` of stored input at most.
+ROUNDS, ROUND_BYTES = 8, 8 << 20
 START, END = U64(0x1111111111111111), U64(0x2222222222222222)
 
 
@@ -56,6 +60,20 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return T.mix(a * U64(0x9E3779B97F4A7C15) + T.mix(b ^ U64(0x5851F42D4C957F2D)))
 
 
+#: Bits of a key that say its shard.  A trigram has those of its context.
+_PLACE = 16
+_REST = U64((1 << 64 - _PLACE) - 1)
+
+
+def _triple(u: np.ndarray, uv: np.ndarray, vw: np.ndarray) -> np.ndarray:
+    return (uv & ~_REST) | (_pair(u, vw) & _REST)
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Bounds of the shards in sorted keys (the shard grows with the key)."""
+    return np.searchsorted(((keys >> U64(64 - _PLACE)) * U64(shards)) >> U64(_PLACE), np.arange(shards + 1, dtype=U64))
+
+
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     """Of n-grams counted once, twice, and more often."""
     if not (n1 and n2):
@@ -82,7 +100,8 @@ class Model:
     sums: Sums
 
     @staticmethod
-    def get(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+        """Values of sorted keys, which are found several times faster than others."""
         names, values = table
         if not len(names):
             return np.zeros((len(keys), *values.shape[1:]), np.int64)
@@ -90,6 +109,11 @@ class Model:
         seen = names[at] == keys
         return values[at] * (seen[:, None] if values.ndim > 1 else seen)
 
+    @classmethod
+    def get(cls, table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+        distinct, at = np.unique(keys, return_inverse=True)
+        return cls.look(table, distinct)[at]
+
     def _mix(self, order: int, keys: np.ndarray, context: np.ndarray, shorter: np.ndarray) -> np.ndarray:
         count, sums = self.get(self.grams[order], keys), self.get(self.contexts[order - 1], context)
         discounts, total = self.sums.discounts[order], np.maximum(1, sums[:, 0])
@@ -100,45 +124,53 @@ class Model:
         count, sums = self.get(self.grams[0], w), self.sums
         p = (count - sums.discounts[0][np.minimum(count, 3)]) / max(1, sums.total) + sums.root / (sums.vocabulary + 1)
         vw, uv = _pair(v, w), _pair(u, v)
-        return np.log10(self._mix(2, _pair(u, vw), uv, self._mix(1, vw, v, p)))
+        return np.log10(self._mix(2, _triple(u, uv, vw), uv, self._mix(1, vw, v, p)))
+
 
+#: Kinds of rows: counts by order and sums of contexts by their length.
+GRAM, CONTEXT = 0, 10
+#: What rows are: pieces of the model, sums by order, and trigrams, bigrams and words on their way to be counted.
+MODEL, SUMS, ROUTES = "model", "sums", ("words", "bigrams", "trigrams")
+#: ``home`` made a row, ``shard`` is to have it.
+ROWS = pa.schema([("what", pa.string()), ("home", pa.int32()), ("shard", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
+ROWS_SQL = "what string, home int, shard int, kind int, keys binary, vals binary"
 
-#: Kinds of rows: counts by order, sums of contexts by their length, n-grams on their way to be counted, and sums by order.
-GRAM, CONTEXT, ROUTE, SUMS = 0, 10, 20, 30
-ROWS = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
-ROWS_SQL = "shard int, kind int, keys binary, vals binary"
 
+def _rows(rows: list[tuple]) -> pa.Table:
+    return S.table(ROWS, **dict(zip(ROWS.names, map(list, zip(*rows, strict=True)) if rows else ([],) * 6, strict=True)))
 
-def _rows(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
-    return S.table(ROWS, **dict(zip(ROWS.names, map(list, zip(*rows, strict=True)) if rows else ([],) * 4, strict=True)))
 
+def _ints(x: np.ndarray) -> bytes:
+    """Numbers, or columns of numbers, packed."""
+    return S.packed(np.ascontiguousarray(x.T).reshape(-1).astype(np.int64))
 
-def _keyed(kind: int, keys: np.ndarray, values: np.ndarray, shards: int) -> list[tuple[int, int, bytes, bytes]]:
-    """Sorted keys and their values, for the key shards."""
-    at = S.by_shard(keys, shards)
-    return [(int(k), kind, S.blob(keys[at[k] : at[k + 1]]), S.blob(values[at[k] : at[k + 1]])) for k in np.flatnonzero(np.diff(at))]
 
+def _columns(raw: bytes, n: int) -> np.ndarray:
+    return S.unpacked(raw).astype(np.int64).reshape(n, -1).T
 
-def _routed(kind: int, by: np.ndarray, words: list[np.ndarray], counts: np.ndarray, shards: int) -> list[tuple[int, int, bytes, bytes]]:
-    """N-grams with counts, for the shards of ``by``, as indices into the words of each row."""
-    order = np.argsort(by, kind="stable")
-    at, out = S.by_shard(by[order], shards), []
+
+def _routed(home: int, order: int, by: np.ndarray, words: list[np.ndarray], counts: np.ndarray, shards: int) -> list[tuple]:
+    """N-grams with counts, for the shards of ``by``, as indices into the words of each row: the first as steps."""
+    sort = np.argsort(by)
+    at, out = _by_shard(by[sort], shards), []
     for k in np.flatnonzero(np.diff(at)):
-        own = order[at[k] : at[k + 1]]
+        own = sort[at[k] : at[k + 1]]
         names, index = np.unique(np.concatenate([w[own] for w in words]), return_inverse=True)
-        out.append((int(k), kind, S.blob(names), S.blob(index.astype(np.uint32)) + S.blob(counts[own].astype(np.int64))))
+        index = np.column_stack([*index.reshape(order, -1), counts[own]])
+        index = index[np.argsort(index[:, 0])]
+        index[1:, 0] = np.diff(index[:, 0])
+        out.append((ROUTES[order - 1], home, int(k), order, S.packed(names), _ints(index)))
     return out
 
 
 def _gathered(group: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     words, counts = [[] for _ in range(order)], []
-    for names, packed in zip(group["keys"], group["vals"], strict=True):
-        names, packed = np.frombuffer(names.as_py(), U64), packed.as_py()
-        n = len(packed) // (4 * order + 8)
-        index = np.frombuffer(packed, np.uint32, n * order).reshape(order, n)
-        for k in range(order):
-            words[k].append(names[index[k]])
-        counts.append(np.frombuffer(packed, np.int64, n, 4 * order * n))
+    for names, index in zip(group["keys"], group["vals"], strict=True):
+        names, index = S.unpacked(names.as_py()), _columns(index.as_py(), order + 1)
+        words[0].append(names[np.cumsum(index[:, 0])])
+        for k in range(1, order):
+            words[k].append(names[index[:, k]])
+        counts.append(index[:, order])
     return [np.concatenate(w) for w in words], np.concatenate(counts)
 
 
@@ -151,35 +183,54 @@ def _counted(key: np.ndarray, words: list[np.ndarray], counts: np.ndarray) -> tu
 
 
 def _key(words: list[np.ndarray]) -> np.ndarray:
-    key = words[-1]
-    for w in words[-2::-1]:
-        key = _pair(w, key)
-    return key
+    """Of two or three words each."""
+    last = _pair(words[-2], words[-1])
+    return last if len(words) == 2 else _triple(words[0], _pair(words[0], words[1]), last)
+
+
+def _totals(counts: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """For each of n contexts: the sum of its n-grams' counts, and how many are counted once, twice, more often."""
+    columns = [np.bincount(at, counts, n), *(np.bincount(at[np.minimum(counts, 3) == k], minlength=n) for k in (1, 2, 3))]
+    return np.column_stack(columns).astype(np.int64)
 
 
 def _count(shards: int, order: int):
-    """Counts the n-grams that are routed to a shard; it holds all of their contexts, and routes what they end in."""
+    """Counts the n-grams that are routed to a shard, and routes what they end in."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        words, counts = _gathered(group, order)
-        keys, words, counts = _counted(_key(words), words, counts)
+        home = key[0].as_py()
+        here = lambda kind, keys, values: (MODEL, home, home, kind, S.packed(keys), _ints(values))
+        if order == 1:
+            names, at = np.unique(np.concatenate([S.unpacked(x.as_py()) for x in group["keys"]]), return_inverse=True)
+            values = np.concatenate([_columns(x.as_py(), 5) for x in group["vals"]])
+            values = np.column_stack([np.bincount(at, x, len(names)) for x in values.T]).astype(np.int64)
+            counts, first = values[:, 0], values[:, 1] > 0
+            seen = counts > 0
+            rows = [here(GRAM + 1, names[seen], counts[seen]), here(CONTEXT + 1, names[first], values[first, 1:])]
+            counts = counts[seen]
+        else:
+            words, counts = _gathered(group, order)
+            keys, words, counts = _counted(_key(words), words, counts)
+            rows = [here(GRAM + order, keys, counts)]
+        if order == 3:
+            names, at = np.unique(_key(words[:2]), return_inverse=True)
+            rows.append(here(CONTEXT + 2, names, _totals(counts, at, len(names))))
+            ends, last, left = _counted(_key(words[1:]), words[1:], np.ones(len(keys), np.int64))
+            rows += _routed(home, 2, ends, last, left, shards)
+        if order == 2:  # of each word: those before it, and what follows it
+            names, at = np.unique(np.concatenate(words), return_inverse=True)
+            before, after = np.bincount(at[len(keys) :], minlength=len(names)), _totals(counts, at[: len(keys)], len(names))
+            values, bounds = np.column_stack([before, after]), _by_shard(names, shards)
+            rows += [(ROUTES[0], home, int(k), 1, S.packed(names[bounds[k] : bounds[k + 1]]), _ints(values[bounds[k] : bounds[k + 1]])) for k in np.flatnonzero(np.diff(bounds))]
         sums = np.array([*((counts == k).sum() for k in (1, 2, 3, 4)), len(counts), counts.sum()], np.int64)
-        rows = [(key[0].as_py(), SUMS + order, b"", S.blob(sums)), *_keyed(GRAM + order, keys, counts, shards)]
-        if order > 1:
-            names, at = np.unique(_key(words[:-1]), return_inverse=True)
-            values = np.zeros((len(names), 4), np.int64)
-            np.add.at(values[:, 0], at, counts)
-            np.add.at(values, (at, np.minimum(counts, 3)), 1)
-            rows += _keyed(CONTEXT + order - 1, names, values, shards)
-            _, ends, left = _counted(_key(words[1:]), words[1:], np.ones(len(keys), np.int64))
-            rows += _routed(ROUTE + order - 1, _key(ends[:-1] or ends), ends, left, shards)
-        return _rows(rows)
+        return _rows([*rows, (SUMS, home, home, order, b"", S.blob(sums))])
 
     return run
 
 
 def count(docs: DataFrame, trusted: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Sums]:
-    """Counts of the n-grams and contexts of all texts of the ids in ``trusted``, by key shard, and their sums."""
+    """Counts of the n-grams and contexts of all texts of the ids in ``trusted``, in buckets by shard, and their sums."""
+    spark = docs.sparkSession
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(ids, "_id", "left_semi").select("text")
 
@@ -189,28 +240,31 @@ def count(docs: DataFrame, trusted: DataFrame, shards: int, id_col: str = "doc_i
             if parts:
                 words = [np.concatenate(x) for x in zip(*parts, strict=True)]
                 _, words, counts = _counted(_key(words), words, np.ones(len(words[0]), np.int64))
-                yield from _rows(_routed(ROUTE + 3, _key(words[:-1]), words, counts, shards)).to_batches()
+                yield from _rows(_routed(-1, 3, _key(words[:2]), words, counts, shards)).to_batches()
 
-    made = texts.mapInArrow(trigrams, ROWS_SQL)
-    tables = []
+    made, table = texts.mapInArrow(trigrams, ROWS_SQL), S.Buckets(spark, "what", "home", shards)
     for order in (3, 2, 1):
-        made = S.kept(made.where(F.col("kind") == ROUTE + order).groupBy("shard").applyInArrow(_count(shards, order), ROWS_SQL))
-        tables.append(made)
-    counts = tables[0].unionByName(tables[1]).unionByName(tables[2])
+        with S.releasing(spark):
+            table.add(made.groupBy("shard").applyInArrow(_count(shards, order), ROWS_SQL))
+        if order < 3:
+            table.drop(ROUTES[order - 1])
+        if order > 1:
+            made = table.read(ROUTES[order - 2])
     sums = np.zeros((3, 6), np.int64)
-    for r in counts.where(F.col("kind") > SUMS).select("kind", "vals").toLocalIterator():  # one row for each shard and order
-        sums[r["kind"] - SUMS - 1] += np.frombuffer(r["vals"], np.int64)
-    return counts.where(F.col("kind") < ROUTE), Sums(sums)
+    for r in table.read(SUMS).select("kind", "vals").toLocalIterator():  # one row for each shard and order
+        sums[r["kind"] - 1] += np.frombuffer(r["vals"], np.int64)
+    return table.read(MODEL).select("home", "kind", "keys", "vals"), Sums(sums)
 
 
 def _tables(kinds: list[int], keys: list[bytes], values: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     out = {}
     for kind in (GRAM + 1, GRAM + 2, GRAM + 3, CONTEXT + 1, CONTEXT + 2):
         mine = [r for r, k in enumerate(kinds) if k == kind]
-        names = np.frombuffer(b"".join(keys[r] for r in mine), U64)
-        found = np.frombuffer(b"".join(values[r] for r in mine), np.int64)
-        order = np.argsort(names)
-        out[kind] = names[order], (found.reshape(-1, 4) if kind > CONTEXT else found)[order]
+        names = np.concatenate([np.zeros(0, U64), *(S.unpacked(keys[r]) for r in mine)])
+        width = 4 if kind > CONTEXT else 1
+        found = np.concatenate([np.zeros((0, width), np.int64), *(_columns(values[r], width) for r in mine)])
+        order = np.argsort(names, kind="stable")
+        out[kind] = names[order], (found if kind > CONTEXT else found[:, 0])[order]
     return out
 
 
@@ -222,15 +276,21 @@ def train(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     return Model([t[GRAM + k] for k in (1, 2, 3)], [t[CONTEXT + k] for k in (1, 2)], sums)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """In order.  By sorting: the hash table of np.unique is far slower where most keys differ."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def _asked(texts: pa.ChunkedArray) -> list[np.ndarray]:
     """Distinct words, bigrams and trigrams of the texts; contexts are among the first two."""
     found: list[list[np.ndarray]] = [[np.array([START])], [_pair(np.array([START]), np.array([START]))], []]
     for _, _, words, at in T.hashed(texts):
         u, v, w, _ = _positions(words, at)
         vw = _pair(v, w)
-        for own, x in zip(found, (w, vw, _pair(u, vw)), strict=True):
-            own.append(np.unique(x))
-    return [np.unique(np.concatenate(x)) for x in found]
+        for own, x in zip(found, (w, vw, _triple(u, _pair(u, v), vw)), strict=True):
+            own.append(_distinct(x))
+    return [_distinct(np.concatenate(x)) for x in found]
 
 
 ASKED = pa.schema([("part", pa.int32()), ("shard", pa.int32()), *((f"x{k}", pa.binary()) for k in (1, 2, 3))])
@@ -241,31 +301,29 @@ def _sql(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {'binary' if pa.types.is_binary(f.type) else 'int'}" for f in schema)
 
 
-def score(docs: DataFrame, counts: DataFrame, sums: Sums, shards: int) -> DataFrame:
-    """doc_id, lang, n_tokens, log10_prob and perplexity of docs with doc_id, lang and text."""
+def score(docs: DataFrame, counts: DataFrame, sums: Sums, shards: int, rounds: int | None = None) -> DataFrame:
+    """doc_id, lang, n_tokens, log10_prob and perplexity of docs with doc_id, lang and text, some parts after others."""
+    rounds = max(1, min(ROUNDS, S.stored_bytes(docs) // ROUND_BYTES)) if rounds is None else rounds
     rows = S.with_part(docs.select("doc_id", "lang", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), S.parts_for(docs), "doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def ask(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         keys = _asked(group["text"])
-        at = [S.by_shard(x, shards) for x in keys]
-        blobs = {f"x{n + 1}": [S.blob(x[b[k] : b[k + 1]]) for k in range(shards)] for n, (x, b) in enumerate(zip(keys, at, strict=True))}
+        at = [_by_shard(x, shards) for x in keys]
+        blobs = {f"x{n + 1}": [S.packed(x[b[k] : b[k + 1]]) for k in range(shards)] for n, (x, b) in enumerate(zip(keys, at, strict=True))}
         return S.table(ASKED, part=[key[0].as_py()] * shards, shard=list(range(shards)), **blobs)
 
-    asked = rows.groupBy("part").applyInArrow(ask, _sql(ASKED))
-
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         t = _tables(*(right[c].to_pylist() for c in ("kind", "keys", "vals")))
-        look = lambda kind, x: [S.blob(Model.get(t[kind], np.frombuffer(b.as_py(), U64))) for b in left[x]]
+        look = lambda kind, x: [_ints(Model.look(t[kind], S.unpacked(b.as_py()))) for b in left[x]]
         found = {f"x{k}": look(GRAM + k, f"x{k}") for k in (1, 2, 3)} | {f"c{k}": look(CONTEXT + k, f"x{k}") for k in (1, 2)}
         return S.table(ANSWERED, part=left["part"].combine_chunks(), shard=left["shard"].combine_chunks(), **found)
 
-    answered = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(answer, _sql(ANSWERED))
-
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = _asked(left["text"])
         right = right.take(pc.sort_indices(right["shard"]))
-        t = {c: np.frombuffer(b"".join(right[c].to_pylist()), np.int64) for c in ANSWERED.names[2:]}
-        m = Model([(keys[k], t[f"x{k + 1}"]) for k in range(3)], [(keys[k], t[f"c{k + 1}"].reshape(-1, 4)) for k in range(2)], sums)
+        t = {c: np.concatenate([_columns(x.as_py(), 4 if c[0] == "c" else 1) for x in right[c]]) for c in ANSWERED.names[2:]}
+        m = Model([(keys[k], t[f"x{k + 1}"][:, 0]) for k in range(3)], [(keys[k], t[f"c{k + 1}"]) for k in range(2)], sums)
         total, count = np.zeros(left.num_rows), np.zeros(left.num_rows, np.int64)
         for i, j, words, at in T.hashed(left["text"]):
             u, v, w, bounds = _positions(words, at)
@@ -273,8 +331,15 @@ def score(docs: DataFrame, counts: DataFrame, sums: Sums, shards: int) -> DataFr
             count[i:j] = np.diff(bounds)
         return pa.table({"doc_id": left["doc_id"], "lang": left["lang"], "n_tokens": pa.array(count), "log10_prob": pa.array(total), "perplexity": pa.array(10 ** np.minimum(-total / np.maximum(count, 1), 300))})
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(finish, f"doc_id {kind}, lang string, n_tokens long, log10_prob double, perplexity double")
+    done = []
+    for r in range(rounds):
+        own = rows.where(F.col("part") % rounds == r)
+        asked = own.groupBy("part").applyInArrow(ask, _sql(ASKED))
+        answered = asked.groupBy("shard").cogroup(counts.groupBy("home")).applyInArrow(answer, _sql(ANSWERED))
+        found = own.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(finish, f"doc_id {kind}, lang string, n_tokens long, log10_prob double, perplexity double")
+        with S.releasing(docs.sparkSession):
+            done.append(S.kept(found))
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def thresholds(scores: DataFrame, by: list[str], quantile: float) -> DataFrame:
@@ -299,7 +364,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, le
     trusted = trusted.select("doc_id").where("doc_id is not null").distinct()
     shards = max(S.partitions(docs.sparkSession), S.parts_for(docs) // 2)
     counts, sums = count(docs, trusted.where(learn), shards)
-    scores = S.kept(score(docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text"), counts, sums, shards))
+    scores = score(docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text"), counts, sums, shards)
     held = scores.join(trusted.where(~learn), "doc_id")
     marks = thresholds(held, ["lang"], quantile)
     overall = thresholds(held, [], quantile).agg(F.max("threshold")).first()[0]  # one row at most

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -579,6 +580,21 @@ def test_quality_thresholds_against_sorted_rows(spark):
     assert perplexity.thresholds(df.limit(0), ["lang"], 0.5).count() == 0 and perplexity.thresholds(df.limit(0), [], 0.5).first()[0] is None
 
 
+def test_quality_in_turns_is_the_same_and_gives_disk_back(spark):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rnd.random() ** 2 * 500)}" for _ in range(rnd.randint(0, 900))), "en") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    local = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    held = lambda: sum(p.stat().st_size for p in local.rglob("shuffle_*.data"))
+    before = held()
+    counts, sums = perplexity.count(docs, docs.where("doc_id < 120").select("doc_id"), 5)
+    one, four = ({r["doc_id"]: r for r in perplexity.score(docs, counts, sums, 5, rounds=k).collect()} for k in (1, 4))
+    assert one == four and len(one) == len(rows)
+    assert held() - before < sum(len(t) for _, t, _ in rows) // 4  # the texts alone take more while they are shuffled
+    plan = counts.groupBy("home").applyInArrow(lambda group: group, counts.schema)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_quality_model_learns_from_all_trusted_texts(spark):
     rnd = random.Random(8)
     prose = lambda k: " ".join(f"w{int(rnd.random() ** 2 * 60)}" for _ in range(k))
