@@ -41,6 +41,8 @@ QUANTILE = 0.98
 GRAIN = 0.001
 #: Turns in which documents are scored, one for every ``ROUND_BYTES`` of stored input at most.
 ROUNDS, ROUND_BYTES = 8, 8 << 20
+#: Turns of shards in which n-grams of one order are counted, where documents are scored in several.
+COUNT_TURNS = 3
 START, END = U64(0x1111111111111111), U64(0x2222222222222222)
 
 
@@ -228,6 +230,10 @@ def _count(shards: int, order: int):
     return run
 
 
+def _rounds(docs: DataFrame) -> int:
+    return max(1, min(ROUNDS, S.stored_bytes(docs) // ROUND_BYTES))
+
+
 def count(docs: DataFrame, trusted: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Sums]:
     """Counts of the n-grams and contexts of all texts of the ids in ``trusted``, in buckets by shard, and their sums."""
     spark = docs.sparkSession
@@ -242,10 +248,15 @@ def count(docs: DataFrame, trusted: DataFrame, shards: int, id_col: str = "doc_i
                 _, words, counts = _counted(_key(words), words, np.ones(len(words[0]), np.int64))
                 yield from _rows(_routed(-1, 3, _key(words[:2]), words, counts, shards)).to_batches()
 
+    turns = min(COUNT_TURNS, _rounds(docs))
+    if turns > 1:
+        with S.releasing(spark):
+            texts = S.kept(texts)
     made, table = texts.mapInArrow(trigrams, ROWS_SQL), S.Buckets(spark, "what", "home", shards)
     for order in (3, 2, 1):
-        with S.releasing(spark):
-            table.add(made.groupBy("shard").applyInArrow(_count(shards, order), ROWS_SQL))
+        for t in range(turns):
+            with S.releasing(spark):
+                table.add(made.where(F.col("shard") % turns == t).groupBy("shard").applyInArrow(_count(shards, order), ROWS_SQL))
         if order < 3:
             table.drop(ROUTES[order - 1])
         if order > 1:
@@ -303,7 +314,7 @@ def _sql(schema: pa.Schema) -> str:
 
 def score(docs: DataFrame, counts: DataFrame, sums: Sums, shards: int, rounds: int | None = None) -> DataFrame:
     """doc_id, lang, n_tokens, log10_prob and perplexity of docs with doc_id, lang and text, some parts after others."""
-    rounds = max(1, min(ROUNDS, S.stored_bytes(docs) // ROUND_BYTES)) if rounds is None else rounds
+    rounds = _rounds(docs) if rounds is None else rounds
     rows = S.with_part(docs.select("doc_id", "lang", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), S.parts_for(docs), "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
